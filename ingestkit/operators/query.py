@@ -176,7 +176,7 @@ def shape_table(
         loose = [c for c in chosen or df.columns if c not in groups]
         if loose:
             raise QueryError(f"columns neither grouped nor aggregated: {loose}")
-        return rows.select(*(chosen or groups), *[g for g in groups if chosen and g not in chosen]).distinct().select(*(chosen or groups))
+        return rows.select(*groups).distinct().select(*(chosen or groups))
     return rows.select(*chosen) if chosen else rows
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ingestkit.operators.ttl import ttl_dedup
 
@@ -21,7 +22,8 @@ def stream_ttl_dedup(stream: DataFrame, key: str, ts: str, seconds: int, tie: st
         rows = batch.withColumn("_past", F.lit(False))
         if batch_id > 0:
             oldest = batch.agg(F.min(ts).alias("_from"))  # one row
-            past = spark.read.schema(batch.schema.add("_batch", "bigint")).parquet(path)
+            schema = StructType([*batch.schema.fields, StructField("_batch", LongType())])
+            past = spark.read.schema(schema).parquet(path)
             young = past.where(F.col("_batch") < batch_id).join(
                 F.broadcast(oldest), F.col(ts) > F.col("_from") - F.make_interval(secs=F.lit(seconds)))
             members = F.struct(*[F.col(c) for c in batch.columns])
