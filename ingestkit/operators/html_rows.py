@@ -11,12 +11,13 @@ from ingestkit.functions.cleaning import strip
 from ingestkit.functions.html_nodes import below, let, parse_html, text_of
 from ingestkit.functions.selectors import select_all
 from ingestkit.operators.json_rows import ORDINAL, ROW, slice_payload
+from ingestkit.session import spread
 
 DOM = "_dom"
 
 
 def with_nodes(payloads: DataFrame, body: str = "body") -> DataFrame:
-    return payloads if DOM in payloads.columns else payloads.withColumn(DOM, parse_html(F.col(body)))
+    return payloads if DOM in payloads.columns else spread(payloads).withColumn(DOM, parse_html(F.col(body)))
 
 
 def _value(node: Column, texts: Column, field: Mapping) -> Column:

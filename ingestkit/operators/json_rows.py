@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ingestkit.functions.paths import _is_index, json_text_at
+from ingestkit.session import spread
 
 ROW = "_row"
 ORDINAL = "_ordinal"
@@ -82,7 +83,7 @@ def json_rows(payloads: DataFrame, cfg: Mapping, body: str = "body") -> DataFram
     carried = [c for c in payloads.columns if c != body]
     items = slice_payload(items, cfg.get("filters") or {})
     return (
-        payloads.select(*carried, items.alias("_items"))
+        spread(payloads).select(*carried, items.alias("_items"))
         .select(*carried, F.posexplode_outer("_items").alias(ORDINAL, ROW))
         # the outer form keeps the optimizer from evaluating the parse a second time in an
         # inferred "array is not empty" filter

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ingestkit.session import is_small
 
 _NEW = "_new"
 _ROWS = "_rows"
+_LONE = "_lone"
+_SALT = "_salt"
 
 
 @dataclass(frozen=True)
@@ -21,22 +25,27 @@ class Upsert:
 
 
 def _no_null_key(keys: Sequence[str]) -> Column:
-    test = F.lit(True)
-    for k in keys:
-        test = test & F.col(f"`{k}`").isNotNull()
-    return test
+    return reduce(and_, [F.col(f"`{k}`").isNotNull() for k in keys])
 
 
 def latest_per_key(batch: DataFrame, keys: Sequence[str], order: Column | None) -> DataFrame:
-    """One row per key: ``keys, _new STRUCT<other supplied columns>, _rows``.
+    """One row per key: ``keys, _lone, _new STRUCT<other columns>, _rows``.
 
     ``max_by`` keeps one candidate per key in every map task, so a key that fills a third of the
-    batch still sends only one row per task over the network.
+    batch still sends only one row per task over the network. Rows with a NULL in the key stay
+    apart: only rows equal in every column share a group, and ``_rows`` says how many they are.
     """
     values = [c for c in batch.columns if c not in keys]
     payload = F.struct(*[F.col(f"`{c}`") for c in values]) if values else F.struct(F.lit(1).alias("_none"))
+    lone = F.when(~_no_null_key(keys), F.struct(*[F.col(f"`{c}`") for c in batch.columns]))
     newest = F.max_by(payload, order) if order is not None else F.any_value(payload)
-    return batch.groupBy(*keys).agg(newest.alias(_NEW), F.count(F.lit(1)).alias(_ROWS))
+    return batch.groupBy(*keys, lone.alias(_LONE)).agg(newest.alias(_NEW), F.count(F.lit(1)).alias(_ROWS))
+
+
+def _salted(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Rows without a key meet nobody in a join; the salt keeps them from meeting in one task."""
+    content = F.xxhash64(*[F.col(f"`{c}`") for c in columns])
+    return df.withColumn(_SALT, F.when(_no_null_key(keys), F.lit(0).cast("bigint")).otherwise(content))
 
 
 def upsert(
@@ -46,6 +55,7 @@ def upsert(
     order_by: str | Sequence[str] | None = None,
     defaults: Mapping[str, Column] | None = None,
     small_batch: bool | None = None,
+    observation: Observation | None = None,
 ) -> Upsert:
     """Merge ``batch`` into ``target``.
 
@@ -54,7 +64,9 @@ def upsert(
     are all inserted. ``defaults`` fill columns that inserted rows do not supply.
 
     A batch within the broadcast limit (checked by plan size unless ``small_batch`` says so) is
-    merged without shuffling the target at all; a larger one costs one exchange of each side.
+    merged without shuffling the target at all; a larger one costs one exchange of each side and
+    reads the batch once. An ``observation`` receives ``inserted`` and ``total`` while the table
+    is being written, which saves the separate pass of ``metrics``.
     """
     keys = list(keys)
     order_cols = [order_by] if isinstance(order_by, str) else list(order_by or [])
@@ -69,76 +81,77 @@ def upsert(
     if missing:
         raise ValueError(f"batch lacks key columns: {missing}")
     defaults = dict(defaults or {})
+    kinds = {f.name: f.dataType for f in target.schema.fields}
 
-    def inserted_row(value_of) -> list[Column]:
-        row = []
-        for f in target.schema.fields:
-            value = value_of(f.name) if f.name in supplied else defaults.get(f.name, F.lit(None))
-            row.append(value.cast(f.dataType).alias(f.name))
-        return row
+    def watched(df: DataFrame, inserted: Column, total: Column) -> DataFrame:
+        if observation is None:
+            return df
+        return df.observe(observation, F.coalesce(F.sum(inserted), F.lit(0)).alias("inserted"),
+                          F.coalesce(F.sum(total), F.lit(0)).alias("total"))
 
     if not keys:
-        added = batch.select(*inserted_row(lambda c: F.col(f"`{c}`")))
+        one = F.lit(1)
+        added = watched(batch, one, one).select(*[
+            (F.col(f"`{c}`") if c in supplied else defaults.get(c, F.lit(None))).cast(kinds[c]).alias(c) for c in target.columns])
         metrics = batch.agg(F.count(F.lit(1)).alias("inserted"))
         return Upsert(target.unionByName(added), _metrics(metrics.withColumn("total", F.col("inserted"))))
 
     # key columns take the table's types before they meet
-    typed = batch.select(*[F.col(f"`{c}`").cast(target.schema[c].dataType).alias(c) if c in target.columns
-                           else F.col(f"`{c}`") for c in batch.columns])
-    keyless = typed.where(~_no_null_key(keys))
-    keyed = typed.where(_no_null_key(keys))
+    typed = batch.select(*[F.col(f"`{c}`").cast(kinds[c]).alias(c) if c in kinds else F.col(f"`{c}`") for c in batch.columns])
     values = [c for c in supplied if c not in keys]
-    slim = keyed.select(*dict.fromkeys(keys + values + order_cols))
-    newest = latest_per_key(slim, keys, order)
+    newest = latest_per_key(typed.select(*dict.fromkeys(keys + values + order_cols)), keys, order)
     if small_batch is None:
         small_batch = is_small(batch)
 
     def new(c: str) -> Column:
         return F.col(f"`{c}`") if c in keys else F.col(_NEW).getField(c)
 
+    def fill(c: str) -> Column:
+        return new(c) if c in supplied else defaults.get(c, F.lit(None)).cast(kinds[c])
+
+    # equal rows without a key were counted together and are all inserted
+    copies = F.when(_no_null_key(keys), F.lit(1)).otherwise(F.col(_ROWS))
     if small_batch:
-        changes = F.broadcast(newest)
         hits = target.select(*keys).join(F.broadcast(newest.select(*keys)), keys, "left_semi")
-        merged = target.alias("t").join(changes, keys, "left").select(*[
-            (F.when(F.col(_ROWS).isNotNull(), new(c)).otherwise(F.col(f"t.`{c}`"))
-             if c in values else F.col(f"`{c}`") if c in keys else F.col(f"t.`{c}`")).alias(c)
-            for c in target.columns])
-        added = newest.join(F.broadcast(hits), keys, "left_anti").select(*inserted_row(new))
-        table = merged.unionByName(added)
-    else:
-        old = target.withColumn("_old", F.lit(True)).alias("t")
-        joined = old.join(newest, keys, "full_outer")
-        columns = []
-        for f in target.schema.fields:
-            c = f.name
-            if c in keys:
-                value = F.col(f"`{c}`")
-            elif c in values:
-                value = F.when(F.col(_ROWS).isNotNull(), new(c)).otherwise(F.col(f"t.`{c}`"))
-            else:
-                fill = defaults.get(c, F.lit(None))
-                value = F.when(F.col("_old").isNull(), fill.cast(f.dataType)).otherwise(F.col(f"t.`{c}`"))
-            columns.append(value.alias(c))
-        table = joined.select(*columns)
-    table = table.unionByName(keyless.select(*inserted_row(lambda c: F.col(f"`{c}`"))))
-    return Upsert(table, upsert_counts(target, typed, keys, small_batch))
+        old = target.alias("t").join(F.broadcast(newest), keys, "left")
+        hit = F.col(_ROWS).isNotNull()
+        merged = watched(old, F.lit(0), F.when(hit, F.col(_ROWS))).select(*[
+            (F.col(f"`{c}`") if c in keys else F.when(hit, new(c)).otherwise(F.col(f"t.`{c}`")) if c in values
+             else F.col(f"t.`{c}`")).alias(c) for c in target.columns])
+        fresh = newest.join(F.broadcast(hits), keys, "left_anti")
+        added = fresh.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
+        added = added.select(*[fill(c).alias(c) for c in target.columns])
+        return Upsert(merged.unionByName(added), upsert_counts(target, typed, keys, True))
+
+    old = _salted(target, keys, target.columns).withColumn("_old", F.lit(True)).alias("t")
+    joined = old.join(_salted(newest, keys, [_LONE]), [*keys, _SALT], "full_outer")
+    is_new = F.col("_old").isNull()
+    joined = watched(joined, F.when(is_new, copies), F.col(_ROWS))
+    columns = []
+    for c in target.columns:
+        if c in keys:
+            value = F.col(f"`{c}`")
+        elif c in values:
+            value = F.when(F.col(_ROWS).isNotNull(), new(c)).otherwise(F.col(f"t.`{c}`"))
+        else:
+            value = F.when(is_new, fill(c)).otherwise(F.col(f"t.`{c}`"))
+        columns.append(value.alias(c))
+    n = F.when(is_new, copies).otherwise(F.lit(1)).cast("int")
+    table = joined.select(*columns, F.explode(F.array_repeat(F.lit(1), n)).alias("_copy")).drop("_copy")
+    return Upsert(table, upsert_counts(target, typed, keys, False))
 
 
 def upsert_counts(target: DataFrame, batch: DataFrame, keys: Sequence[str], small_batch: bool | None = None) -> DataFrame:
     """``inserted`` = new distinct keys + rows without a key; every other batch row counts as updated."""
-    per_key = batch.where(_no_null_key(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias(_ROWS))
-    known = target.select(*keys)
+    rows = _salted(batch, keys, batch.columns)
+    per_key = rows.groupBy(*keys, _SALT).agg(F.count(F.lit(1)).alias(_ROWS))
+    known = target.select(*keys).where(_no_null_key(keys)).withColumn(_SALT, F.lit(0).cast("bigint"))
     if small_batch if small_batch is not None else is_small(batch):
         known = known.join(F.broadcast(per_key.select(*keys)), keys, "left_semi")
-    fresh = (
-        per_key.join(known.withColumn("_hit", F.lit(1)), keys, "left")
-        .agg(F.count(F.when(F.col("_hit").isNull(), 1)).alias("inserted"),
-             F.coalesce(F.sum(_ROWS), F.lit(0)).alias("total"))
-    )
-    keyless = batch.where(~_no_null_key(keys)).agg(F.count(F.lit(1)).alias("inserted")).select(
-        "inserted", F.col("inserted").alias("total"))
-    return _metrics(fresh.unionByName(keyless).agg(
-        F.sum("inserted").alias("inserted"), F.sum("total").alias("total")))
+    fresh = F.when(~_no_null_key(keys), F.col(_ROWS)).when(F.col("_hit").isNull(), 1).otherwise(0)
+    return _metrics(
+        per_key.join(known.withColumn("_hit", F.lit(1)), [*keys, _SALT], "left")
+        .agg(F.coalesce(F.sum(fresh), F.lit(0)).alias("inserted"), F.coalesce(F.sum(_ROWS), F.lit(0)).alias("total")))
 
 
 def _metrics(counts: DataFrame) -> DataFrame:

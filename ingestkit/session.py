@@ -58,15 +58,31 @@ def plan_size_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def broadcast_limit(spark: SparkSession) -> int:
-    raw = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760").strip().lower()
-    units = {"kb": 1 << 10, "k": 1 << 10, "mb": 1 << 20, "m": 1 << 20, "gb": 1 << 30, "g": 1 << 30, "b": 1}
-    for suffix, factor in units.items():
+def parse_bytes(text: str) -> int:
+    raw = text.strip().lower()
+    for suffix, factor in (("kb", 1 << 10), ("mb", 1 << 20), ("gb", 1 << 30), ("k", 1 << 10), ("m", 1 << 20),
+                           ("g", 1 << 30), ("b", 1)):
         if raw.endswith(suffix):
             return int(float(raw[: -len(suffix)]) * factor)
     return int(raw)
 
 
+def broadcast_limit(spark: SparkSession) -> int:
+    return parse_bytes(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760"))
+
+
 def is_small(df: DataFrame) -> bool:
     """True when the estimated size is within the session's broadcast limit."""
     return plan_size_bytes(df) <= broadcast_limit(df.sparkSession)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for CPU-heavy parsing of an input too small to fill more than one split.
+
+    Beyond that size the scan itself gives enough tasks, and nothing is shuffled.
+    """
+    spark = df.sparkSession
+    one_split = parse_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728b"))
+    if plan_size_bytes(df) >= one_split:
+        return df
+    return df.repartition(spark.sparkContext.defaultParallelism)

@@ -10,10 +10,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ingestkit.operators.upsert import assert_not_null, upsert
+from ingestkit.session import is_small
 from ingestkit.spec import TableSpec
 
 _POINTER = "_current"
@@ -70,6 +71,28 @@ def ensure_table(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
     return read_table(spark, path)
 
 
+def _merge(target: DataFrame, batch: DataFrame, spec: TableSpec, run_ts, order_by):
+    """The merge and a function for its counts.
+
+    A large batch is counted while the table is written; a small one, whose plan never shuffles
+    the table, is counted by a pass over the batch before the table changes.
+    """
+    supplied = [c for c in batch.columns if c in target.columns]
+    defaults = spec.defaults(run_ts, supplied)
+    if is_small(batch):
+        result = upsert(target, batch, spec.keys, order_by, defaults, small_batch=True)
+        known = result.metrics.first().asDict()
+        return result, lambda: known
+    seen = Observation()
+    result = upsert(target, batch, spec.keys, order_by, defaults, small_batch=False, observation=seen)
+
+    def counts() -> dict[str, int]:
+        got = seen.get
+        return {"inserted": got["inserted"], "updated": got["total"] - got["inserted"], "total": got["total"]}
+
+    return result, counts
+
+
 def upsert_table(spark: SparkSession, path: str, spec: TableSpec, batch: DataFrame, run_ts,
                  order_by: str | Sequence[str] | None = None) -> dict[str, int]:
     """Merge a batch into the table and return its counts (inserted, updated, total).
@@ -77,11 +100,9 @@ def upsert_table(spark: SparkSession, path: str, spec: TableSpec, batch: DataFra
     A NOT NULL violation fails the write, and with it the whole batch.
     """
     target = ensure_table(spark, path, spec)
-    supplied = [c for c in batch.columns if c in target.columns]
-    result = upsert(target, batch, spec.keys, order_by, spec.defaults(run_ts, supplied))
-    counts = result.metrics.first().asDict()
+    result, counts = _merge(target, batch, spec, run_ts, order_by)
     write_version(assert_not_null(result.table, spec.not_null()), path)
-    return counts
+    return counts()
 
 
 def upsert_partitions(spark: SparkSession, path: str, spec: TableSpec, batch: DataFrame, run_ts,
@@ -100,12 +121,10 @@ def upsert_partitions(spark: SparkSession, path: str, spec: TableSpec, batch: Da
     target = spark.read.schema(spec.schema).parquet(path)
     # as many rows as there are partition folders, which the driver lists anyway: prunes the scan
     touched = target.join(F.broadcast(batch.select(*parts).distinct()), parts, "left_semi").select(*target.columns)
-    supplied = [c for c in batch.columns if c in target.columns]
-    result = upsert(touched, batch, spec.keys, order_by, spec.defaults(run_ts, supplied))
-    counts = result.metrics.first().asDict()
+    result, counts = _merge(touched, batch, spec, run_ts, order_by)
     staging = f"{path.rstrip('/')}__staged_{uuid.uuid4().hex}"
     assert_not_null(result.table, spec.not_null()).write.parquet(staging)
     (spark.read.parquet(staging).repartition(*parts).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path))
     fs.delete(Path(staging), True)
-    return counts
+    return counts()
