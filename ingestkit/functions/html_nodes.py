@@ -56,6 +56,8 @@ _IMPLIED_END = {
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
 }
 _HEAD_ONLY = frozenset("title meta link base style script".split())
+_FRAME = frozenset(("html", "head", "body"))
+_P_SCOPE = ("table", "td", "th", "li", "button", "body")
 _NOT_TEXT = frozenset(("script", "style"))
 
 
@@ -70,41 +72,90 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 
 
-class _PageNodes:
+class _Pages:
+    """Tokenises page after page into one set of flat columns, ready to become Arrow arrays."""
+
     def __init__(self) -> None:
-        self.nodes: list[list] = []   # parent, last, nth, tag, classes, attrs, above, from, to
+        self.idx: list[int] = []
+        self.parent: list[int] = []
+        self.last: list[int] = []
+        self.nth: list[int] = []
+        self.tag: list[str] = []
+        self.classes: list[str] = []
+        self.text_from: list[int] = []
+        self.text_to: list[int] = []
+        self.keys: list[str] = []
+        self.values: list[str] = []
+        self.key_at = [0]
+        self.above: list[int] = []
+        self.above_at = [0]
         self.texts: list[str] = []
-        self._open: list[int] = []
-        self._children: list[int] = []
-        self._body = False
-
-    def _push(self, tag: str, attrs) -> int:
-        index = len(self.nodes)
-        parent = self._open[-1] if self._open else -1
-        nth = 1
-        if parent >= 0:
-            self._children[parent] += 1
-            nth = self._children[parent]
-        classes = " ".join(attrs["class"].split()) if "class" in attrs else ""
-        self.nodes.append([parent, index, nth, tag, f" {classes} " if classes else "", attrs,
-                           tuple(self._open), len(self.texts), len(self.texts)])
+        self.node_at, self.text_at = [0], [0]
+
+    def skip(self) -> None:
+        self.node_at.append(len(self.idx))
+        self.text_at.append(len(self.texts))
+
+    def add(self, page: str) -> None:
+        self._base, self._first_text = len(self.idx), len(self.texts)
+        self._open: list[int] = []       # open elements of this page, outermost first ...
+        self._tags: list[str] = []       # ... and their tags
+        self._children: list[int] = []   # children seen so far, per node
+        self._seen: set[str] = set()     # which of html, head and body exist
+        self._scan(page)
+        while self._open:
+            self._pop()
+        self.skip()
+
+    def _push(self, tag: str) -> None:
+        index = len(self.idx) - self._base
+        parent, nth = -1, 1
+        if self._open:
+            parent = self._open[-1]
+            nth = self._children[parent] = self._children[parent] + 1
+        self.idx.append(index)
+        self.parent.append(parent)
+        self.last.append(index)
+        self.nth.append(nth)
+        self.tag.append(tag)
+        self.classes.append("")
+        self.key_at.append(len(self.keys))
+        self.above.extend(self._open)
+        self.above_at.append(len(self.above))
+        place = len(self.texts) - self._first_text
+        self.text_from.append(place)
+        self.text_to.append(place)
         self._children.append(0)
         self._open.append(index)
-        return index
+        self._tags.append(tag)
+
+    def _attributes(self, source: str) -> None:
+        seen: set[str] = set()
+        for name, double, single, bare in _ATTR.findall(source):
+            name = name.lower()
+            if name in seen:
+                continue  # the first of equal names counts
+            seen.add(name)
+            value = double or single or bare
+            if "&" in value:
+                value = unescape(value)
+            self.keys.append(name)
+            self.values.append(value)
+            if name == "class" and value:
+                self.classes[-1] = f" {' '.join(value.split())} "
+        self.key_at[-1] = len(self.keys)
 
     def _pop(self) -> None:
-        index = self._open.pop()
-        self.nodes[index][1] = len(self.nodes) - 1
-        self.nodes[index][8] = len(self.texts)
-
-    def _tag_of(self, position: int) -> str:
-        return self.nodes[self._open[position]][3]
+        place = self._base + self._open.pop()
+        self._tags.pop()
+        self.last[place] = len(self.idx) - self._base - 1
+        self.text_to[place] = len(self.texts) - self._first_text
 
     def _close_through(self, tags, barrier) -> None:
         """Close the outermost open element among ``tags`` above the nearest barrier."""
         cut = None
-        for position in range(len(self._open) - 1, -1, -1):
-            tag = self._tag_of(position)
+        for position in range(len(self._tags) - 1, -1, -1):
+            tag = self._tags[position]
             if tag in barrier:
                 break
             if tag in tags:
@@ -113,128 +164,102 @@ class _PageNodes:
             while len(self._open) > cut:
                 self._pop()
 
-    def _enter(self, tag: str) -> None:
-        """Supply the html, head and body elements that a page may leave out."""
-        if not self.nodes and tag != "html":
-            self._push("html", {})
-        if tag in ("html", "head"):
-            return
+    def _frame(self, tag: str) -> bool:
+        """Supply html, head and body where a page leaves them out; False for a repeated one."""
+        if tag in _FRAME:
+            if tag in self._seen:
+                return False
+            self._seen.add(tag)
+            if tag == "html":
+                return True
+        if "html" not in self._seen:
+            self._seen.add("html")
+            self._push("html")
+        if tag == "head":
+            return True
         if tag == "body":
-            self._close_through({"head"}, {"html"})
-            self._body = True
-        elif not self._body:
-            in_head = any(self._tag_of(p) == "head" for p in range(len(self._open)))
-            if tag in _HEAD_ONLY:
-                if not in_head:
-                    self._push("head", {})
-            else:
-                self._close_through({"head"}, {"html"})
-                self._push("body", {})
-                self._body = True
+            self._close_through(("head",), ("html",))
+        elif tag in _HEAD_ONLY:
+            if "head" not in self._seen:
+                self._seen.add("head")
+                self._push("head")
+        else:
+            self._close_through(("head",), ("html",))
+            self._seen.add("body")
+            self._push("body")
+        return True
 
     def _start(self, tag: str, source: str) -> None:
-        if tag in ("html", "head", "body") and any(n[3] == tag for n in self.nodes[:8]):
-            return  # a second one adds nothing
-        self._enter(tag)
-        if tag in _CLOSES_P:
-            self._close_through(("p",), ("table", "td", "th", "li", "button", "body"))
+        if ("body" not in self._seen or tag in _FRAME) and not self._frame(tag):
+            return
+        if tag in _CLOSES_P and "p" in self._tags:
+            self._close_through(("p",), _P_SCOPE)
         if tag in _IMPLIED_END:
             self._close_through(*_IMPLIED_END[tag])
-        attrs: dict[str, str] = {}
+        self._push(tag)
         if source:
-            for m in _ATTR.finditer(source):
-                name, double, single, bare = m.groups()
-                value = double or single or bare or ""
-                attrs.setdefault(name.lower(), unescape(value) if "&" in value else value)
-        self._push(tag, attrs)
+            self._attributes(source)
         if tag in _VOID:
             self._pop()
 
     def _end(self, tag: str) -> None:
-        if tag in _VOID or tag in ("html", "body"):
-            return  # text after </body> still belongs to the page
-        for position in range(len(self._open) - 1, -1, -1):
-            if self._tag_of(position) == tag:
-                while len(self._open) > position:
-                    self._pop()
-                return
+        # text after </body> still belongs to the page
+        if tag in _VOID or tag == "html" or tag == "body" or tag not in self._tags:
+            return
+        while self._tags[-1] != tag:
+            self._pop()
+        self._pop()
 
     def _text(self, text: str) -> None:
-        if not self._body and not text.isspace() and not (self._open and self._tag_of(-1) == "title"):
-            self._enter("#text")
+        if "body" not in self._seen and not text.isspace() and self._tags[-1:] != ["title"]:
+            self._frame("#text")
         if self._open:
             self.texts.append(unescape(text) if "&" in text else text)
 
-    def feed(self, page: str) -> None:
-        position, size = 0, len(page)
+    def _scan(self, page: str) -> None:
+        position, size, match = 0, len(page), _TOKEN.match
         while position < size:
-            m = _TOKEN.match(page, position)
+            m = match(page, position)
             if m is None:  # a tag the page never closes
                 break
             position = m.end()
             kind = m.lastgroup
             if kind == "text":
-                self._text(m["text"])
+                self._text(m[kind])
             elif kind == "end":
-                self._end(m["end"].lower())
-            elif kind in ("attrs", "rest"):
+                self._end(m[kind].lower())
+            elif kind is not None:
                 tag = (m["start"] or m["broken"]).lower()
                 self._start(tag, m[kind])
                 if tag in _NOT_TEXT:
                     # up to its end tag the content is no markup, and it is no page text either
                     close = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, position)
                     position = close.start() if close else size
-        while self._open:
-            self._pop()
 
 
 @F.arrow_udf(PAGE)
 def _parse_html(pages: pa.Array) -> pa.Array:
-    """Flat value lists plus offsets for a whole Arrow batch; no Python object per cell on the way back."""
-    idx, parent, last, nth, tag, classes, text_from, text_to = ([] for _ in range(8))
-    keys, values, key_at, above, above_at = [], [], [0], [], [0]
-    texts, text_at, node_at, missing = [], [0], [0], []
-    for page in pages:
-        html = page.as_py()
-        missing.append(html is None)
-        if html is not None:
-            parser = _PageNodes()
-            parser.feed(html)
-            for i, (p, end, n, name, cls, attrs, path, start, stop) in enumerate(parser.nodes):
-                idx.append(i)
-                parent.append(p)
-                last.append(end)
-                nth.append(n)
-                tag.append(name)
-                classes.append(cls)
-                text_from.append(start)
-                text_to.append(stop)
-                above.extend(path)
-                above_at.append(len(above))
-                keys.extend(attrs)
-                values.extend(attrs.values())
-                key_at.append(len(keys))
-            texts.extend(parser.texts)
-        node_at.append(len(idx))
-        text_at.append(len(texts))
-    int32 = pa.int32()
+    out, int32, text = _Pages(), pa.int32(), pa.string()
+    bodies = pages.to_pylist()
+    for body in bodies:
+        out.skip() if body is None else out.add(body)
     nodes = pa.StructArray.from_arrays(
         [
-            pa.array(idx, int32), pa.array(parent, int32), pa.array(last, int32), pa.array(nth, int32),
-            pa.array(tag, pa.string()), pa.array(classes, pa.string()),
-            pa.MapArray.from_arrays(pa.array(key_at, int32), pa.array(keys, pa.string()), pa.array(values, pa.string())),
-            pa.ListArray.from_arrays(pa.array(above_at, int32), pa.array(above, int32)),
-            pa.array(text_from, int32), pa.array(text_to, int32),
+            pa.array(out.idx, int32), pa.array(out.parent, int32), pa.array(out.last, int32), pa.array(out.nth, int32),
+            pa.array(out.tag, text), pa.array(out.classes, text),
+            pa.MapArray.from_arrays(pa.array(out.key_at, int32), pa.array(out.keys, text), pa.array(out.values, text)),
+            pa.ListArray.from_arrays(pa.array(out.above_at, int32), pa.array(out.above, int32)),
+            pa.array(out.text_from, int32), pa.array(out.text_to, int32),
         ],
         names=["idx", "parent", "last", "nth", "tag", "classes", "attrs", "above", "text_from", "text_to"],
     )
     return pa.StructArray.from_arrays(
         [
-            pa.ListArray.from_arrays(pa.array(node_at, int32), nodes),
-            pa.ListArray.from_arrays(pa.array(text_at, int32), pa.array(texts, pa.string())),
+            pa.ListArray.from_arrays(pa.array(out.node_at, int32), nodes),
+            pa.ListArray.from_arrays(pa.array(out.text_at, int32), pa.array(out.texts, text)),
         ],
         names=["nodes", "texts"],
-        mask=pa.array(missing, pa.bool_()),
+        mask=pa.array([body is None for body in bodies], pa.bool_()),
     )
 
 

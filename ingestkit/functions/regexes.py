@@ -10,7 +10,7 @@ _FLAGS = "(?Ud)"
 
 def java_pattern(pattern: str) -> str:
     p = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{m.group(1).replace('_', '')}>", pattern)
-    p = re.sub(r"\(\?P=(\w+)\)", lambda m: f"\\\\k<{m.group(1).replace('_', '')}>", p)
+    p = re.sub(r"\(\?P=(\w+)\)", lambda m: f"\\k<{m.group(1).replace('_', '')}>", p)
     p = re.sub(r"(?<!\\)((?:\\\\)*)\\Z", r"\1\\z", p)
     return _FLAGS + p
 

@@ -6,9 +6,21 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ingestkit.functions.cleaning import strip
 
+_RAW = "_raw_row"
+_BUILT_IN_CHARSETS = ("iso-8859-1", "us-ascii", "utf-16", "utf-16be", "utf-16le", "utf-32", "utf-8")
+
+
+def _charset(spark: SparkSession, name: str) -> str:
+    """The JVM's name of an encoding; those beyond Spark's short list need its setting for them."""
+    name = {"utf-8-sig": "utf-8", "utf8": "utf-8", "ascii": "us-ascii", "latin-1": "iso-8859-1"}.get(name.lower(), name.lower())
+    if name not in _BUILT_IN_CHARSETS:
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    return name
+
 
 def read_csv(spark: SparkSession, options: Mapping) -> DataFrame:
     """First row is the header; names and values are stripped and every value is text.
@@ -19,17 +31,25 @@ def read_csv(spark: SparkSession, options: Mapping) -> DataFrame:
     path = options.get("path")
     if not path:
         raise ValueError("file options need a path")
-    encoding = options.get("encoding", "utf-8-sig").lower()
+    sep = options.get("delimiter", ",")
     reader = spark.read.options(
-        header=True, sep=options.get("delimiter", ","), quote='"', escape='"',
-        encoding="utf-8" if encoding == "utf-8-sig" else encoding,
-        multiLine=options.get("multiline", True),
-        # an empty quoted or unquoted cell is an empty text, not NULL
-        emptyValue="", nullValue="\u0000", mode="PERMISSIVE",
+        header=True, sep=sep, quote='"', escape='"',
+        encoding=_charset(spark, options.get("encoding", "utf-8-sig")), multiLine=options.get("multiline", True), emptyValue="", mode="PERMISSIVE",
+        # the check of the number of cells needs all of them
+        columnPruning=False, columnNameOfCorruptRecord=_RAW,
     )
-    raw = reader.csv(path)
-    names = [c.strip() for c in raw.columns]
-    return raw.toDF(*names).select(*[strip(F.col(f"`{c}`")).alias(c) for c in names])
+    header = reader.csv(path).columns
+    raw = reader.schema(StructType([StructField(c, StringType()) for c in [*header, _RAW]])).csv(path)
+    # the reader gives NULL both for an empty cell and for one a short row lacks; only rows of an
+    # unexpected width carry their text, and there the separators outside quotes tell which it is
+    bare = F.regexp_replace(F.col(_RAW), '"(?:[^"]|"")*"', "")
+    width = F.when(F.col(_RAW).isNull(), len(header)).otherwise(
+        F.char_length(bare) - F.char_length(F.replace(bare, F.lit(sep), F.lit(""))) + 1)
+    cells = []
+    for i, name in enumerate(header):
+        value = F.coalesce(strip(F.col(f"`{name}`")), F.when(width > i, F.lit("")))
+        cells.append(value.alias(name.strip()))
+    return raw.select(*cells)
 
 
 def normalize_sheet(df: DataFrame) -> DataFrame:
@@ -44,7 +64,8 @@ def read_payload_files(spark: SparkSession, path: str, charset: str = "utf-8") -
 
     Files in another charset are read as bytes and decoded in the JVM.
     """
-    if charset.lower() in ("utf-8", "utf8"):
+    charset = _charset(spark, charset)
+    if charset == "utf-8":
         raw = spark.read.text(path, wholetext=True)
         return raw.select(F.input_file_name().alias("url"), F.col("value").alias("body"))
     raw = spark.read.format("binaryFile").load(path)
