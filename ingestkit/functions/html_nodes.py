@@ -272,11 +272,6 @@ def parse_html(body: Column) -> Column:
 _PARSE = _parse_html.asNondeterministic()
 
 
-def let(value: Column, use) -> Column:
-    """Evaluate ``value`` once and hand it to an expression that names it several times."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def below(nodes: Column, node: Column) -> Column:
     """The node's descendants, a slice of the page's node array."""
     return F.slice(nodes, node["idx"] + 2, node["last"] - node["idx"])

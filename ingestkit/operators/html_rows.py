@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ingestkit.functions.cleaning import strip
-from ingestkit.functions.html_nodes import below, let, parse_html, text_of
+from ingestkit.functions.columns import let
+from ingestkit.functions.html_nodes import below, parse_html, text_of
 from ingestkit.functions.selectors import select_all
 from ingestkit.operators.json_rows import ORDINAL, ROW, slice_payload
 from ingestkit.session import spread
@@ -16,8 +17,18 @@ from ingestkit.session import spread
 DOM = "_dom"
 
 
+# Pages are far larger than the rows the default Arrow batch (10,000 rows) is meant for.
+PAGES_PER_BATCH = "1000"
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def with_nodes(payloads: DataFrame, body: str = "body") -> DataFrame:
-    return payloads if DOM in payloads.columns else spread(payloads).withColumn(DOM, parse_html(F.col(body)))
+    if DOM in payloads.columns:
+        return payloads
+    conf = payloads.sparkSession.conf
+    if conf.get(_BATCH_ROWS, None) is None:
+        conf.set(_BATCH_ROWS, PAGES_PER_BATCH)
+    return spread(payloads).withColumn(DOM, parse_html(F.col(body)))
 
 
 def _value(node: Column, texts: Column, field: Mapping) -> Column:

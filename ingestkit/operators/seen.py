@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType, StringType
 
+from ingestkit.functions.cleaning import floor_to
+
 
 def url_hash(url: Column) -> Column:
     return F.sha2(url, 256)
@@ -58,7 +60,7 @@ def content_change(df: DataFrame, key: str, order: str, hash_col: str, span: int
     ``span``. Inside a span a window looks back; only the first row of a span needs the last hash
     of the span before it, taken from a one-row-per-span aggregate.
     """
-    placed = df.withColumn("_span", F.floor(F.col(order) / F.lit(span)).cast("bigint"))
+    placed = df.withColumn("_span", floor_to(F.col(order), span))
     inside = Window.partitionBy(key, "_span").orderBy(order)
     ends = placed.groupBy(key, "_span").agg(F.max_by(hash_col, order).alias("_last"))
     across = Window.partitionBy(key).orderBy("_span")

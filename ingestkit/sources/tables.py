@@ -124,7 +124,8 @@ def upsert_partitions(spark: SparkSession, path: str, spec: TableSpec, batch: Da
     result, counts = _merge(touched, batch, spec, run_ts, order_by)
     staging = f"{path.rstrip('/')}__staged_{uuid.uuid4().hex}"
     assert_not_null(result.table, spec.not_null()).write.parquet(staging)
-    (spark.read.parquet(staging).repartition(*parts).write.mode("overwrite")
+    # rebalancing gathers a partition's rows for few files, but splits one that is too large
+    (spark.read.parquet(staging).hint("rebalance", *parts).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path))
     fs.delete(Path(staging), True)
     return counts()

@@ -21,11 +21,12 @@ def stream_ttl_dedup(stream: DataFrame, key: str, ts: str, seconds: int, tie: st
         spark = batch.sparkSession
         rows = batch.withColumn("_past", F.lit(False))
         if batch_id > 0:
-            oldest = batch.agg(F.min(ts).alias("_from"))  # one row
+            # one value, so that the look back is a range the scan can prune by
+            oldest = batch.agg(F.min(ts).cast("string")).first()[0]
             schema = StructType([*batch.schema.fields, StructField("_batch", LongType())])
-            past = spark.read.schema(schema).parquet(path)
-            young = past.where(F.col("_batch") < batch_id).join(
-                F.broadcast(oldest), F.col(ts) > F.col("_from") - F.make_interval(secs=F.lit(seconds)))
+            past = spark.read.schema(schema).parquet(path).where(F.col("_batch") < batch_id)
+            since = F.lit(oldest).cast(batch.schema[ts].dataType) - F.make_interval(secs=F.lit(seconds))
+            young = past.where(F.col(ts) > since)
             members = F.struct(*[F.col(c) for c in batch.columns])
             last = young.groupBy(key).agg(F.max_by(members, F.struct(ts, tie)).alias("_r")).select("_r.*")
             rows = rows.unionByName(last.withColumn("_past", F.lit(True)))

@@ -29,6 +29,14 @@ CASES = [
     ("_1", {"to_number": True, "type": "INTEGER"}, None),
     ("NaN", {"to_number": True, "type": "REAL"}, None),
     ("1.5d", {"to_number": True, "type": "REAL"}, None),
+    ("1,000", {"type": "INTEGER"}, None),
+    (" 42 ", {"type": "INTEGER"}, 42),
+    ("42.0", {"type": "INTEGER"}, 42),
+    ("1e3", {"type": "REAL"}, 1000.0),
+    ("1e3", {"to_number": True, "type": "INTEGER"}, 1000),
+    ("9,223,372,036,854,775,808", {"to_number": True, "type": "INTEGER"}, None),
+    ("1_0.5", {"to_number": True, "type": "REAL"}, 10.5),
+    ("１２．", {"to_number": True, "type": "REAL"}, None),
     ("abc", {"to_number": True}, "abc"),
     ("007", {"to_number": True}, "7"),
     ("12,345", {"to_number": False}, "12,345"),
