@@ -126,7 +126,18 @@ def parse_one(text: Column, fmt: str) -> Column | None:
         else:
             day = F.concat_ws("-", year, month, part("d", "1"))
         canonical = F.concat(day, F.lit(" "), clock)
-    return F.when(text.rlike(pattern), canonical.try_cast("timestamp_ntz"))
+    matched = text.rlike(pattern)
+    guard = _first_look(text, fmt)
+    return F.when(matched if guard is None else guard & matched, canonical.try_cast("timestamp_ntz"))
+
+
+def _first_look(text: Column, fmt: str) -> Column | None:
+    """A comparison of one character that rules most texts out before the expression runs."""
+    if fmt[:2] == "%Y" and len(fmt) > 2 and fmt[2] != "%" and not fmt[2].isspace():
+        return F.substring(text, 5, 1).ilike(fmt[2]) if fmt[2].isalpha() else F.substring(text, 5, 1) == fmt[2]
+    if fmt[:2] in ("%a", "%A", "%b", "%B"):
+        return F.ascii(text) >= ord("A")
+    return None
 
 
 def parse_any(text: Column, formats: Sequence[str]) -> Column:

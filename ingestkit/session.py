@@ -19,6 +19,8 @@ def local_session(cores: str | int = "*", name: str = "ingestkit") -> SparkSessi
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", n)
         .config("spark.sql.adaptive.enabled", "true")
+        # call sites are not recorded for every single Column: long rule chains build much faster
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
