@@ -81,6 +81,15 @@ HTML = [
     ("table", [{"column": 0, "strip": False}], [("k",)]),
     ("[class~=grid] i, a[href$='b'], a[href^='/l'], a[href*='zz']", [{}], [("B bold",), ("x",), ("y",)]),
     ("script", [{}], [("",)]),
+    ("h1 + nav a", [{}], [("A",), ("B bold",)]),
+    ("title + script, p + p", [{}], [("",), ("two <3x",)]),
+    ("h1 ~ div p", [{}], [("one",), ("two <3x",)]),
+    ("li:last-child a:not([href='/a'])", [{}], [("B bold",)]),
+    ("li:not(:first-child)", [{}], [("B bold",)]),
+    ("tr:nth-child(odd) td:nth-of-type(2)", [{}], [("y z",)]),
+    ("p:nth-child(-n+1), tr td:nth-child(2n)", [{}], [("one",), ("x",), ("y z",)]),
+    ("div p:first-of-type, p:only-child", [{}], [("one",)]),
+    ("br:empty, td i:only-child", [{}], [("",), ("x",)]),
     ("tr td", [{"strip": False}], [(" 1 ",), ("x",), ("2",), ("y z",)]),
 ]
 
@@ -95,8 +104,9 @@ def test_html(spark, selector, fields, expected):
 def test_html_without_row_selector_or_body(spark):
     assert html_rows(payload(spark, PAGE), {"fields": [{"name": "a"}]}).count() == 0
     assert html_rows(payload(spark, None, "", "   "), {"row_selector": "p", "fields": [{"name": "a"}]}).count() == 0
-    with pytest.raises(ValueError):
-        html_rows(payload(spark, PAGE), {"row_selector": "p:hover", "fields": []})
+    for bad in ("p:hover", "p >", "> p", "p:nth-child(x)", "p{", ":not(a b)"):
+        with pytest.raises(ValueError):
+            html_rows(payload(spark, PAGE), {"row_selector": bad, "fields": []})
 
 
 def test_html_is_parsed_once_without_shuffle(spark, sf_dir):
