@@ -33,7 +33,13 @@ from ingestkit.functions.cleaning import floor_to
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _KEY, _TIME, _SPAN, _TIE = "_key", "_us", "_span", "_tie"
-SPAN_WINDOWS = 256  # span length in TTL windows
+DAY_US = 86_400_000_000
+
+
+def span_length(ttl_us: int) -> int:
+    """About a day: short enough to split a hot key, but 16 to 256 TTLs, so that step two stays small."""
+    return max(16 * ttl_us, min(256 * ttl_us, DAY_US))
+
 
 _STEPS = T.StructType([
     T.StructField(_KEY, T.StringType()), T.StructField(_SPAN, T.LongType()),
@@ -44,6 +50,11 @@ _STARTS = T.StructType([
 ])
 
 
+def _values(pdf: pd.DataFrame, *columns: str):
+    # plain Python values iterate several times faster than a Series does
+    return zip(*(pdf[c].tolist() for c in columns))
+
+
 def _joined(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for low, high in sorted(intervals):
@@ -68,7 +79,7 @@ def _span_steps(batches: Iterator[pd.DataFrame], ttl: int) -> Iterator[pd.DataFr
             out.extend((*current, low, high, leave) for low, high in intervals)
 
     for pdf in batches:
-        for key, begin, us in zip(pdf[_KEY], pdf[_SPAN], pdf[_TIME]):
+        for key, begin, us in _values(pdf, _KEY, _SPAN, _TIME):
             if (key, begin) != current:
                 if current is not None:
                     flush()
@@ -98,7 +109,7 @@ def _walk_spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     key, begin, free, leave = None, None, None, None
     for pdf in batches:
         out = []
-        for k, b, low, high, then in zip(pdf[_KEY], pdf[_SPAN], pdf["after"], pdf["upto"], pdf["leave"]):
+        for k, b, low, high, then in _values(pdf, _KEY, _SPAN, "after", "upto", "leave"):
             if k != key:
                 key, begin, free = k, None, None
             if b != begin:
@@ -115,7 +126,7 @@ def _mark(batches: Iterator[pd.DataFrame], ttl: int) -> Iterator[pd.DataFrame]:
     current, free = None, 0
     for pdf in batches:
         keep = []
-        for key, begin, us, start in zip(pdf[_KEY], pdf[_SPAN], pdf[_TIME], pdf["free_at"]):
+        for key, begin, us, start in _values(pdf, _KEY, _SPAN, _TIME, "free_at"):
             if (key, begin) != current:
                 current, free = (key, begin), start
             kept = us >= free
@@ -126,7 +137,7 @@ def _mark(batches: Iterator[pd.DataFrame], ttl: int) -> Iterator[pd.DataFrame]:
 
 
 def ttl_dedup(df: DataFrame, key: str | Column, ts: str | Column, seconds: int, tie: str | Column,
-              span_windows: int = SPAN_WINDOWS) -> DataFrame:
+              span_windows: int | None = None) -> DataFrame:
     """Rows of ``df`` that the greedy rule keeps. ``tie`` (unique) orders rows of one key and instant.
 
     Of such rows only the first can be kept; they are reduced before anything else by a map-side
@@ -135,6 +146,7 @@ def ttl_dedup(df: DataFrame, key: str | Column, ts: str | Column, seconds: int,
     if seconds <= 0:
         return df
     ttl = seconds * 1_000_000
+    span = ttl * span_windows if span_windows else span_length(ttl)
     key = F.col(key) if isinstance(key, str) else key
     ts = F.col(ts) if isinstance(ts, str) else ts
     tie = F.col(tie) if isinstance(tie, str) else tie
@@ -147,7 +159,7 @@ def ttl_dedup(df: DataFrame, key: str | Column, ts: str | Column, seconds: int,
     slim = (
         marked.where(F.col(_TIME).isNotNull()).groupBy(_KEY, _TIME).agg(F.min(_TIE).alias(_TIE))
         # never NULL here; said so, both uses below keep one and the same exchange
-        .withColumn(_SPAN, F.coalesce(floor_to(F.col(_TIME), ttl * span_windows), F.lit(0).cast("bigint")))
+        .withColumn(_SPAN, F.coalesce(floor_to(F.col(_TIME), span), F.lit(0).cast("bigint")))
         .repartition(_KEY, _SPAN)
     )
     steps = (
