@@ -272,15 +272,15 @@ def test_failed_run_is_recorded(spark, tmp_path):
 
 
 def test_csv_and_db_tasks(spark, tmp_path):
-    (tmp_path / "a.csv").write_text("steam,rank\n1, 5 \n1,6\n")
+    (tmp_path / "a.csv").write_text("game,rank\n1, 5 \n1,6\n")
     output = {"target_table": "t", "table_schema": {"columns": [{"name": "s", "type": "INTEGER"}, {"name": "r", "type": "INTEGER"}, {"name": "who", "type": "TEXT"}],
                                                     "indexes": [{"columns": ["s"], "unique": True}]},
-              "parser": {"type": "sdk_mapping", "fields": [{"name": "s", "source": "steam", "to_number": True}, {"name": "r", "source": "rank", "to_number": True},
+              "parser": {"type": "sdk_mapping", "fields": [{"name": "s", "source": "game", "to_number": True}, {"name": "r", "source": "rank", "to_number": True},
                                                            {"name": "who", "value": "{owner}"}]}}
     target = {"t": spark.createDataFrame([], "s long, r long, who string")}
     csv = TaskSpec.from_dict({"name": "c", "type": "csv", "params": {"owner": "me"}, "file": {"path": str(tmp_path / "a.csv")}, "outputs": [output]})
     assert [tuple(r) for r in run_task(spark, csv, RUN, target).outputs["t"].table.collect()] == [(1, 6, "me")]
-    db = TaskSpec.from_dict({"name": "d", "type": "db", "db": {"query": "SELECT id AS steam, id + 1 AS rank FROM src"}, "outputs": [output]})
+    db = TaskSpec.from_dict({"name": "d", "type": "db", "db": {"query": "SELECT id AS game, id + 1 AS rank FROM src"}, "outputs": [output]})
     got = run_task(spark, db, RUN, target, views={"src": spark.range(3)}).outputs["t"].table.collect()
     assert sorted(tuple(r) for r in got) == [(0, 1, "{owner}"), (1, 2, "{owner}"), (2, 3, "{owner}")]
 
