@@ -12,10 +12,10 @@ def con(sf_dir):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.QUERIES) == set(entry.ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.QUERIES))
 def test_query(spark, con, sf_dir, name):
     assert compare(spark, con, entry.queries()[name], entry.oracle_sql()[name], sf_dir) is None
 
