@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ingestkit.llm import mixing
+from ingestkit.llm import decontaminate, mixing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +25,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op3_decontaminate", decontaminate.DECONTAMINATE_SQL)
+def op3(spark, sf_dir):
+    return decontaminate.decontaminate_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_sharding")
+def op6(spark, sf_dir):
+    return sharding.shard_rows(table(spark, sf_dir, "documents"))
+
+
 @query("op7_mixing", mixing.MIXING_SQL)
 def op7(spark, sf_dir):
     return mixing.mixing_digest(table(spark, sf_dir, "documents"))
