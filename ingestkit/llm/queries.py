@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ingestkit.llm import decontaminate, mixing, sharding
+from ingestkit.llm import decontaminate, mixing, ngram_join, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +25,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_ngram_join", ngram_join.JOIN_SQL)
+def op1(spark, sf_dir):
+    return ngram_join.join_digest(table(spark, sf_dir, "documents"))
+
+
 @query("op3_decontaminate", decontaminate.DECONTAMINATE_SQL)
 def op3(spark, sf_dir):
     return decontaminate.decontaminate_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
