@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ingestkit.llm import decontaminate, mixing, ngram_join, sharding
+from ingestkit.llm import decontaminate, language, mixing, ngram_join, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,6 +35,11 @@ def op3(spark, sf_dir):
     return decontaminate.decontaminate_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op4_language_id")
+def op4(spark, sf_dir):
+    return language.identify_digest(table(spark, sf_dir, "documents"))
+
+
 @query("op6_sharding")
 def op6(spark, sf_dir):
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
