@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ingestkit.llm import decontaminate, language, mixing, ngram_join, sharding
+from ingestkit.llm import decontaminate, language, mixing, ngram_join, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +30,11 @@ def op1(spark, sf_dir):
     return ngram_join.join_digest(table(spark, sf_dir, "documents"))
 
 
+@query("op2_toxicity")
+def op2(spark, sf_dir):
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op3_decontaminate", decontaminate.DECONTAMINATE_SQL)
 def op3(spark, sf_dir):
     return decontaminate.decontaminate_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
