@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ingestkit.llm import decontaminate, language, mixing, ngram_join, sharding, toxicity
+from ingestkit.llm import decontaminate, html_blocks, language, mixing, ngram_join, sharding, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,6 +45,11 @@ def op4(spark, sf_dir):
     return language.identify_digest(table(spark, sf_dir, "documents"))
 
 
+@query("op5_html_text")
+def op5(spark, sf_dir):
+    return html_blocks.extract(table(spark, sf_dir, "pages"))
+
+
 @query("op6_sharding")
 def op6(spark, sf_dir):
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
@@ -53,3 +58,8 @@ def op6(spark, sf_dir):
 @query("op7_mixing", mixing.MIXING_SQL)
 def op7(spark, sf_dir):
     return mixing.mixing_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op8_url_filter")
+def op8(spark, sf_dir):
+    return url_filter.judge_digest(table(spark, sf_dir, "pages"))
