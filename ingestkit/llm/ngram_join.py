@@ -9,7 +9,8 @@ first, by a count sketch of fixed size over all documents, ties by hash; any ord
 2. Groups are posted under the shingles of their prefix, once. Shingles posted for one node only are dropped.
 3. Filter group pairs: in every posting, and there in every range of sizes, groups meet the group whose shingles are
    most frequent on the whole: in a family of near copies that is the least edited one. Two overlapping ranges per size
-   make all sizes that can link meet. The groups of these pairs are expanded to their nodes and verified on whole sets.
+   make all sizes that can link meet. The groups of these pairs are expanded to their nodes; pairs whose prefixes leave
+   too little to share are dropped, the others are verified on whole sets.
 4. Links make components. A posting all of whose nodes are in one component is done: no link in it can change the
    result. In the others the nodes outside the posting's main component meet the others of different component, if the
    length and the place of the shingle in both prefixes leave enough to share. Those pairs are verified as well.
@@ -26,6 +27,7 @@ part, and their component is null where it has no id; an empty table gives no ro
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ingestkit.llm.common import fields, written
+from ingestkit.llm.common import fields, lookup, written
 from ingestkit.llm.components import components
 from ingestkit.llm.shingles import mixed, shingles, signed
 
@@ -49,6 +51,12 @@ def frequency_sketch(docs: DataFrame, words: int, bits: int) -> np.ndarray:
     """How many documents hold a shingle of each of 2^bits hash ranges. Tasks add up their counts in a tree."""
     shift = np.uint64(64 - bits)
 
+    def packed(total: np.ndarray) -> bytes:
+        return zlib.compress(total.tobytes(), 1)
+
+    def unpacked(raw: bytes) -> np.ndarray:
+        return np.frombuffer(zlib.decompress(raw), np.int64)
+
     def count(batches):
         total, waiting, n = np.zeros(1 << bits, np.int64), [], 0
         for _, texts in _texts(batches):
@@ -61,27 +69,16 @@ def frequency_sketch(docs: DataFrame, words: int, bits: int) -> np.ndarray:
                     waiting, n = [], 0
         if waiting:
             total += np.bincount(np.concatenate(waiting), minlength=1 << bits)
-        nonzero = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"at": [nonzero.astype(np.int32).tobytes()], "n": [total[nonzero].tobytes()]})
+        yield pa.RecordBatch.from_pydict({"counts": pa.array([packed(total)], pa.binary())})
 
-    def add(x, y):
-        out = np.zeros(1 << bits, np.int64)
-        for at, n in (x, y):
-            out[np.frombuffer(at, np.int32)] += np.frombuffer(n, np.int64)
-        nonzero = np.flatnonzero(out)
-        return nonzero.astype(np.int32).tobytes(), out[nonzero].tobytes()
+    parts = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "counts binary").rdd
+    if not parts.getNumPartitions():
+        return np.zeros(1 << bits, np.int64)
+    return unpacked(parts.map(lambda r: bytes(r[0])).treeReduce(lambda x, y: packed(unpacked(x) + unpacked(y)), depth=3))
 
-    parts = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "at binary, n binary").rdd
-    out = np.zeros(1 << bits, np.int64)
-    if parts.getNumPartitions():
-        at, n = parts.map(lambda r: (bytes(r[0]), bytes(r[1]))).treeReduce(add, depth=3)
-        out[np.frombuffer(at, np.int32)] = np.frombuffer(n, np.int64)
-    return out
 
-
-def profiles(docs: DataFrame, words: int, percent: int, bits: int) -> DataFrame:
+def profiles(docs: DataFrame, words: int, percent: int, sketch, bits: int) -> DataFrame:
     """Per row: ``doc_id, n`` (set size), ``key`` (of the set), ``weight`` (mean log frequency), ``prefix``."""
-    sketch = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs, words, bits).astype(np.int64))  # 2^bits counts
     shift = np.uint64(64 - bits)
 
     def profile(batches):
@@ -115,10 +112,37 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def most_shared(x: np.ndarray, nx: int, y: np.ndarray, ny: int, sketch: np.ndarray, shift: np.uint64) -> int:
+    """How many shingles two sets can share at most, from their sizes and prefixes alone.
+
+    The prefix that ends first has all its partners inside the other; what lies behind it can at best be shared whole.
+    """
+    fx, fy = sketch[(x >> shift).astype(np.int64)], sketch[(y >> shift).astype(np.int64)]
+    if (fx[-1], x[-1]) > (fy[-1], y[-1]):
+        x, nx, fx, y, ny, fy = y, ny, fy, x, nx, fx
+    passed = int(((fy < fx[-1]) | ((fy == fx[-1]) & (y <= x[-1]))).sum())
+    return len(np.intersect1d(x, y, assume_unique=True)) + min(nx - len(x), ny - passed)
+
+
+def plausible(pairs: DataFrame, nodes: DataFrame, sketch, bits: int, percent: int) -> DataFrame:
+    """The pairs whose prefixes leave enough to share."""
+    shift = np.uint64(64 - bits)
+
+    def check(batches):
+        for batch in batches:
+            a, b, nx, x, ny, y = (batch.column(k) for k in range(6))
+            keep = [(100 + percent) * most_shared(np.array(p.values, np.int64).view(np.uint64), n, np.array(q.values, np.int64).view(np.uint64), m, sketch.value, shift)
+                    >= percent * (n + m) for n, p, m, q in zip(nx.to_pylist(), x, ny.to_pylist(), y)]
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    sides = [nodes.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("prefix").alias(f"p{k}")) for k in "ab"]
+    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "na", "pa", "nb", "pb").mapInArrow(check, "a bigint, b bigint")
+
+
 def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """``a, b`` (keys of nodes) → those that link, checked on the sets of whole texts."""
     wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    wanted = written(wanted.join(nodes.select("key", "doc_id"), "key"), "join-wanted").select("key", F.col("doc_id").alias("_id"))
+    wanted = written(wanted.join(nodes.select("key", "doc_id"), "key").select("key", F.col("doc_id").alias("_id")), "join-wanted")
 
     def sets(batches):
         for batch, texts in _texts(batches):
@@ -127,16 +151,15 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, perc
                                               "own": pa.array([_key(s) for s in out], pa.int64())})
 
     chosen = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(
-        wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("key", "text")
+        lookup(wanted, wanted.count()), F.col("doc_id").eqNullSafe(F.col("_id"))).select("key", "text")
     # an id may stand for several texts: the one whose set has the key is meant
     held = written(chosen.mapInArrow(sets, "key bigint, set binary, own bigint").where("key = own").dropDuplicates(["key"]).select("key", "set"), "join-sets")
 
     def check(batches):
         for batch in batches:
-            a, b, x, y = (batch.column(k).to_pylist() for k in range(4))
-            keep = [linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent) for p, q in zip(x, y)]
-            yield pa.RecordBatch.from_pydict({"a": pa.array([v for v, k in zip(a, keep) if k], pa.int64()),
-                                              "b": pa.array([v for v, k in zip(b, keep) if k], pa.int64())})
+            a, b, x, y = (batch.column(k) for k in range(4))
+            keep = [linked(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64), percent) for p, q in zip(x, y)]
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return (pairs.join(held.select(F.col("key").alias("a"), F.col("set").alias("x")), "a")
             .join(held.select(F.col("key").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
@@ -161,18 +184,20 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bits: int
     ``n_links`` counts the links that were verified for the document's set, enough of them to make the component.
     """
     docs = fields(docs, doc_id=id_col, text=text_col)
-    rows = written(profiles(docs, words, percent, bits), "join-profiles")
+    sketch = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs, words, bits))  # 2^bits counts, whatever the corpus
+    rows = written(profiles(docs, words, percent, sketch, bits), "join-profiles")
     classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     first = rows.where("n > 0").select("key", F.col("doc_id").alias("_id"), "weight", "prefix").join(
         classes, "key").where(F.col("_id").eqNullSafe(F.col("doc_id"))).drop("_id").dropDuplicates(["key"])
     nodes = written(first.withColumn("group", F.xxhash64("n", "prefix")), "join-nodes")
     groups = nodes.groupBy("group").agg(F.first("n").alias("n"), F.count("*").alias("members"),
                                         F.max(F.struct("weight", "key")).alias("lead"), F.min("key").alias("_min"))
-    prefixed = groups.join(nodes.select("key", "prefix"), F.col("_min") == F.col("key")).drop("key", "_min")
-    posted = prefixed.select("group", "n", "members", "lead", F.posexplode("prefix").alias("place", "token"))
-    shared = Window.partitionBy("token")
+    groups = written(groups, "join-groups")
+    prefixed = nodes.select("key", "group", "prefix").join(groups.select(F.col("_min").alias("key"), "members"), "key")
+    posted = prefixed.select("group", "members", F.posexplode("prefix").alias("place", "token"))
     # one exchange of the postings: most shingles are posted once and end here
-    postings = written(posted.withColumn("_n", F.sum("members").over(shared)).where("_n > 1").drop("_n"), "join-postings")
+    shared = written(posted.withColumn("_n", F.sum("members").over(Window.partitionBy("token"))).where("_n > 1").drop("_n", "members"), "join-shared")
+    postings = written(shared.join(groups.select("group", "n", "members", "lead"), "group"), "join-postings")
 
     # every posting meets its most central group, in two overlapping ranges of sizes
     step = math.log(100 / percent)
@@ -183,7 +208,8 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bits: int
              .select(F.col("top.key").alias("a"), "group").distinct())
     inner = groups.where("members > 1").select(F.col("lead.key").alias("a"), "group")
     expanded = stars.unionByName(inner).join(nodes.select("group", F.col("key").alias("b")), "group")
-    links = written(verify(written(_ordered(expanded), "join-stars"), nodes, docs, words, percent), "join-links")
+    stars = written(plausible(_ordered(expanded), nodes, sketch, bits, percent), "join-stars")
+    links = written(verify(stars, nodes, docs, words, percent), "join-links")
     parts = written(components(links), "join-components")
 
     # the exact rest: pairs of different components in postings that are not settled
@@ -198,7 +224,8 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bits: int
     rest = odd.join(open_, "token").where(
         (F.col("qa") != F.col("part")) & ((F.col("part") == F.col("main")) | (F.col("a") < F.col("key")))
         & _compatible(F.col("na"), F.col("n"), percent) & enough).select("a", F.col("key").alias("b"))
-    late = written(verify(written(_ordered(rest), "join-rest"), nodes, docs, words, percent), "join-late")
+    rest = written(plausible(_ordered(rest), nodes, sketch, bits, percent), "join-rest")
+    late = written(verify(rest, nodes, docs, words, percent), "join-late")
     if not late.isEmpty():
         links = links.unionByName(late)
         parts = written(components(links), "join-components")
