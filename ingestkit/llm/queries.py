@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ingestkit.llm import decontaminate, html_blocks, language, mixing, ngram_join, sharding, toxicity, url_filter
+from ingestkit.llm import ann, decontaminate, html_blocks, language, mixing, ngram_join, sharding, token_scan, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,3 +63,13 @@ def op7(spark, sf_dir):
 @query("op8_url_filter")
 def op8(spark, sf_dir):
     return url_filter.judge_digest(table(spark, sf_dir, "pages"))
+
+
+@query("op9_token_counts")
+def op9(spark, sf_dir):
+    return token_scan.token_counts(table(spark, sf_dir, "documents"))
+
+
+@query("op10_ann")
+def op10(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"))
