@@ -45,7 +45,8 @@ sharing shop sidebar sidenav signup skip social sponsor sponsored subscribe subs
 _INSIDE_WORDS = frozenset("article content entry main maincontent post story text body".split())
 _LAYOUT_WORDS = frozenset("col columns container grid has inner layout no outer page row site with without wrap wrapper".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
+#: A comment, a tag, a tag with unbalanced quotes, a declaration. No part is tried again once matched, so time stays linear.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)((?>[a-zA-Z][^\s/><]*))((?>(?:"[^"<]*"|'[^'<]*'|[^<>"'])*))>|<(/?)((?>[a-zA-Z][^\s/>]*))((?>[^>]*))>|<[!?](?>[^>]*)>""", re.S)
 _HINTS = re.compile(r"""(?:^|[\s"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -103,9 +104,15 @@ def blocks(page: str | None) -> list[Block]:
             linked.append(piece)
 
     page = page or ""
-    at = 0
+    at, last, unclosed = 0, page.rfind(">"), set()
     while at < len(page):
-        m = _TAG.search(page, at)
+        begin = page.find("<", at)
+        m = None
+        while 0 <= begin and (begin <= last or page.startswith("<!--", begin)):
+            m = _TAG.match(page, begin)
+            if m:
+                break
+            begin = page.find("<", begin + 1)
         if m is None:
             add(page[at:])
             break
@@ -117,9 +124,14 @@ def blocks(page: str | None) -> list[Block]:
             continue
         closing, attributes = bool(m.group(1) or m.group(4)), m.group(3) or m.group(6) or ""
         if name in _RAW:
-            if not closing and not attributes.endswith("/"):
+            if not closing and not attributes.endswith("/") and name not in unclosed:
                 end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else (len(page) if name not in ("head", "object", "noscript", "select") else at)
+                if end:
+                    at = end.end()
+                elif name in ("head", "noscript", "object", "select"):
+                    unclosed.add(name)
+                else:
+                    at = len(page)
             if name in _BLOCKS:
                 close()
         elif name == "br":
