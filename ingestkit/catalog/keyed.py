@@ -14,7 +14,7 @@ from ingestkit.operators.seen import change_against, content_change, content_has
 from ingestkit.operators.ttl import ttl_dedup
 from ingestkit.operators.upsert import not_null_violations, run_totals, upsert
 from ingestkit.session import shared_dir
-from ingestkit.sources.tables import ensure_table, read_table, upsert_partitions
+from ingestkit.sources.tables import delete_from_table, read_partitions, read_table, update_table, upsert_partitions, upsert_table
 from ingestkit.spec import TableSpec
 from ingestkit.streaming.landing import bucket_latest, read_landed, stream_upsert
 from ingestkit.streaming.ttl import stream_ttl_dedup
@@ -44,7 +44,7 @@ def sink_defaults(spark, sf):
 
 @query("sink_not_null", """
     SELECT 'c_name' AS column_name, count(*) FILTER (c_custkey % 7 = 0) AS nulls FROM customer
-    UNION ALL SELECT 'c_nationkey', 0 FROM customer LIMIT 2""")
+    UNION ALL SELECT 'c_nationkey', count(*) FILTER (c_nationkey IS NULL) FROM customer""")
 def sink_not_null(spark, sf):
     df = table(spark, sf, "customer").withColumn("c_name", F.when(F.pmod("c_custkey", F.lit(7)) != 0, F.col("c_name")))
     return not_null_violations(df, ["c_name", "c_nationkey"])
@@ -93,13 +93,20 @@ _COUNT_SQL = f"""
 
 @query("upsert", _UPSERT_SQL)
 def upsert_orders(spark, sf):
-    return upsert(order_table(spark, sf), order_delta(spark, sf), ["o_orderkey"], "seq", small_batch=False).table
+    return upsert(order_table(spark, sf), order_delta(spark, sf), ["o_orderkey"], "seq").table
 
 
 @query("upsert_small_batch", _UPSERT_SQL)
 def upsert_small(spark, sf):
-    """The plan is chosen by the batch's checked size; a small batch leaves the target unshuffled."""
-    return upsert(order_table(spark, sf), order_delta(spark, sf), ["o_orderkey"], "seq").table
+    """Into a written table, in buckets of the key: only those the batch falls into are read and replaced."""
+    path = f"{shared_dir(spark)}/orders-{uuid.uuid4().hex}"
+    spec = TableSpec.from_dict("orders", {
+        "columns": [{"name": "o_orderkey", "type": "INTEGER"}, {"name": "o_custkey", "type": "INTEGER"},
+                    {"name": "o_totalprice", "type": "REAL"}, {"name": "o_orderstatus", "type": "TEXT"}],
+        "indexes": [{"name": "uk", "columns": ["o_orderkey"], "unique": True}]})
+    upsert_partitions(spark, path, spec, order_table(spark, sf), RUN_TS, order_by="o_custkey", buckets=16)
+    upsert_partitions(spark, path, spec, order_delta(spark, sf), RUN_TS, order_by="seq", buckets=16)
+    return read_partitions(spark, path, spec)
 
 
 @query("upsert_counts", f"{_COUNT_SQL} SELECT inserted, total - inserted AS updated, total FROM c")
@@ -113,7 +120,7 @@ def upsert_count_query(spark, sf):
 def run_total_query(spark, sf):
     first = upsert(order_table(spark, sf), order_delta(spark, sf), ["o_orderkey"], "seq").metrics
     customers = table(spark, sf, "customer").select("c_custkey", "c_name")
-    second = upsert(customers.where(F.lit(False)), customers, ["c_custkey"]).metrics
+    second = upsert(customers.where(F.lit(False)), customers, ["c_custkey"], "c_name").metrics
     return run_totals(first.unionByName(second))
 
 
@@ -126,10 +133,29 @@ def upsert_partition_query(spark, sf):
         "indexes": [{"name": "uk", "columns": ["day", "event_id"], "unique": True}]})
     path = f"{shared_dir(spark)}/days-{uuid.uuid4().hex}"
     rows = table(spark, sf, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_id", "value", "ts")
-    upsert_partitions(spark, path, spec, rows.drop("ts"), RUN_TS, ["day"])
+    upsert_partitions(spark, path, spec, rows.drop("ts"), RUN_TS, ["day"], "event_id")
     again = rows.where(F.dayofmonth("ts") <= 5).withColumn("value", F.col("value") + 1).drop("ts")
-    upsert_partitions(spark, path, spec, again, RUN_TS, ["day"])
-    return spark.read.schema(spec.schema).parquet(path).select("day", "event_id", "value")
+    upsert_partitions(spark, path, spec, again, RUN_TS, ["day"], "event_id")
+    return read_partitions(spark, path, spec)
+
+
+@query("upsert_null_partition", """
+    SELECT CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE event_type END AS kind, event_id, CASE WHEN event_id % 2 = 0 THEN value + 1 ELSE value END AS value
+    FROM events WHERE event_id % 3 <> 0
+    UNION ALL SELECT NULL, event_id, value FROM events WHERE event_id % 3 = 0
+    UNION ALL SELECT NULL, event_id, value + 1 FROM events WHERE event_id % 6 = 0""")
+def upsert_null_partition(spark, sf):
+    """NULL and empty partition values stay apart and survive a second batch; rows without a key are all kept."""
+    spec = TableSpec.from_dict("kinds", {
+        "columns": [{"name": "kind", "type": "TEXT"}, {"name": "event_id", "type": "INTEGER"}, {"name": "value", "type": "REAL"}],
+        "indexes": [{"name": "uk", "columns": ["kind", "event_id"], "unique": True}]})
+    path = f"{shared_dir(spark)}/kinds-{uuid.uuid4().hex}"
+    third = F.pmod("event_id", F.lit(3))
+    rows = table(spark, sf, "events").select(F.when(third == 1, "").when(third == 2, F.col("event_type")).alias("kind"), "event_id", "value")
+    upsert_partitions(spark, path, spec, rows, RUN_TS, ["kind"], "event_id")
+    again = rows.where(F.pmod("event_id", F.lit(2)) == 0).withColumn("value", F.col("value") + 1)
+    upsert_partitions(spark, path, spec, again, RUN_TS, ["kind"], "event_id")
+    return read_partitions(spark, path, spec)
 
 
 # ------------------------------------------------------------------- mutations
@@ -152,6 +178,25 @@ def delete_count(spark, sf):
     return delete_where(table(spark, sf, "customer"), "c_nationkey", 7)[1]
 
 
+_STORED_SQL = """
+    SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'renamed' ELSE c_name END AS c_name, c_mktsegment
+    FROM customer WHERE c_nationkey <> 7 OR c_nationkey IS NULL"""
+
+
+@query("update_delete_stored", _STORED_SQL)
+def update_delete_stored(spark, sf):
+    """Update and delete on a written table: each is a committed rewrite."""
+    path = f"{shared_dir(spark)}/customers-{uuid.uuid4().hex}"
+    spec = TableSpec.from_dict("customers", {
+        "columns": [{"name": "c_custkey", "type": "INTEGER"}, {"name": "c_name", "type": "TEXT"}, {"name": "c_mktsegment", "type": "TEXT"},
+                    {"name": "c_nationkey", "type": "INTEGER"}],
+        "indexes": [{"name": "uk", "columns": ["c_custkey"], "unique": True}]})
+    upsert_table(spark, path, spec, table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey"), RUN_TS, "c_name")
+    update_table(spark, path, "c_mktsegment", "BUILDING", {"c_name": "renamed"})
+    delete_from_table(spark, path, "c_nationkey", 7)
+    return read_table(spark, path).select("c_custkey", "c_name", "c_mktsegment")
+
+
 @query("truncate_count", "SELECT count(*) AS deleted FROM lineitem")
 def truncate_count(spark, sf):
     return truncate(table(spark, sf, "lineitem"))[1]
@@ -223,13 +268,15 @@ def content_hash_query(spark, sf):
 
 
 @query("content_change", """
-    SELECT doc_id, lang, CASE WHEN p IS NULL THEN 'new' WHEN p = h THEN 'unchanged' ELSE 'changed' END AS status
-    FROM (SELECT doc_id, lang, h, lag(h) OVER (PARTITION BY lang, source ORDER BY doc_id) AS p
-          FROM (SELECT doc_id, lang, source, sha256(left(text, 1)) AS h FROM documents))""")
+    SELECT doc_id, copy, CASE WHEN p IS NULL THEN 'new' WHEN p = h THEN 'unchanged' ELSE 'changed' END AS status
+    FROM (SELECT doc_id, copy, h, lag(h) OVER (PARTITION BY lang, source ORDER BY 2 * doc_id + copy) AS p
+          FROM (SELECT doc_id, lang, source, copy, sha256(text) AS h FROM documents, (VALUES (0), (1)) c(copy)))""")
 def content_change_query(spark, sf):
+    """Whole texts, each fetched twice in a row."""
     docs = table(spark, sf, "documents").select(
-        "doc_id", "lang", F.concat_ws("/", "lang", "source").alias("url"), F.sha2(F.substring("text", 1, 1), 256).alias("h"))
-    return content_change(docs, "url", "doc_id", "h", span=10_000).select("doc_id", "lang", "status")
+        "doc_id", F.concat_ws("/", "lang", "source").alias("url"), F.sha2("text", 256).alias("h"), F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
+    placed = docs.withColumn("at", 2 * F.col("doc_id") + F.col("copy"))
+    return content_change(placed, "url", "at", "h", span=10_000).select("doc_id", "copy", "status")
 
 
 @query("content_change_seen", """
@@ -262,16 +309,15 @@ def stream_upsert_query(spark, sf):
         "columns": [{"name": "event_id", "type": "INTEGER NOT NULL"}, {"name": "user_id", "type": "INTEGER"}, {"name": "k", "type": "INTEGER"},
                     {"name": "crawled_at", "type": "TEXT NOT NULL DEFAULT (datetime('now', 'localtime'))"}],
         "indexes": [{"name": "uk", "columns": ["event_id"], "unique": True}]})
-    ensure_table(spark, f"{base}/table", spec)
 
     def land(rows):
         rows.write.mode("append").parquet(f"{base}/landed")
         stream_upsert(read_landed(spark, f"{base}/landed", events.schema), f"{base}/table", spec, RUN_TS, f"{base}/checkpoint",
-                      "event_id", lambda df: df.select("event_id", "user_id", typed_k("props").alias("k")))
+                      "event_id", lambda df: df.select("event_id", "user_id", typed_k("props").alias("k")), buckets=8)
 
     land(events.where(F.pmod("event_id", F.lit(2)) == 0))
     land(events)
-    return read_table(spark, f"{base}/table")
+    return read_partitions(spark, f"{base}/table", spec)
 
 
 @query("stream_ttl_dedup", _TTL_SQL)

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ingestkit.catalog.base import RUN_TS, query, table
 from ingestkit.catalog.cleaning import typed_k
 from ingestkit.catalog.ingest import order_pages, order_payloads
-from ingestkit.operators.query import count_where, page_count, query_table
+from ingestkit.functions.predicates import Predicates
+from ingestkit.operators.query import count_where, page_count, positions, query_table
 from ingestkit.plans import reports
 from ingestkit.plans.output import run_output
 from ingestkit.plans.task import run_task
+from ingestkit.session import shared_dir
 from ingestkit.spec import OutputSpec, TaskSpec
 
 # --------------------------------------------------------------- table queries
@@ -99,15 +103,12 @@ def q_global_agg(spark, sf):
 
 @query("q_order", """
     SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY cust DESC NULLS LAST, o_orderkey NULLS FIRST) AS place
-    FROM (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS cust FROM orders)
-    ORDER BY place LIMIT 9999""")
+    FROM (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS cust FROM orders)""")
 def q_order(spark, sf):
-    """The largest page of an ordered table, with its places."""
+    """The whole ordered table with its places, numbered without gathering it."""
     df = table(spark, sf, "orders").select(
         "o_orderkey", "o_custkey", F.when(F.pmod("o_orderkey", F.lit(7)) != 0, F.col("o_custkey")).alias("cust"))
-    top = query_table(df, "o_orderkey,o_custkey", order_by="cust DESC, o_orderkey ASC", limit=9999)[0]
-    # at most 9,999 rows, already in order
-    return top.coalesce(1).select("o_orderkey", "o_custkey", (F.monotonically_increasing_id() + 1).alias("place"))
+    return positions(df, "cust DESC, o_orderkey ASC").select("o_orderkey", "o_custkey", F.col("_position").alias("place"))
 
 
 @query("q_page", """
@@ -153,13 +154,17 @@ _LOGS = """(SELECT event_id AS id, user_id AS task_id, ts AS run_time,
     FROM events)"""
 
 
-def tasks(spark, sf) -> DataFrame:
-    c = table(spark, sf, "customer")
-    return c.where(F.pmod("c_custkey", F.lit(5)) != 0).select(
+def all_tasks(spark, sf) -> DataFrame:
+    return table(spark, sf, "customer").select(
         F.col("c_custkey").alias("id"), F.col("c_name").alias("task_name"),
         F.pmod("c_custkey", F.lit(2)).alias("enabled"), F.col("c_mktsegment").alias("target_table"))
 
 
+def tasks(spark, sf) -> DataFrame:
+    """Known tasks; runs of every fifth have none, as its table row was deleted."""
+    return all_tasks(spark, sf).where(F.pmod("id", F.lit(5)) != 0)
+
+
 _TASKS = "(SELECT c_custkey AS id, c_name AS task_name, c_mktsegment AS target_table FROM customer WHERE c_custkey % 5 <> 0)"
 
 
@@ -207,9 +212,9 @@ def rep_log_one(spark, sf):
 
 @query("rep_counts", """
     SELECT count(*) AS tasks_total, count(*) FILTER (c_custkey % 2 = 1) AS tasks_enabled, count(DISTINCT c_mktsegment) AS business_tables
-    FROM customer WHERE c_custkey % 5 <> 0""")
+    FROM customer""")
 def rep_counts(spark, sf):
-    return reports.task_counts(tasks(spark, sf))
+    return reports.task_counts(all_tasks(spark, sf))
 
 
 @query("rep_task_tables", """
@@ -230,16 +235,16 @@ _POINTS = """(SELECT coalesce(nullif(event_type, 'error'), 'null') AS series, ev
       CASE event_id % 3 WHEN 0 THEN value WHEN 1 THEN 0 ELSE event_id END::DOUBLE AS y FROM events)"""
 
 
-@query("rep_series", f"SELECT series, x, y FROM {_POINTS} ORDER BY x LIMIT 500")
+@query("rep_series", f"SELECT series, x, y FROM {_POINTS}")
 def rep_series(spark, sf):
-    """The chart page: at most 500 rows, in x order."""
+    """Every point of the chart."""
     return reports.chart_series(_chart_rows(spark, sf), "event_id", "y", "kind")
 
 
 @query("rep_series_mean", f"""
     SELECT series, round(avg(y), 4) AS mean, count(*) AS points FROM {_POINTS} GROUP BY ROLLUP (series)""")
 def rep_series_mean(spark, sf):
-    points = reports.chart_series(_chart_rows(spark, sf), "event_id", "y", "kind", rows=None)
+    points = reports.chart_series(_chart_rows(spark, sf), "event_id", "y", "kind")
     return reports.series_means(points).withColumn("mean", F.round("mean", 4))
 
 
@@ -270,7 +275,7 @@ def job_json(spark, sf):
     """Payload text → rows → cleaning → predicate → keyed table, over an existing table."""
     target = table(spark, sf, "orders").where(F.pmod("o_orderkey", F.lit(4)) == 0).select(
         F.col("o_orderkey").alias("k"), F.lit("old").alias("priority"), F.lit("old").alias("page"), F.lit("before").alias("crawled_at"))
-    return run_output(order_payloads(spark, sf), OutputSpec.from_dict(ORDER_OUTPUT), target, RUN_TS, small_batch=False).table
+    return run_output(order_payloads(spark, sf), OutputSpec.from_dict(ORDER_OUTPUT), target, RUN_TS).table
 
 
 PAGE_OUTPUT = {
@@ -291,7 +296,7 @@ PAGE_OUTPUT = {
 def job_html(spark, sf):
     spec = OutputSpec.from_dict(PAGE_OUTPUT)
     target = spark.createDataFrame([], spec.table.schema)
-    return run_output(order_pages(spark, sf), spec, target, RUN_TS, small_batch=False).table
+    return run_output(order_pages(spark, sf), spec, target, RUN_TS).table
 
 
 TASK = {
@@ -338,3 +343,46 @@ def job_task(spark, sf):
     FROM customer WHERE c_custkey % 11 <> 0 AND c_custkey % 13 <> 0""")
 def job_task_totals(spark, sf):
     return task_result(spark, sf).totals
+
+
+_GRID_TABLE = {
+    "columns": [{"name": "k", "type": "INTEGER NOT NULL"}, {"name": "name", "type": "TEXT"}, {"name": "region", "type": "TEXT"}],
+    "indexes": [{"name": "uk", "columns": ["k", "region"], "unique": True}]}
+_GRID_FIELDS = [{"name": "k", "source": "k", "to_number": True}, {"name": "name", "source": "name"}, {"name": "region", "value": "{region}"}]
+
+
+@query("job_db_grid", """
+    SELECT n_nationkey AS k, n_name AS name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE', 'AFRICA')""")
+def job_db_grid(spark, sf):
+    """A query with a variable is rendered and read once per value of the grid."""
+    task = TaskSpec.from_dict({
+        "name": "nations", "type": "db", "iterate": {"var_name": "region", "values": ["ASIA", "EUROPE", "AFRICA"]},
+        "db": {"query": "SELECT n_nationkey AS k, n_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = '{region}'"},
+        "target_table": "nations", "table_schema": _GRID_TABLE, "parser": {"type": "records", "fields": _GRID_FIELDS}})
+    target = spark.createDataFrame([], task.outputs[0].table.schema)
+    views = {"nation": table(spark, sf, "nation"), "region": table(spark, sf, "region")}
+    return run_task(spark, task, RUN_TS, {"nations": target}, views=views).outputs["nations"].table
+
+
+@query("job_csv_grid", """
+    SELECT c_custkey AS k, c_name AS name, region FROM customer, (VALUES ('CN'), ('US')) g(region)""")
+def job_csv_grid(spark, sf):
+    """A file without variables in its path is read once and meets every value of the grid."""
+    path = f"{shared_dir(spark)}/grid-{uuid.uuid4().hex}"
+    table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name")).write.csv(path, header=True)
+    task = TaskSpec.from_dict({
+        "name": "customers", "type": "csv", "iterate": {"var_name": "region", "values": ["CN", "US"]}, "file": {"path": path, "multiline": False},
+        "target_table": "customers", "table_schema": _GRID_TABLE, "parser": {"type": "records", "fields": _GRID_FIELDS}})
+    target = spark.createDataFrame([], task.outputs[0].table.schema)
+    return run_task(spark, task, RUN_TS, {"customers": target}).outputs["customers"].table
+
+
+@query("where_mixed", """
+    SELECT c_custkey, c_name FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey NOT IN (3, 5)""")
+def where_mixed(spark, sf):
+    """Literals of another kind than the column never equal it."""
+    df = table(spark, sf, "customer")
+    rules = [{"name": "c_mktsegment", "where": {"op": "in", "value": [7, "BUILDING", True, "MACHINERY"]}},
+             {"name": "c_nationkey", "where": {"op": "not_in", "value": ["x", 3, "4", 5]}},
+             {"name": "c_custkey", "where": {"op": "!=", "value": "1"}}]
+    return Predicates().keep(df, rules).select("c_custkey", "c_name")

@@ -50,25 +50,44 @@ class Predicates:
     def keep(self, df: DataFrame, fields: Sequence[Mapping]) -> DataFrame:
         """One filter: the AND of every field's ``where``.
 
-        A text column compared with a number (or the reverse) is a type error, which drops the row.
+        Values of another kind than the column (text, number, truth) never equal it, and ordering by them drops the row;
+        that is decided here, on the literals, so nothing is cast at run time.
         """
         tests = []
         for field in fields:
             where = field.get("where")
             if where:
                 kind = df.schema[field["name"]].dataType.simpleString()
-                tests.append(F.lit(False) if _mismatch(kind, where)
-                             else self.condition(F.col(f"`{field['name']}`"), where))
+                tests.append(self._by_kind(kind, F.col(f"`{field['name']}`"), where))
         return df.filter(reduce(and_, tests)) if tests else df
 
+    def _by_kind(self, kind: str, c: Column, where: Mapping) -> Column:
+        op, value = where.get("op", "=="), where.get("value")
+        if self._ops.get(op) is not _BUILT_IN.get(op):
+            return self.condition(c, where)
+        if op in (">", "<", ">=", "<="):
+            return self.condition(c, where) if _alike(kind, value) and value is not None else F.lit(False)
+        if op in ("==", "!="):
+            return self.condition(c, where) if _alike(kind, value) else F.lit(op == "!=")
+        if op in ("in", "not_in"):
+            return self.condition(c, {"op": op, "value": [v for v in value if _alike(kind, v)]})
+        return self.condition(c, where)
 
-def _mismatch(kind: str, where: Mapping) -> bool:
-    if where.get("op", "==") not in (">", "<", ">=", "<="):
-        return False
-    value = where.get("value")
+
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+
+
+def _alike(kind: str, value: Any) -> bool:
+    """Whether a literal can equal a value of the column's type at all; NULL equals NULL in any."""
     if value is None:
         return True
-    return (kind == "string") != isinstance(value, str)
+    if kind == "string":
+        return isinstance(value, str)
+    if kind.startswith(_NUMBERS):
+        return isinstance(value, (int, float))
+    if kind == "boolean":
+        return isinstance(value, bool)
+    return True  # times and structures are compared as Spark reads the literal
 
 
 DEFAULT_PREDICATES = Predicates()

@@ -191,12 +191,16 @@ def page(df: DataFrame, order_by: str | Sequence[str] | None, limit: int, offset
     return _deep_page(df, ordering, limit, offset)
 
 
-def _deep_page(df: DataFrame, ordering: Sequence[Column], limit: int, offset: int) -> DataFrame:
-    """Global position = rows in earlier sorted partitions + position inside the partition.
+def positions(df: DataFrame, order_by: str | Sequence[str]) -> DataFrame:
+    """``df`` with ``_position``, each row's place (from 1) in the whole order: rows in earlier sorted partitions and the
+    place inside its own.
 
-    The sort is checkpointed once: its range boundaries are sampled, so they must not be drawn
-    twice. The small count table has one row per partition.
+    The sort is checkpointed once: its range boundaries are sampled, so they must not be drawn twice.
     """
+    return _numbered(df, order_columns(df, order_by))
+
+
+def _numbered(df: DataFrame, ordering: Sequence[Column]) -> DataFrame:
     sorted_rows = cut_lineage(df.orderBy(*ordering))
     numbered = sorted_rows.withColumn("_id", F.monotonically_increasing_id())
     place = numbered.withColumns({
@@ -205,9 +209,14 @@ def _deep_page(df: DataFrame, ordering: Sequence[Column], limit: int, offset: in
     # one row per partition of the sort, whatever the table holds
     running = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("_part", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_before"))
-    position = F.col("_before") + F.col("_pos")
-    chosen = place.join(F.broadcast(before), "_part").where((position >= offset) & (position < offset + limit))
-    return chosen.orderBy(position).select(*df.columns)
+    joined = place.join(F.broadcast(before), "_part")
+    return joined.select(*df.columns, (F.col("_before") + F.col("_pos") + 1).alias("_position"))
+
+
+def _deep_page(df: DataFrame, ordering: Sequence[Column], limit: int, offset: int) -> DataFrame:
+    """A range of global positions; what is written is the sorted table."""
+    chosen = _numbered(df, ordering).where((F.col("_position") > offset) & (F.col("_position") <= offset + limit))
+    return chosen.orderBy("_position").select(*df.columns)
 
 
 def query_table(
@@ -222,7 +231,7 @@ def query_table(
 ) -> tuple[DataFrame, DataFrame]:
     """(page, one-row ``total``). The total counts rows under ``where`` and ignores grouping.
 
-    ``limit=None`` asks for the whole result.
+    Without a limit this is the first page of ``DEFAULT_LIMIT`` rows; ``limit=None`` asks for the whole result.
     """
     if limit is not None and not 1 <= limit <= MAX_LIMIT:
         raise QueryError(f"limit must be between 1 and {MAX_LIMIT}")

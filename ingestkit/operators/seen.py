@@ -35,7 +35,7 @@ def content_hash(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
 
 def seen_log(df: DataFrame, url: str, ts: str, hash_col: str, tie: str | None = None) -> DataFrame:
     """Per URL: first and last time seen, hits and the last content hash, pre-aggregated map-side."""
-    order = F.struct(ts, tie) if tie else F.col(ts)
+    order = F.struct(ts, tie) if tie else F.struct(ts)  # a bare NULL order would leave the row out
     return df.groupBy(url_hash(F.col(url)).alias("url_hash"), F.col(url).alias("url")).agg(
         F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"),
         F.count(F.lit(1)).alias("hit_count"), F.max_by(hash_col, order).alias("content_hash"))
@@ -46,7 +46,7 @@ def merge_seen(old: DataFrame, new: DataFrame) -> DataFrame:
     both = old.unionByName(new)
     return both.groupBy("url_hash", "url").agg(
         F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
-        F.sum("hit_count").alias("hit_count"), F.max_by("content_hash", "last_seen").alias("content_hash"))
+        F.sum("hit_count").alias("hit_count"), F.max_by("content_hash", F.struct("last_seen")).alias("content_hash"))
 
 
 def _status(previous: Column, current: Column) -> Column:
@@ -62,7 +62,7 @@ def content_change(df: DataFrame, key: str, order: str, hash_col: str, span: int
     """
     placed = df.withColumn("_span", floor_to(F.col(order), span))
     inside = Window.partitionBy(key, "_span").orderBy(order)
-    ends = placed.groupBy(key, "_span").agg(F.max_by(hash_col, order).alias("_last"))
+    ends = placed.groupBy(key, "_span").agg(F.max_by(hash_col, F.struct(order)).alias("_last"))
     across = Window.partitionBy(key).orderBy("_span")
     before = ends.withColumn("_before", F.lag("_last").over(across)).drop("_last")
     looked = placed.withColumn("_lag", F.lag(hash_col).over(inside)).join(before, [key, "_span"])

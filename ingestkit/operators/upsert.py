@@ -10,11 +10,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ingestkit.session import is_small
-
 _NEW = "_new"
 _ROWS = "_rows"
-_LONE = "_lone"
 _SALT = "_salt"
 
 
@@ -28,24 +25,26 @@ def _no_null_key(keys: Sequence[str]) -> Column:
     return reduce(and_, [F.col(f"`{k}`").isNotNull() for k in keys])
 
 
-def latest_per_key(batch: DataFrame, keys: Sequence[str], order: Column | None) -> DataFrame:
-    """One row per key: ``keys, _lone, _new STRUCT<other columns>, _rows``.
+def _apart(df: DataFrame, keys: Sequence[str], sign: int) -> DataFrame:
+    """``_salt`` is 0 for rows with a key; the others get numbers of their own, on either side of a join.
 
-    ``max_by`` keeps one candidate per key in every map task, so a key that fills a third of the
-    batch still sends only one row per task over the network. Rows with a NULL in the key stay
-    apart: only rows equal in every column share a group, and ``_rows`` says how many they are.
+    They meet nobody, not even each other: a million equal rows without a key spread over all tasks.
     """
-    values = [c for c in batch.columns if c not in keys]
-    payload = F.struct(*[F.col(f"`{c}`") for c in values]) if values else F.struct(F.lit(1).alias("_none"))
-    lone = F.when(~_no_null_key(keys), F.struct(*[F.col(f"`{c}`") for c in batch.columns]))
-    newest = F.max_by(payload, order) if order is not None else F.any_value(payload)
-    return batch.groupBy(*keys, lone.alias(_LONE)).agg(newest.alias(_NEW), F.count(F.lit(1)).alias(_ROWS))
+    own = F.lit(sign) * (F.monotonically_increasing_id() + 1)
+    return df.withColumn(_SALT, F.when(_no_null_key(keys), F.lit(0).cast("bigint")).otherwise(own))
+
 
+def latest_per_key(batch: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
+    """One row per key, ``keys, _salt, _new STRUCT<other columns>, _rows``, and every row without a key.
 
-def _salted(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Rows without a key meet nobody in a join; the salt keeps them from meeting in one task."""
-    content = F.xxhash64(*[F.col(f"`{c}`") for c in columns])
-    return df.withColumn(_SALT, F.when(_no_null_key(keys), F.lit(0).cast("bigint")).otherwise(content))
+    ``max_by`` keeps one candidate per key in every map task, so a key that fills a third of the batch still sends only
+    one row per task over the network. The order is a struct, as a bare NULL would leave a row out of account: NULL
+    sorts before everything.
+    """
+    values = [c for c in batch.columns if c not in keys]
+    payload = F.struct(*[F.col(f"`{c}`") for c in values]) if values else F.struct(F.lit(1).alias("_none"))
+    order = F.struct(*[F.col(f"`{c}`") for c in order_by])
+    return _apart(batch, keys, 1).groupBy(*keys, _SALT).agg(F.max_by(payload, order).alias(_NEW), F.count(F.lit(1)).alias(_ROWS))
 
 
 def upsert(
@@ -54,25 +53,19 @@ def upsert(
     keys: Sequence[str],
     order_by: str | Sequence[str] | None = None,
     defaults: Mapping[str, Column] | None = None,
-    small_batch: bool | None = None,
     observation: Observation | None = None,
 ) -> Upsert:
     """Merge ``batch`` into ``target``.
 
-    ``order_by`` names the batch columns that say which of several rows for a key is the last one;
-    they are dropped unless the target has them. Rows with a NULL in the key never conflict and
-    are all inserted. ``defaults`` fill columns that inserted rows do not supply.
+    ``order_by`` names the batch columns that say which of several rows for a key is the last one; a keyed upsert needs
+    it, and rows that tie in it are the caller's choice. These columns are dropped unless the target has them. Rows with
+    a NULL in the key never conflict and are all inserted. ``defaults`` fill columns that inserted rows do not supply.
 
-    A batch within the broadcast limit (checked by plan size unless ``small_batch`` says so) is
-    merged without shuffling the target at all; a larger one costs one exchange of each side and
-    reads the batch once. An ``observation`` receives ``inserted`` and ``total`` while the table
-    is being written, which saves the separate pass of ``metrics``.
+    The batch is read once and costs one exchange, the target another; sizes at run time decide how they are joined. An
+    ``observation`` receives ``inserted`` and ``total`` while the table is written; ``metrics`` is a pass of its own.
     """
     keys = list(keys)
     order_cols = [order_by] if isinstance(order_by, str) else list(order_by or [])
-    order = None
-    if order_cols:
-        order = F.struct(*[F.col(f"`{c}`") for c in order_cols]) if len(order_cols) > 1 else F.col(f"`{order_cols[0]}`")
     supplied = [c for c in batch.columns if c in target.columns]
     extra = [c for c in batch.columns if c not in target.columns and c not in order_cols]
     if extra:
@@ -80,6 +73,8 @@ def upsert(
     missing = [k for k in keys if k not in supplied]
     if missing:
         raise ValueError(f"batch lacks key columns: {missing}")
+    if keys and not order_cols:
+        raise ValueError("a keyed upsert needs order_by: which row of a key is the last")
     defaults = dict(defaults or {})
     kinds = {f.name: f.dataType for f in target.schema.fields}
 
@@ -99,59 +94,32 @@ def upsert(
     # key columns take the table's types before they meet
     typed = batch.select(*[F.col(f"`{c}`").cast(kinds[c]).alias(c) if c in kinds else F.col(f"`{c}`") for c in batch.columns])
     values = [c for c in supplied if c not in keys]
-    newest = latest_per_key(typed.select(*dict.fromkeys(keys + values + order_cols)), keys, order)
-    if small_batch is None:
-        small_batch = is_small(batch)
-
-    def new(c: str) -> Column:
-        return F.col(f"`{c}`") if c in keys else F.col(_NEW).getField(c)
-
-    def fill(c: str) -> Column:
-        return new(c) if c in supplied else defaults.get(c, F.lit(None)).cast(kinds[c])
-
-    # equal rows without a key were counted together and are all inserted
-    copies = F.when(_no_null_key(keys), F.lit(1)).otherwise(F.col(_ROWS))
-    if small_batch:
-        hits = target.select(*keys).join(F.broadcast(newest.select(*keys)), keys, "left_semi")
-        old = target.alias("t").join(F.broadcast(newest), keys, "left")
-        hit = F.col(_ROWS).isNotNull()
-        merged = watched(old, F.lit(0), F.when(hit, F.col(_ROWS))).select(*[
-            (F.col(f"`{c}`") if c in keys else F.when(hit, new(c)).otherwise(F.col(f"t.`{c}`")) if c in values
-             else F.col(f"t.`{c}`")).alias(c) for c in target.columns])
-        fresh = newest.join(F.broadcast(hits), keys, "left_anti")
-        added = fresh.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
-        added = added.select(*[fill(c).alias(c) for c in target.columns])
-        return Upsert(merged.unionByName(added), upsert_counts(target, typed, keys, True))
-
-    old = _salted(target, keys, target.columns).withColumn("_old", F.lit(True)).alias("t")
-    joined = old.join(_salted(newest, keys, [_LONE]), [*keys, _SALT], "full_outer")
-    is_new = F.col("_old").isNull()
-    joined = watched(joined, F.when(is_new, copies), F.col(_ROWS))
+    newest = latest_per_key(typed.select(*dict.fromkeys(keys + values + order_cols)), keys, order_cols)
+    old = _apart(target, keys, -1).withColumn("_old", F.lit(True)).alias("t")
+    joined = old.join(newest, [*keys, _SALT], "full_outer")
+    is_new, hit = F.col("_old").isNull(), F.col(_ROWS).isNotNull()
+    joined = watched(joined, F.when(is_new, 1), F.col(_ROWS))
     columns = []
     for c in target.columns:
         if c in keys:
             value = F.col(f"`{c}`")
         elif c in values:
-            value = F.when(F.col(_ROWS).isNotNull(), new(c)).otherwise(F.col(f"t.`{c}`"))
+            value = F.when(hit, F.col(_NEW).getField(c)).otherwise(F.col(f"t.`{c}`"))
         else:
-            value = F.when(is_new, fill(c)).otherwise(F.col(f"t.`{c}`"))
+            value = F.when(is_new, defaults.get(c, F.lit(None)).cast(kinds[c])).otherwise(F.col(f"t.`{c}`"))
         columns.append(value.alias(c))
-    n = F.when(is_new, copies).otherwise(F.lit(1)).cast("int")
-    table = joined.select(*columns, F.explode(F.array_repeat(F.lit(1), n)).alias("_copy")).drop("_copy")
-    return Upsert(table, upsert_counts(target, typed, keys, False))
+    return Upsert(joined.select(*columns), upsert_counts(target, typed, keys))
 
 
-def upsert_counts(target: DataFrame, batch: DataFrame, keys: Sequence[str], small_batch: bool | None = None) -> DataFrame:
+def upsert_counts(target: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``inserted`` = new distinct keys + rows without a key; every other batch row counts as updated."""
-    rows = _salted(batch, keys, batch.columns)
-    per_key = rows.groupBy(*keys, _SALT).agg(F.count(F.lit(1)).alias(_ROWS))
-    known = target.select(*keys).where(_no_null_key(keys)).withColumn(_SALT, F.lit(0).cast("bigint"))
-    if small_batch if small_batch is not None else is_small(batch):
-        known = known.join(F.broadcast(per_key.select(*keys)), keys, "left_semi")
-    fresh = F.when(~_no_null_key(keys), F.col(_ROWS)).when(F.col("_hit").isNull(), 1).otherwise(0)
-    return _metrics(
-        per_key.join(known.withColumn("_hit", F.lit(1)), [*keys, _SALT], "left")
-        .agg(F.coalesce(F.sum(fresh), F.lit(0)).alias("inserted"), F.coalesce(F.sum(_ROWS), F.lit(0)).alias("total")))
+    whole = batch.where(_no_null_key(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias(_ROWS))
+    known = target.select(*keys).withColumn("_hit", F.lit(1))
+    keyed = whole.join(known, list(keys), "left").agg(
+        F.count_if(F.col("_hit").isNull()).alias("inserted"), F.coalesce(F.sum(_ROWS), F.lit(0)).alias("total"))
+    lone = batch.agg(F.count_if(~_no_null_key(keys)).alias("_lone"))
+    return _metrics(keyed.crossJoin(lone).select(  # one row each
+        (F.col("inserted") + F.col("_lone")).alias("inserted"), (F.col("total") + F.col("_lone")).alias("total")))
 
 
 def _metrics(counts: DataFrame) -> DataFrame:

@@ -114,7 +114,7 @@ def extract_rows(payloads: DataFrame, output: OutputSpec, kit: Toolkit, body: st
 
 def run_output(payloads: DataFrame, output: OutputSpec, target: DataFrame, run_ts,
                kit: Toolkit | None = None, on_error: str = "null", body: str = "body",
-               doc: str = "doc_id", small_batch: bool | None = None) -> OutputResult:
+               doc: str = "doc_id") -> OutputResult:
     """One lazy plan. ``on_error``: ``null`` keeps a row with a bad cell (as NULL), ``quarantine``
     sets such rows aside, ``fail`` stops the job."""
     kit = kit or Toolkit()
@@ -129,7 +129,7 @@ def run_output(payloads: DataFrame, output: OutputSpec, target: DataFrame, run_t
     rows = kit.predicates.keep(good, fields).drop("_errors")
     names = [f["name"] for f in fields]
     merged = upsert(target, rows, output.table.keys, ("_doc", ORDINAL),
-                    output.table.defaults(run_ts, names), small_batch)
+                    output.table.defaults(run_ts, names))
     return OutputResult(merged.table, merged.metrics, rows, quarantined, payloads)
 
 

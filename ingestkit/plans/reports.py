@@ -7,12 +7,10 @@ from pyspark.sql import functions as F
 
 from ingestkit.functions.datetimes import run_time
 from ingestkit.operators.query import QueryError, page
-from ingestkit.session import is_small
 
 # The statuses a report lists, in this order.
 STATUSES = ("success", "running", "failed")
 MAX_LOG_PAGE = 500
-CHART_ROWS = 500
 
 
 def recent(logs: DataFrame, run_ts, days: int = 7) -> DataFrame:
@@ -42,7 +40,7 @@ def daily_trend(logs: DataFrame, run_ts, days: int = 7) -> DataFrame:
 
 def with_task_names(logs: DataFrame, tasks: DataFrame) -> DataFrame:
     names = tasks.select(F.col("id").alias("task_id"), "task_name")
-    return logs.join(F.broadcast(names) if is_small(names) else names, "task_id", "left")
+    return logs.join(names, "task_id", "left")
 
 
 def list_logs(logs: DataFrame, tasks: DataFrame, task_name: str | None = None, status: str | None = None,
@@ -93,8 +91,8 @@ def chart_points(df: DataFrame, x: str, y: str, series: str | None = None) -> Da
 
 
 def chart_series(df: DataFrame, x: str, y: str, series: str | None = None, order_by: str | None = None,
-                 rows: int | None = CHART_ROWS) -> DataFrame:
-    """The first ``rows`` rows in order, as chart points; ``rows=None`` plots the whole table."""
+                 rows: int | None = None) -> DataFrame:
+    """The whole table as chart points, or the first ``rows`` rows in order."""
     ordered = page(df, order_by or f"{x} ASC", rows, 0) if rows is not None else df
     return chart_points(ordered, x, y, series)
 

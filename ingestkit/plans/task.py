@@ -11,10 +11,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ingestkit.functions.templates import has_variables, render
 from ingestkit.operators.grid import contexts
 from ingestkit.operators.upsert import run_totals
 from ingestkit.plans.output import OutputResult, Toolkit, run_outputs
-from ingestkit.session import is_small
 from ingestkit.sources.database import read_jdbc, sql_source
 from ingestkit.sources.files import acceptable, read_csv
 from ingestkit.spec import TaskSpec
@@ -31,16 +31,19 @@ class TaskResult:
 
 
 def requests(spark: SparkSession, task: TaskSpec, run_ts) -> DataFrame:
-    """The contexts of a run, one per address: a repeated address is asked for once."""
+    """The contexts of a run, one per address: of those with one address, the first in the order of the grid."""
     grid = contexts(spark, task.iterate, run_ts, task.url, task.name, task.params)
-    return grid.dropDuplicates(["url"]) if task.type in ("api", "web") else grid
+    if task.type not in ("api", "web"):
+        return grid
+    # explodes of one row in one partition number its contexts in grid order
+    members = F.struct(*[F.col(f"`{c}`") for c in grid.columns if c != "url"])
+    return grid.withColumn("_n", F.monotonically_increasing_id()).groupBy("url").agg(F.min_by(members, "_n").alias("_c")).select("url", "_c.*")
 
 
 def attach(grid: DataFrame, landed: DataFrame) -> DataFrame:
     """Landed payloads of the requested addresses, with the context variables as columns."""
     extra = [c for c in grid.columns if c not in landed.columns or c == "url"]
-    small = grid.select(*extra)
-    return landed.join(F.broadcast(small) if is_small(small) else small, "url")
+    return landed.join(grid.select(*extra), "url")
 
 
 def run_task(spark: SparkSession, task: TaskSpec, run_ts, targets: Mapping[str, DataFrame],
@@ -56,9 +59,7 @@ def run_task(spark: SparkSession, task: TaskSpec, run_ts, targets: Mapping[str,
             raise ValueError("api and web tasks read landed payloads")
         fetched = attach(requests(spark, task, run_ts), landed)
     else:
-        source = _tabular(spark, task, views)
-        base = {"task_name": task.name, **task.params}
-        fetched = source.withColumns({k: F.lit(v) for k, v in base.items() if k not in source.columns})
+        fetched = _tabular(spark, task, run_ts, views)
     if "error" in fetched.columns:
         errors = fetched.agg(F.count("error").alias("failed"), F.max_by("error", F.when(F.col("error").isNotNull(), F.col(doc))).alias("error"))
         fetched = fetched.where(F.col("error").isNull()).drop("error")
@@ -69,14 +70,34 @@ def run_task(spark: SparkSession, task: TaskSpec, run_ts, targets: Mapping[str,
     return TaskResult(outputs, totals, errors)
 
 
-def _tabular(spark: SparkSession, task: TaskSpec, views: Mapping[str, DataFrame] | None) -> DataFrame:
-    if task.type in ("csv", "excel"):
-        return read_csv(spark, task.source)
-    if task.type == "db":
-        if views:
-            return sql_source(spark, task.source.get("query", ""), views)
-        return read_jdbc(spark, task.source)
-    raise ValueError(f"unknown task type: {task.type}")
+def _tabular(spark: SparkSession, task: TaskSpec, run_ts, views: Mapping[str, DataFrame] | None) -> DataFrame:
+    """Rows of a file or a query, once per context of the grid, with the context's variables as columns.
+
+    A query or path without variables is read once and meets the grid in a join; one with variables is rendered for each
+    context. The grid is what the task description lists, so it is small and known before anything is read.
+    """
+    if task.type not in ("csv", "db"):
+        raise ValueError(f"a task of type {task.type} cannot be read here; sheets are given as frames to normalize_sheet"
+                         if task.type == "excel" else f"unknown task type: {task.type}")
+    grid = contexts(spark, task.iterate, run_ts, task.url, task.name, task.params)
+    place = "path" if task.type == "csv" else "query"
+    text = str(task.source.get(place) or "")
+
+    def read(source: Mapping) -> DataFrame:
+        if task.type == "csv":
+            return read_csv(spark, source)
+        return sql_source(spark, source.get("query", ""), views) if views else read_jdbc(spark, source)
+
+    if not has_variables(text):
+        rows = read(task.source)
+        return rows.crossJoin(F.broadcast(grid.select(*[c for c in grid.columns if c not in rows.columns])))  # the task's own list
+    rendered = grid.withColumn("_text", render(text, run_ts, {c: F.col(f"`{c}`") for c in grid.columns}))
+    parts = []
+    for context in rendered.collect():
+        values = context.asDict()
+        rows = read({**task.source, place: values.pop("_text")})
+        parts.append(rows.withColumns({k: F.lit(v) for k, v in values.items() if k not in rows.columns}))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def record_run(spark: SparkSession, log_path: str, task_name: str,
@@ -99,7 +120,7 @@ def record_run(spark: SparkSession, log_path: str, task_name: str,
             row.update(status="partial", error_msg=errors["error"])
     except Exception as e:  # the run record must be written whatever went wrong
         failure = e
-        row.update(status="failed", error_msg=str(e)[:2000])
+        row.update(status="failed", error_msg=str(e))
     row["duration_ms"] = int((time.time() - started) * 1000)
     spark.createDataFrame([tuple(row.values())], RUN_SCHEMA).write.mode("append").parquet(log_path)
     if failure is not None:

@@ -1,8 +1,13 @@
 """Target tables as parquet: created from a spec, rewritten by version, or by touched partition.
 
-An unpartitioned table lives in version folders with a one-line pointer file; readers follow the
-pointer, so they see the old table or the new one. A table partitioned by part of its key is
-upserted partition by partition: only the partitions the batch falls into are read and replaced.
+An unpartitioned table lives in version folders. ``_log`` holds one small file per commit, named by its number, that says
+which folder is the table; readers follow the highest. A commit is written aside and renamed to the next number, which
+fails if another writer was first, so a crash leaves the table as it was and no update is lost. The last
+``KEPT_VERSIONS`` versions stay for readers that have begun; older folders are deleted after a commit.
+
+A table that is upserted in small batches is partitioned, by columns of its key or by a hash of it: then only the
+partitions a batch falls into are read and replaced. The partition column ``_part`` is text of its own, so NULL and empty
+key values are kept apart and come back as they were.
 """
 
 from __future__ import annotations
@@ -10,14 +15,21 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from ingestkit.operators.mutations import delete_where, truncate, update_where
 from ingestkit.operators.upsert import assert_not_null, upsert
-from ingestkit.session import is_small
 from ingestkit.spec import TableSpec
 
-_POINTER = "_current"
+_LOG = "_log"
+_PART = "_part"
+KEPT_VERSIONS = 3
+
+
+class TableError(RuntimeError):
+    """The table cannot be read as it is, or another writer committed first."""
 
 
 def _fs(spark: SparkSession, path: str):
@@ -26,106 +38,188 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm.org.apache.hadoop.fs.Path
 
 
-def _current(spark: SparkSession, path: str) -> str | None:
+def _commits(spark: SparkSession, path: str) -> list[int]:
+    fs, _, Path = _fs(spark, path)
+    log = Path(f"{path}/{_LOG}")
+    if not fs.exists(log):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(log)]
+    return sorted(int(n) for n in names if n.isdigit())
+
+
+def _folder(spark: SparkSession, path: str, commit: int) -> str:
     fs, _, Path = _fs(spark, path)
-    pointer = Path(f"{path}/{_POINTER}")
-    if not fs.exists(pointer):
-        return None
-    stream = fs.open(pointer)
+    stream = fs.open(Path(f"{path}/{_LOG}/{commit:010d}"))
     try:
-        return stream.readLine()
+        name = stream.readLine()
     finally:
         stream.close()
+    if not name:
+        raise TableError(f"commit {commit} of {path} cannot be read")
+    return name
 
 
-def _point_to(spark: SparkSession, path: str, version: str) -> None:
+def _commit(spark: SparkSession, path: str, after: int, version: str) -> None:
+    """Make ``version`` the table, if commit ``after`` is still the last one."""
     fs, _, Path = _fs(spark, path)
-    stream = fs.create(Path(f"{path}/{_POINTER}"), True)
+    jvm = spark.sparkContext._jvm
+    aside, final = Path(f"{path}/{_LOG}/.{uuid.uuid4().hex}"), Path(f"{path}/{_LOG}/{after + 1:010d}")
+    stream = fs.create(aside, False)
     try:
         stream.writeBytes(version + "\n")
     finally:
         stream.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri() if final.toUri().getScheme() else fs.getUri(),
+                                                                  spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        context.rename(aside, final, spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+    except Exception as e:
+        fs.delete(aside, False)
+        if "FileAlreadyExistsException" in str(e):
+            raise TableError(f"another writer has changed {path}; read it again") from e
+        raise
+
 
+def write_version(df: DataFrame, path: str, after: int | None = None) -> str:
+    """Write a complete new version and then commit it; a failed write changes nothing.
 
-def write_version(df: DataFrame, path: str) -> str:
-    """Write a complete new version and then move the pointer; a failed write changes nothing."""
+    ``after`` is the commit that ``df`` was computed from (default: the last one).
+    """
+    spark = df.sparkSession
+    commits = _commits(spark, path)
+    if after is None:
+        after = commits[-1] if commits else 0
     version = f"v-{uuid.uuid4().hex}"
     df.write.parquet(f"{path}/{version}")
-    _point_to(df.sparkSession, path, version)
+    _commit(spark, path, after, version)
+    fs, _, Path = _fs(spark, path)
+    for old in commits[:max(0, len(commits) + 1 - KEPT_VERSIONS)]:
+        gone = _folder(spark, path, old)
+        fs.delete(Path(f"{path}/{gone}"), True)
+        fs.delete(Path(f"{path}/{_LOG}/{old:010d}"), False)
     return version
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    version = _current(spark, path)
-    if version is None:
+    commits = _commits(spark, path)
+    if not commits:
         raise FileNotFoundError(f"no table at {path}")
-    return spark.read.parquet(f"{path}/{version}")
+    return spark.read.parquet(f"{path}/{_folder(spark, path, commits[-1])}")
 
 
 def ensure_table(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
-    """The table at ``path``, created empty from its declared columns if there is none yet."""
+    """The table at ``path``, created empty from its declared columns if there is none yet.
+
+    A folder that holds versions but no readable commit is an error, never an empty table.
+    """
     if not spec.columns:
         raise ValueError(f"table {spec.name} declares no columns")
-    if _current(spark, path) is None:
-        write_version(spark.createDataFrame([], spec.schema), path)
+    if not _commits(spark, path):
+        fs, p, _ = _fs(spark, path)
+        if fs.exists(p) and any(s.getPath().getName().startswith("v-") for s in fs.listStatus(p)):
+            raise TableError(f"{path} holds data but no commit")
+        write_version(spark.createDataFrame([], spec.schema), path, 0)
     return read_table(spark, path)
 
 
-def _merge(target: DataFrame, batch: DataFrame, spec: TableSpec, run_ts, order_by):
-    """The merge and a function for its counts.
-
-    A large batch is counted while the table is written; a small one, whose plan never shuffles
-    the table, is counted by a pass over the batch before the table changes.
-    """
-    supplied = [c for c in batch.columns if c in target.columns]
-    defaults = spec.defaults(run_ts, supplied)
-    if is_small(batch):
-        result = upsert(target, batch, spec.keys, order_by, defaults, small_batch=True)
-        known = result.metrics.first().asDict()
-        return result, lambda: known
-    seen = Observation()
-    result = upsert(target, batch, spec.keys, order_by, defaults, small_batch=False, observation=seen)
+def _counts(seen: Observation) -> dict[str, int]:
+    got = seen.get
+    return {"inserted": got["inserted"], "updated": got["total"] - got["inserted"], "total": got["total"]}
 
-    def counts() -> dict[str, int]:
-        got = seen.get
-        return {"inserted": got["inserted"], "updated": got["total"] - got["inserted"], "total": got["total"]}
 
-    return result, counts
+def _merged(target: DataFrame, batch: DataFrame, spec: TableSpec, run_ts, order_by, seen: Observation) -> DataFrame:
+    supplied = [c for c in batch.columns if c in target.columns]
+    result = upsert(target, batch, spec.keys, order_by, spec.defaults(run_ts, supplied), seen)
+    return assert_not_null(result.table, spec.not_null())
 
 
 def upsert_table(spark: SparkSession, path: str, spec: TableSpec, batch: DataFrame, run_ts,
                  order_by: str | Sequence[str] | None = None) -> dict[str, int]:
-    """Merge a batch into the table and return its counts (inserted, updated, total).
+    """Merge a batch into the table and return its counts (inserted, updated, total), taken during the one write.
 
     A NOT NULL violation fails the write, and with it the whole batch.
     """
-    target = ensure_table(spark, path, spec)
-    result, counts = _merge(target, batch, spec, run_ts, order_by)
-    write_version(assert_not_null(result.table, spec.not_null()), path)
-    return counts()
+    ensure_table(spark, path, spec)
+    after = _commits(spark, path)[-1]
+    target = spark.read.schema(spec.schema).parquet(f"{path}/{_folder(spark, path, after)}")
+    seen = Observation()
+    write_version(_merged(target, batch, spec, run_ts, order_by, seen), path, after)
+    return _counts(seen)
+
+
+def _rewritten(spark: SparkSession, path: str, change) -> int:
+    """A committed rewrite of the table by ``change``: table → (table, one-row count)."""
+    after = _commits(spark, path)[-1]
+    table, count = change(spark.read.parquet(f"{path}/{_folder(spark, path, after)}"))
+    n = count.first()[0]
+    write_version(table, path, after)
+    return n
+
+
+def update_table(spark: SparkSession, path: str, column: str, value, changes) -> int:
+    """Set ``changes`` in the rows of the written table whose ``column`` equals ``value``; how many those are."""
+    def change(df: DataFrame):
+        return update_where(df, column, value, changes), delete_where(df, column, value)[1]
+    return _rewritten(spark, path, change)
+
+
+def delete_from_table(spark: SparkSession, path: str, column: str, value) -> int:
+    """Delete the rows of the written table whose ``column`` equals ``value``; how many those are."""
+    return _rewritten(spark, path, lambda df: delete_where(df, column, value))
 
 
-def upsert_partitions(spark: SparkSession, path: str, spec: TableSpec, batch: DataFrame, run_ts,
-                      partition_by: Sequence[str], order_by: str | Sequence[str] | None = None) -> dict[str, int]:
-    """Upsert into a table partitioned by key columns, touching only the batch's partitions.
+def truncate_table(spark: SparkSession, path: str) -> int:
+    return _rewritten(spark, path, truncate)
 
-    The new content is staged first and then replaces those partitions by dynamic overwrite, so a
-    run that dies in between can be repeated.
+
+# ----------------------------------------------------------------- partitioned
+
+def _part(columns: Sequence[str], buckets: int | None, keys: Sequence[str]) -> Column:
+    """Name of a row's partition: the values of ``columns``, or the bucket of the key's hash."""
+    if buckets:
+        return F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys]), F.lit(buckets)).cast("string")
+    texts = [F.coalesce(F.concat(F.lit("="), F.url_encode(F.col(f"`{c}`").cast("string"))), F.lit("null")) for c in columns]
+    return F.concat_ws("&", *texts)
+
+
+def read_partitions(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
+    """The rows of a partitioned table, without the partition column."""
+    schema = StructType([*spec.schema.fields, StructField(_PART, StringType())])
+    return spark.read.schema(schema).parquet(path).drop(_PART)
+
+
+def upsert_partitions(spark: SparkSession, path: str, spec: TableSpec, batch: DataFrame, run_ts, partition_by: Sequence[str] = (),
+                      order_by: str | Sequence[str] | None = None, buckets: int | None = None) -> dict[str, int]:
+    """Upsert into a partitioned table, reading and replacing only the partitions the batch falls into.
+
+    Partitions are named by columns of the key or, with ``buckets``, by a hash of it; a table keeps to one of them. The
+    batch is computed once, into a staging folder. So is the new content, which then replaces those partitions by
+    dynamic overwrite; a run that dies in between can be repeated.
     """
     parts = list(partition_by)
-    if not set(parts) <= set(spec.keys):
+    if bool(parts) == bool(buckets):
+        raise ValueError("give partition columns or a number of buckets")
+    if not spec.keys or not set(parts) <= set(spec.keys):
         raise ValueError("partition columns must belong to the key")
+    missing = [k for k in spec.keys if k not in batch.columns]
+    if missing:
+        raise ValueError(f"batch lacks key columns: {missing}")
     fs, p, Path = _fs(spark, path)
     if not fs.exists(p):
-        spark.createDataFrame([], spec.schema).write.partitionBy(*parts).parquet(path)
-    target = spark.read.schema(spec.schema).parquet(path)
-    # as many rows as there are partition folders, which the driver lists anyway: prunes the scan
-    touched = target.join(F.broadcast(batch.select(*parts).distinct()), parts, "left_semi").select(*target.columns)
-    result, counts = _merge(touched, batch, spec, run_ts, order_by)
+        spark.createDataFrame([], spec.schema).withColumn(_PART, F.lit("")).write.partitionBy(_PART).parquet(path)
     staging = f"{path.rstrip('/')}__staged_{uuid.uuid4().hex}"
-    assert_not_null(result.table, spec.not_null()).write.parquet(staging)
+    kinds = {f.name: f.dataType for f in spec.schema.fields}
+    typed = batch.select(*[F.col(f"`{c}`").cast(kinds[c]).alias(c) if c in kinds else F.col(f"`{c}`") for c in batch.columns])
+    typed.withColumn(_PART, _part(parts, buckets, spec.keys)).write.parquet(f"{staging}/batch")
+    landed = spark.read.parquet(f"{staging}/batch")
+    touched = [r[0] for r in landed.select(_PART).distinct().collect()]  # names of folders, which the driver lists anyway
+    schema = StructType([*spec.schema.fields, StructField(_PART, StringType())])
+    target = spark.read.schema(schema).parquet(path).where(F.col(_PART).isin(touched)).drop(_PART)
+    seen = Observation()
+    _merged(target, landed.drop(_PART), spec, run_ts, order_by, seen).write.parquet(f"{staging}/table")
+    placed = spark.read.schema(spec.schema).parquet(f"{staging}/table").withColumn(_PART, _part(parts, buckets, spec.keys))
     # rebalancing gathers a partition's rows for few files, but splits one that is too large
-    (spark.read.parquet(staging).hint("rebalance", *parts).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path))
+    (placed.hint("rebalance", _PART).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(_PART).parquet(path))
     fs.delete(Path(staging), True)
-    return counts()
+    return _counts(seen)

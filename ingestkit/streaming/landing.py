@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ingestkit.sources.tables import upsert_table
+from ingestkit.sources.tables import upsert_partitions, upsert_table
 from ingestkit.spec import TableSpec
 
 
@@ -19,15 +19,22 @@ def read_landed(spark: SparkSession, path: str, schema, fmt: str = "parquet", fi
 
 
 def stream_upsert(stream: DataFrame, path: str, spec: TableSpec, run_ts, checkpoint: str,
-                  order_by: str | Sequence[str], prepare: Callable[[DataFrame], DataFrame] | None = None):
-    """Run everything that has landed through ``prepare`` and into the table, then stop.
+                  order_by: str | Sequence[str], prepare: Callable[[DataFrame], DataFrame] | None = None,
+                  partition_by: Sequence[str] = (), buckets: int | None = None):
+    """Run all that has landed through ``prepare`` and into the table, then stop.
+
+    With ``partition_by`` or ``buckets`` a micro-batch reads and replaces only the partitions it falls into, which is the
+    form for large tables; without, it writes a new version of the whole table.
 
     A replayed batch meets the rows it wrote before and overwrites them with the same values, so a
     restart after a lost driver or executor leaves the same table.
     """
     def merge(batch: DataFrame, _batch_id: int) -> None:
         rows = prepare(batch) if prepare else batch
-        upsert_table(batch.sparkSession, path, spec, rows, run_ts, order_by)
+        if partition_by or buckets:
+            upsert_partitions(batch.sparkSession, path, spec, rows, run_ts, partition_by, order_by, buckets)
+        else:
+            upsert_table(batch.sparkSession, path, spec, rows, run_ts, order_by)
 
     query = (
         stream.writeStream.foreachBatch(merge)

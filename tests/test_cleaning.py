@@ -167,3 +167,18 @@ def test_cleaning_stays_in_the_jvm(spark, sf_dir):
                "remove_html": "common"}]
     plan = plan_of(Cleaner().clean(df, fields, keep=["doc_id"]))
     assert "Python" not in plan and "Exchange" not in plan and "lang" not in plan
+
+
+def test_predicates_decide_by_kind(spark):
+    from ingestkit.functions.predicates import Predicates
+
+    df = spark.createDataFrame([("1", 1, True), ("a", 2, False), (None, None, None)], "t string, n int, b boolean")
+
+    def kept(name, op, value):
+        return [r[0] for r in Predicates().keep(df, [{"name": name, "where": {"op": op, "value": value}}]).select(name).collect()]
+
+    assert kept("t", "==", 1) == [] and kept("t", "!=", 1) == ["1", "a", None]
+    assert kept("n", "==", "1") == [] and kept("n", "!=", "x") == [1, 2, None] and kept("n", "==", 1.0) == [1]
+    assert kept("t", "in", [1, "a", None]) == ["a", None] and kept("t", "not_in", [1, "a"]) == ["1", None]
+    assert kept("n", "in", ["2", 1]) == [1] and kept("n", "not_in", ["x"]) == [1, 2, None]
+    assert kept("n", ">", "0") == [] and kept("b", "==", 1) == [] and kept("b", "==", True) == [True]

@@ -28,30 +28,28 @@ def upsert_by_hand(target, batch):
 
 
 @pytest.mark.parametrize("seed", range(4))
-@pytest.mark.parametrize("small", [True, False])
-def test_upsert_against_row_by_row(spark, seed, small):
+def test_upsert_against_row_by_row(spark, seed):
     rnd = random.Random(seed)
     keys = list(range(8)) + [None]
     target = [(k, rnd.choice("abc"), rnd.randrange(5)) for k in rnd.sample(range(8), 4)] + [(None, "n", 1), (None, "n", 1)]
     batch = [(rnd.choice(keys), rnd.choice(["x", "y", None]), i) for i in range(rnd.randrange(1, 14))]
     t = spark.createDataFrame(target, "k int, v string, w int")
     b = spark.createDataFrame(batch, "k int, v string, o int")
-    once = upsert(t, b, ["k"], "o", small_batch=small)
+    once = upsert(t, b, ["k"], "o")
     want, inserted = upsert_by_hand(target, batch)
     assert rows(once.table) == want
     assert tuple(once.metrics.first()) == (inserted, len(batch) - inserted, len(batch))
     # a second time only the rows without a key are new
     keyed = b.where("k IS NOT NULL")
-    again = upsert(once.table, keyed, ["k"], "o", small_batch=small)
+    again = upsert(once.table, keyed, ["k"], "o")
     assert rows(again.table) == want
     assert again.metrics.first().inserted == 0
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_equal_rows_without_key_all_stay(spark, small):
+def test_equal_rows_without_key_all_stay(spark):
     t = spark.createDataFrame([], "a int, b int, v string")
     b = spark.createDataFrame([(1, None, "x", 0)] * 3 + [(None, None, "x", 0), (1, 2, "k", 0)], "a int, b int, v string, o int")
-    out = upsert(t, b, ["a", "b"], "o", small_batch=small)
+    out = upsert(t, b, ["a", "b"], "o")
     assert rows(out.table) == rows(b.drop("o"))
     assert tuple(out.metrics.first()) == (5, 0, 5)
 
@@ -70,13 +68,29 @@ def test_upsert_refuses_bad_columns(spark):
         upsert(t, spark.createDataFrame([("a",)], "v string"), ["k"])
 
 
-def test_small_batch_leaves_the_target_unshuffled(spark, sf_dir):
+def test_upsert_forces_no_broadcast_and_reads_the_batch_once(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice")
-    batch = spark.createDataFrame([(1, 2.0)], "o_orderkey long, o_totalprice double")
-    plan = plan_of(upsert(o, batch, ["o_orderkey"], "o_totalprice", small_batch=True).table)
-    # every scan of the table feeds a broadcast join directly
-    for part in plan.split("FileScan")[:-1]:
-        assert "Exchange hashpartitioning" not in part.split("BroadcastHashJoin")[-1].split("BroadcastExchange")[0]
+    batch = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_orderkey AS o_orderkey", "l_extendedprice AS o_totalprice")
+    plan = plan_of(upsert(o, batch, ["o_orderkey"], "o_totalprice").table)
+    assert plan.count("FileScan") == 2 and "Broadcast" not in plan
+
+
+def test_a_null_order_is_the_lowest(spark):
+    t = spark.createDataFrame([(1, "a"), (2, "a")], "k int, v string")
+    b = spark.createDataFrame([(1, "b", None), (2, "late", 5), (2, "b", None)], "k int, v string, o int")
+    assert rows(upsert(t, b, ["k"], "o").table) == [(1, "b"), (2, "late")]
+
+
+def test_keyed_upsert_needs_an_order(spark):
+    t = spark.createDataFrame([(1, "a")], "k int, v string")
+    with pytest.raises(ValueError, match="order_by"):
+        upsert(t, t, ["k"])
+
+
+def test_many_equal_rows_without_key(spark):
+    t = spark.createDataFrame([], "k int, v string")
+    b = spark.range(1_000_000).selectExpr("CAST(NULL AS INT) AS k", "'x' AS v", "1 AS o")
+    assert upsert(t, b, ["k"], "o").table.count() == 1_000_000
 
 
 def test_not_null_stops_the_batch(spark):

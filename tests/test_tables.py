@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 from ingestkit.operators import query as q
 from ingestkit.plans import reports
 from ingestkit.plans.output import Toolkit, run_output
-from ingestkit.plans.task import record_run, run_task
+from ingestkit.plans.task import requests, record_run, run_task
 from ingestkit.sources.database import env_value, jdbc_options, sql_source
 from ingestkit.sources.files import acceptable, normalize_sheet, read_csv, read_payload_files
-from ingestkit.sources.tables import ensure_table, read_table, upsert_partitions, upsert_table
+from ingestkit.sources.tables import ensure_table, read_partitions, read_table, upsert_partitions, upsert_table
 from ingestkit.spec import OutputSpec, SpecError, TableSpec, TaskSpec
 from ingestkit.streaming.landing import read_landed
 from ingestkit.streaming.ttl import stream_dedup_loose
@@ -195,10 +195,7 @@ def test_task_end_to_end(spark, tmp_path):
     assert {r.crawled_at for r in read_table(spark, str(tmp_path / "t")).collect()} == {RUN}
 
 
-def test_large_batch_is_counted_while_written(spark, tmp_path, monkeypatch):
-    import ingestkit.sources.tables as tables
-
-    monkeypatch.setattr(tables, "is_small", lambda df: False)
+def test_batch_is_counted_while_written(spark, tmp_path):
     spec = TaskSpec.from_dict(HELLO).outputs[0].table
     batch = spark.createDataFrame([(1, "a", "u"), (1, "b", "u"), (2, "c", "u")], "post_id long, title string, source_url string")
     assert upsert_table(spark, str(tmp_path / "t"), spec, batch, RUN, "title") == {"inserted": 2, "updated": 1, "total": 3}
@@ -209,9 +206,9 @@ def test_not_null_batch_changes_nothing(spark, tmp_path):
     spec = TaskSpec.from_dict(HELLO).outputs[0].table
     good = spark.createDataFrame([(1, "a", "u")], "post_id long, title string, source_url string")
     bad = spark.createDataFrame([(2, "a", "u"), (3, "a", None)], "post_id long, title string, source_url string")
-    upsert_table(spark, str(tmp_path / "t"), spec, good, RUN)
+    upsert_table(spark, str(tmp_path / "t"), spec, good, RUN, "title")
     with pytest.raises(Exception, match="NOT NULL constraint failed: source_url"):
-        upsert_table(spark, str(tmp_path / "t"), spec, bad, RUN)
+        upsert_table(spark, str(tmp_path / "t"), spec, bad, RUN, "title")
     assert [r.post_id for r in read_table(spark, str(tmp_path / "t")).collect()] == [1]
 
 
@@ -219,14 +216,73 @@ def test_partitioned_upsert_replaces_touched_partitions_only(spark, tmp_path):
     spec = TableSpec.from_dict("p", {"columns": [{"name": "day", "type": "TEXT"}, {"name": "k", "type": "INTEGER"}, {"name": "v", "type": "REAL"}],
                                      "indexes": [{"columns": ["day", "k"], "unique": True}]})
     path = str(tmp_path / "p")
-    upsert_partitions(spark, path, spec, spark.createDataFrame([("a", 1, 1.0), ("b", 2, 2.0)], "day string, k long, v double"), RUN, ["day"])
-    untouched = sorted(f.name for f in (tmp_path / "p" / "day=a").glob("*.parquet"))
-    counts = upsert_partitions(spark, path, spec, spark.createDataFrame([("b", 2, 5.0), ("c", 3, 3.0)], "day string, k long, v double"), RUN, ["day"])
+    upsert_partitions(spark, path, spec, spark.createDataFrame([("a", 1, 1.0), ("b", 2, 2.0)], "day string, k long, v double"), RUN, ["day"], "v")
+    untouched = sorted(f.name for f in (tmp_path / "p" / "_part=%3Da").glob("*.parquet"))
+    counts = upsert_partitions(spark, path, spec, spark.createDataFrame([("b", 2, 5.0), ("c", 3, 3.0)], "day string, k long, v double"), RUN, ["day"], "v")
     assert counts == {"inserted": 1, "updated": 1, "total": 2}
-    assert sorted((r.day, r.k, r.v) for r in spark.read.parquet(path).collect()) == [("a", 1, 1.0), ("b", 2, 5.0), ("c", 3, 3.0)]
-    assert sorted(f.name for f in (tmp_path / "p" / "day=a").glob("*.parquet")) == untouched
+    assert sorted((r.day, r.k, r.v) for r in read_partitions(spark, path, spec).collect()) == [("a", 1, 1.0), ("b", 2, 5.0), ("c", 3, 3.0)]
+    assert sorted(f.name for f in (tmp_path / "p" / "_part=%3Da").glob("*.parquet")) == untouched
     with pytest.raises(ValueError):
-        upsert_partitions(spark, path, spec, spark.range(1), RUN, ["v"])
+        upsert_partitions(spark, path, spec, spark.range(1), RUN, ["v"], "v")
+
+
+def test_null_and_empty_partition_values_survive(spark, tmp_path):
+    spec = TableSpec.from_dict("p", {"columns": [{"name": "p", "type": "TEXT"}, {"name": "k", "type": "INTEGER"}],
+                                     "indexes": [{"columns": ["p", "k"], "unique": True}]})
+    path = str(tmp_path / "p")
+    for batch in ([(None, 1), ("", 5), ("null", 6)], [(None, 2)], [("", 5), ("a/b=&", 7)]):
+        upsert_partitions(spark, path, spec, spark.createDataFrame(batch, "p string, k long"), RUN, ["p"], "k")
+    assert sorted(((r.p, r.k) for r in read_partitions(spark, path, spec).collect()), key=str) == sorted(
+        [(None, 1), (None, 2), ("", 5), ("null", 6), ("a/b=&", 7)], key=str)
+
+
+def test_buckets_read_only_what_a_batch_touches(spark, tmp_path):
+    spec = TableSpec.from_dict("b", {"columns": [{"name": "k", "type": "INTEGER"}, {"name": "v", "type": "TEXT"}], "indexes": [{"columns": ["k"], "unique": True}]})
+    path = str(tmp_path / "b")
+    upsert_partitions(spark, path, spec, spark.range(100).selectExpr("id AS k", "'old' AS v"), RUN, order_by="v", buckets=8)
+    before = {f.name for f in (tmp_path / "b").glob("_part=*/*.parquet")}
+    counts = upsert_partitions(spark, path, spec, spark.createDataFrame([(7, "new")], "k long, v string"), RUN, order_by="v", buckets=8)
+    after = {f.name for f in (tmp_path / "b").glob("_part=*/*.parquet")}
+    assert counts == {"inserted": 0, "updated": 1, "total": 1} and len({f.split("-")[2] for f in before - after}) <= 1 and before & after
+    assert {r.k: r.v for r in read_partitions(spark, path, spec).collect()} == {k: "new" if k == 7 else "old" for k in range(100)}
+
+
+def test_commits_are_safe(spark, tmp_path):
+    from ingestkit.sources import tables as T
+
+    spec = TaskSpec.from_dict(HELLO).outputs[0].table
+    path = str(tmp_path / "t")
+    batch = spark.createDataFrame([(1, "a", "u")], "post_id long, title string, source_url string")
+    for _ in range(5):
+        upsert_table(spark, path, spec, batch, RUN, "title")
+    assert len(list((tmp_path / "t").glob("v-*"))) == T.KEPT_VERSIONS
+    # another writer was first
+    base = T._commits(spark, path)[-1]
+    T.write_version(batch, path, base)
+    with pytest.raises(T.TableError, match="another writer"):
+        T.write_version(batch, path, base)
+    # a commit without content is an error, not an empty table
+    last = sorted(f for f in (tmp_path / "t" / "_log").iterdir() if f.name.isdigit())[-1]
+    last.write_text("")
+    for crc in (tmp_path / "t" / "_log").glob(".*.crc"):
+        crc.unlink()
+    with pytest.raises(T.TableError, match="cannot be read"):
+        ensure_table(spark, path, spec)
+    for f in (tmp_path / "t" / "_log").iterdir():
+        f.unlink()
+    with pytest.raises(T.TableError, match="no commit"):
+        ensure_table(spark, path, spec)
+
+
+def test_excel_task_is_refused(spark):
+    task = TaskSpec.from_dict({**HELLO, "type": "excel", "file": {"path": "x.xlsx"}})
+    with pytest.raises(ValueError, match="normalize_sheet"):
+        run_task(spark, task, RUN, {"hello": spark.createDataFrame([], task.outputs[0].table.schema)})
+
+
+def test_first_context_of_a_repeated_address(spark):
+    task = TaskSpec.from_dict({**HELLO, "url": "https://x.example/same", "iterate": {"var_name": "region", "values": ["ZZ", "AA", "MM"]}})
+    assert [r.region for r in requests(spark, task, RUN).collect()] == ["ZZ"]
 
 
 def test_quarantine(spark):
