@@ -54,7 +54,7 @@ def test_held_out_labels_change_nothing(spark):
 def test_switched_texts_and_edge_cases(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").limit(500).collect()
     long = {lang: next(r.text for r in docs if r.lang == lang and 800 < len(r.text) < 4000 and r.text[0].isalpha() and "$$" not in r.text) for lang in ("en", "de")}
-    en, de = long["en"].split()[:60], long["de"].split()[:60]
+    en, de = L.words_of(long["en"])[:60], L.words_of(long["de"])[:60]
     rows = [(r.doc_id, r.text, r.lang, 1, "x") for r in docs] + [
         (9000, " ".join(en + de), None, 1, "x"), (9001, None, "en", 1, "x"), (9002, "", "en", 1, "x"), (9003, "12 34 !?", "fr", 1, "x"), (None, " ".join(de), "de", 1, "x"),
         (9004, " ".join(en), "en", 1, "x"), (9004, " ".join(en), "en", 1, "x"), (9005, "the " * 60_000, None, 1, "x"), (9006, "é" * 30_000, None, 1, "x")]

@@ -39,7 +39,8 @@ def test_held_out_documents(spark):
 @pytest.fixture(scope="module")
 def small(spark):
     schema = "doc_id long, text string, grade int, toxic string"
-    rows = [(k, f"w{k} b{k} {'awful' if k % 2 else 'pleasant'} c{k} d{k % 7}", 9, "x") for k in range(200)]
+    name = lambda k: "".join("abcdefghij"[int(d)] for d in str(k))
+    rows = [(k, f"one{name(k)} {name(k)} {'awful' if k % 2 else 'pleasant'} c{name(k)}", 9, "x") for k in range(200)]
     rows += [(900, None, 9, "x"), (901, "", 9, "x"), (902, "AWFUL awful awful awfully", 9, "x"), (None, "so awful", 9, "x"), (903, "awful", 9, "x"), (903, "awful", 9, "x"),
              (904, "filler " * 50_000 + "awful", 9, "x")]
     labels = [(k, 1, k % 2) for k in range(200)] + [(5000, 1, 1), (None, 1, 1), (901, 1, None)]
