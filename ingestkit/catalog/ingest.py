@@ -376,3 +376,17 @@ def multi_output(spark, sf):
         parts.append(rows.withColumn("output", F.lit(spec.table.name)))
     both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return both.select("output", F.col("_doc").alias("event_id"), "k", "hour")
+
+
+@query("json_kinds", """
+    SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id WHEN 1 THEN user_id END::VARCHAR AS a, CASE event_id % 4 WHEN 0 THEN user_id END::VARCHAR AS b
+    FROM events WHERE event_id % 4 <> 2""")
+def json_kinds(spark, sf):
+    """Keys that differ in case, an object for a list, a text that holds JSON (no rows), a list of other things."""
+    e = table(spark, sf, "events")
+    kind, both = F.pmod("event_id", F.lit(4)), F.to_json(F.array(F.struct(F.col("event_id").alias("id"), F.col("user_id").alias("ID"))))
+    data = (F.when(kind == 0, both).when(kind == 1, F.to_json(F.struct(F.col("user_id").alias("id"))))
+            .when(kind == 2, F.concat(F.lit('"'), F.replace(both, F.lit('"'), F.lit('\\"')), F.lit('"'))).otherwise(F.lit("[5]")))
+    payloads = e.select("event_id", F.concat(F.lit('{"data": '), data, F.lit("}")).alias("body"))
+    fields = [{"name": "a", "path": "id"}, {"name": "b", "path": "ID"}]
+    return json_rows(payloads, {"root_path": "data", "fields": fields}).select("event_id", *[json_field(f).alias(f["name"]) for f in fields])

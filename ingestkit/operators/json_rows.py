@@ -26,6 +26,12 @@ def _top_keys(fields: Sequence[Mapping]) -> list[str]:
     return list(dict.fromkeys(keys))
 
 
+def _member(key: str) -> str:
+    """Name of a key's struct member: Spark takes names that differ only in case for one, so keys with capitals are spelt
+    in hexadecimal."""
+    return key if key == key.lower() else f"_{key.encode().hex()}"
+
+
 def _record_type(keys: Sequence[str]) -> StructType:
     return StructType([StructField(k, StringType()) for k in keys or ["_none"]])
 
@@ -46,6 +52,7 @@ def _records(body: Column, root_path: str, keys: Sequence[str]) -> Column:
     """
     record = _record_type(keys)
     rows = ArrayType(record)
+    named = ArrayType(StructType([StructField(_member(f.name), f.dataType) for f in record.fields]))
     segments = root_path.split(".") if root_path else []
     if not segments or any(_is_index(s) for s in segments):
         root = json_text_at(body, root_path) if segments else body
@@ -55,9 +62,19 @@ def _records(body: Column, root_path: str, keys: Sequence[str]) -> Column:
         direct = F.from_json(body, _nest(segments, rows))
         for segment in segments:
             direct = direct.getField(segment)
-    single = F.from_json(root, rows)  # an object is read as a list of one
+    # an object is read as a list of one; where the path has no index it is typed on the way, so that a text which happens
+    # to hold JSON stays a text
+    if segments and not any(_is_index(s) for s in segments):
+        one = F.from_json(body, _nest(segments, record))
+        some = F.from_json(body, _nest(segments, ArrayType(StringType())))
+        for segment in segments:
+            one, some = one.getField(segment), some.getField(segment)
+        single = F.when(one.isNotNull(), F.array(one))
+        mixed = F.transform(some, lambda e: F.from_json(e, record))
+        return F.coalesce(direct, single, mixed).cast(named)
+    single = F.from_json(root, rows)
     mixed = F.transform(F.from_json(root, ArrayType(StringType())), lambda e: F.from_json(e, record))
-    return F.coalesce(direct, single, mixed) if segments else F.coalesce(direct, mixed)
+    return (F.coalesce(direct, single, mixed) if segments else F.coalesce(direct, mixed)).cast(named)
 
 
 def _lists(body: Column, root_path: str) -> Column:
@@ -104,7 +121,7 @@ def slice_payload(items: Column, filters: Mapping) -> Column:
 
 
 def json_field(field: Mapping, positional: bool = False) -> Column | None:
-    """Extraction of one field from ``_row``: position, then source, then path."""
+    """Extraction of one field from ``_row``: position, then source, then path. A null counts as absent."""
     row = F.col(ROW)
     tries: list[Column] = []
     if positional:
@@ -113,11 +130,11 @@ def json_field(field: Mapping, positional: bool = False) -> Column | None:
             tries.append(F.get(row, F.lit(index)) if index >= 0 else F.try_element_at(row, F.lit(index)))
     else:
         if field.get("source"):
-            tries.append(row.getField(field["source"]))
+            tries.append(row.getField(_member(field["source"])))
         path = field.get("path") or field.get("selector")
         if path:
             first, _, rest = path.partition(".")
-            top = row.getField(first)
+            top = row.getField(_member(first))
             tries.append(json_text_at(top, rest) if rest else top)
     if not tries:
         return None

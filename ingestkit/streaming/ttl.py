@@ -12,24 +12,24 @@ from ingestkit.operators.ttl import ttl_dedup
 def stream_ttl_dedup(stream: DataFrame, key: str, ts: str, seconds: int, tie: str, path: str, checkpoint: str):
     """Exact greedy rule over micro-batches; kept rows land under ``path``, one folder per batch.
 
-    All the rule needs to know of the past is the last kept row per key, and only if it is younger
-    than the TTL. Those rows lead the micro-batch into the batch operator, so a hot key is cut into
-    spans here as well and no key's rows are gathered in one task. A replayed batch rewrites its
-    own folder and looks only at earlier ones.
+    All the rule needs to know of the past are the kept rows within one TTL of the batch's range; a key has at most one
+    per TTL. They join the micro-batch in the batch operator, so a hot key is cut into spans here as well and no key's
+    rows are gathered in one task. A replayed batch rewrites its own folder and looks only at earlier ones.
+
+    A late row is dropped if a row kept before it, or one that comes with it, is less than a TTL older. Rows that were
+    written stay, so a late row that is kept may be followed within a TTL by one from an earlier batch.
     """
     def keep(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = batch.withColumn("_past", F.lit(False))
         if batch_id > 0:
-            # one value, so that the look back is a range the scan can prune by
-            oldest = batch.agg(F.min(ts).cast("string")).first()[0]
+            # two values, so that the look at the past is a range the scan can prune by
+            oldest, newest = batch.agg(F.min(ts).cast("string"), F.max(ts).cast("string")).first()
             schema = StructType([*batch.schema.fields, StructField("_batch", LongType())])
             past = spark.read.schema(schema).parquet(path).where(F.col("_batch") < batch_id)
-            since = F.lit(oldest).cast(batch.schema[ts].dataType) - F.make_interval(secs=F.lit(seconds))
-            young = past.where(F.col(ts) > since)
-            members = F.struct(*[F.col(c) for c in batch.columns])
-            last = young.groupBy(key).agg(F.max_by(members, F.struct(ts, tie)).alias("_r")).select("_r.*")
-            rows = rows.unionByName(last.withColumn("_past", F.lit(True)))
+            kind, span = batch.schema[ts].dataType, F.make_interval(secs=F.lit(seconds))
+            near = past.where((F.col(ts) > F.lit(oldest).cast(kind) - span) & (F.col(ts) <= F.lit(newest).cast(kind)))
+            rows = rows.unionByName(near.drop("_batch").withColumn("_past", F.lit(True)))
         kept = ttl_dedup(rows, key, ts, seconds, tie).where(~F.col("_past")).drop("_past")
         kept.write.mode("overwrite").parquet(f"{path}/_batch={batch_id}")
 

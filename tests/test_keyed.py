@@ -166,3 +166,15 @@ def test_row_json_is_sorted_json(spark):
     assert len(df.select(content_hash(df)).first()[0]) == 64
 
 
+
+
+def test_late_rows_on_a_stream(spark, tmp_path):
+    from ingestkit.streaming.landing import read_landed
+    from ingestkit.streaming.ttl import stream_ttl_dedup
+
+    schema = "k string, ts timestamp_ntz, id int"
+    for batch in ([(0, 1), (1000, 2)], [(100, 3), (700, 4)], [(1299, 5), (1300, 6)]):
+        rows_ = spark.createDataFrame([("a", s, i) for s, i in batch], "k string, s int, id int")
+        (rows_.selectExpr("k", "CAST(timestamp_seconds(s) AS timestamp_ntz) AS ts", "id").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in"))
+        stream_ttl_dedup(read_landed(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema), "k", "ts", 300, "id", f"{tmp_path}/kept", f"{tmp_path}/cp")
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/kept").collect()) == [1, 2, 4, 6]
