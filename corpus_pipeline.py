@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from ingestkit.llm import decontaminate, language, mixing, ngram_join, sharding
 from ingestkit.llm.common import written
 
-#: A text is rejected that has no letter, or whose words belong to no language for the most part.
-LEAST_SCORE = 0.5
+#: A text is rejected that has no letter, or whose words no language has two fifths of: short texts with a key or a number
+#: in them stay.
+LEAST_SCORE = 0.4
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: ``und`` and texts with less than half of their probability on one language go."""
+    """Language ID: ``und`` and texts with less than ``LEAST_SCORE`` of their probability on one language go."""
     judged = language.identify(docs, spans=False)
     return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("doc.*")
 
