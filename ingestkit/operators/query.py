@@ -49,6 +49,9 @@ def _names(text: str | Sequence[str] | None) -> list[str]:
     return [i.strip() for i in items if i.strip()]
 
 
+_NUMBER = re.compile(r"[+-]?(?:[0-9]+(\.[0-9]*)?|(\.[0-9]+))([eE][+-]?[0-9]+)?")
+
+
 def _literal(df: DataFrame, column: str, value: Any) -> Any:
     """The value in the column's own kind, as column affinity does: '42' for a number column is 42."""
     kind = df.schema[column].dataType
@@ -57,11 +60,9 @@ def _literal(df: DataFrame, column: str, value: Any) -> Any:
     if isinstance(kind, StringType):
         return value if value is None or isinstance(value, str) else str(value)
     if isinstance(kind, NumericType) and isinstance(value, str):
-        for convert in (int, float):
-            try:
-                return convert(value.strip())
-            except ValueError:
-                continue
+        number = _NUMBER.fullmatch(value.strip())
+        if number:
+            return float(value) if any(g is not None for g in number.groups()) else int(value)
     return value
 
 
@@ -91,7 +92,7 @@ def where_condition(df: DataFrame, cond: Mapping) -> Column:
         return c.isNotNull()
     if op in ("IN", "NOT IN"):
         if not isinstance(value, list):
-            raise QueryError(f"{op} requires a list value")
+            raise QueryError(f"{op}: a list of values is needed")
         numeric = isinstance(df.schema[column].dataType, NumericType)
         values = [v for v in (_literal(df, column, x) for x in value) if not (numeric and isinstance(v, str))]
         if not values:
@@ -101,7 +102,7 @@ def where_condition(df: DataFrame, cond: Mapping) -> Column:
         return hit if op == "IN" else ~hit
     if op == "BETWEEN":
         if not isinstance(value, list) or len(value) != 2:
-            raise QueryError("BETWEEN requires a [low, high] list")
+            raise QueryError("BETWEEN: two bounds in a list are needed")
         return comparison(df, column, ">=", value[0]) & comparison(df, column, "<=", value[1])
     if op in ("LIKE", "NOT LIKE"):
         hit = _like(c, value) if value is not None else F.lit(None).cast("boolean")
@@ -147,7 +148,7 @@ def order_columns(df: DataFrame, order_by: str | Sequence[str] | None) -> list[C
     for item in _names(order_by):
         name, *rest = item.split()
         if name not in df.columns:
-            raise QueryError(f"unknown column in order_by: {name}")
+            raise QueryError(f"cannot order by {name}: no such column")
         c = F.col(f"`{name}`")
         descending = bool(rest) and rest[0].upper() == "DESC"
         columns.append(c.desc_nulls_last() if descending else c.asc_nulls_first())

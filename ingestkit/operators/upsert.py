@@ -39,7 +39,7 @@ def latest_per_key(batch: DataFrame, keys: Sequence[str], order_by: Sequence[str
 
     ``max_by`` keeps one candidate per key in every map task, so a key that fills a third of the batch still sends only
     one row per task over the network. The order is a struct, as a bare NULL would leave a row out of account: NULL
-    sorts before everything.
+    sorts before any value.
     """
     values = [c for c in batch.columns if c not in keys]
     payload = F.struct(*[F.col(f"`{c}`") for c in values]) if values else F.struct(F.lit(1).alias("_none"))

@@ -26,7 +26,7 @@ RowExtractor = Callable[[DataFrame, Mapping, str], DataFrame]
 
 @dataclass
 class Toolkit:
-    """Everything a user may extend: rules, predicates, row and field extractors, payload filters."""
+    """All that a user may extend: rules, predicates, row and field extractors, payload filters."""
 
     cleaner: Cleaner = field(default_factory=Cleaner)
     predicates: Predicates = field(default_factory=Predicates)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if jvm_dir.isDefined():
         return jvm_dir.get()
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     made = tempfile.mkdtemp(prefix="ingestkit-")
     spark.sparkContext.setCheckpointDir(made)
@@ -56,7 +57,7 @@ def shared_dir_ready(spark: SparkSession) -> None:
 
 
 def plan_size_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan; joins are over-estimated, so it errs on the safe side."""
+    """Catalyst's size estimate of a plan of scans and projections; explodes and compression make it too low."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
@@ -69,15 +70,6 @@ def parse_bytes(text: str) -> int:
     return int(raw)
 
 
-def broadcast_limit(spark: SparkSession) -> int:
-    return parse_bytes(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760"))
-
-
-def is_small(df: DataFrame) -> bool:
-    """True when the estimated size is within the session's broadcast limit."""
-    return plan_size_bytes(df) <= broadcast_limit(df.sparkSession)
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Use every core for CPU-heavy parsing of an input too small to fill more than one split.
 

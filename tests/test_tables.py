@@ -16,25 +16,25 @@ from ingestkit.streaming.ttl import stream_dedup_loose
 from tests.conftest import plan_of
 
 RUN = "2026-08-03 14:30:00"
-HELLO = {
-    "name": "hello", "type": "api", "url": "https://h.example/posts/{n}", "iterate": {"var_name": "n", "values": [1, 2, 3]},
+LOTS = {
+    "name": "lots", "type": "api", "url": "https://h.example/lots/{n}", "iterate": {"var_name": "n", "values": [1, 2, 3]},
     "outputs": [{
-        "target_table": "hello",
+        "target_table": "lots",
         "table_schema": {
             "columns": [{"name": "id", "type": "INTEGER", "constraint": "PRIMARY KEY AUTOINCREMENT"},
-                        {"name": "post_id", "type": "INTEGER NOT NULL"}, {"name": "title", "type": "TEXT"},
-                        {"name": "source_url", "type": "TEXT NOT NULL"},
+                        {"name": "lot_no", "type": "INTEGER NOT NULL"}, {"name": "label", "type": "TEXT"},
+                        {"name": "found_at", "type": "TEXT NOT NULL"},
                         {"name": "crawled_at", "type": "TEXT NOT NULL DEFAULT (datetime('now', 'localtime'))"}],
-            "indexes": [{"name": "i", "columns": ["post_id"], "unique": True}, {"name": "j", "columns": ["title"]}]},
-        "parser": {"type": "json", "fields": [{"name": "post_id", "path": "id", "to_number": True}, {"name": "title", "path": "title"},
-                                              {"name": "source_url", "value": "{url}"}]}}],
+            "indexes": [{"name": "i", "columns": ["lot_no"], "unique": True}, {"name": "j", "columns": ["label"]}]},
+        "parser": {"type": "json", "fields": [{"name": "lot_no", "path": "id", "to_number": True}, {"name": "label", "path": "label"},
+                                              {"name": "found_at", "value": "{url}"}]}}],
 }
 
 
 def landed(spark):
     return spark.createDataFrame([
-        (1, "https://h.example/posts/1", '{"id": 1, "title": " a "}', None), (2, "https://h.example/posts/2", '[{"id": 2}, {"id": 1, "title": "b"}]', None),
-        (3, "https://h.example/posts/3", None, "timeout"), (4, "https://h.example/posts/9", '{"id": 9}', None)],
+        (1, "https://h.example/lots/1", '{"id": 1, "label": " a "}', None), (2, "https://h.example/lots/2", '[{"id": 2}, {"id": 1, "label": "b"}]', None),
+        (3, "https://h.example/lots/3", None, "timeout"), (4, "https://h.example/lots/9", '{"id": 9}', None)],
         "doc_id long, url string, body string, error string")
 
 
@@ -162,9 +162,9 @@ def test_spec_checks():
     two = [{"columns": ["a"], "unique": True}, {"columns": ["b"], "unique": True}]
     with pytest.raises(SpecError):
         TableSpec.from_dict("t", {"columns": [{"name": "a", "type": "TEXT"}, {"name": "b", "type": "TEXT"}], "indexes": two})
-    t = TaskSpec.from_dict(HELLO).outputs[0].table
-    assert t.keys == ("post_id",) and t.not_null() == ["post_id", "source_url", "crawled_at"]
-    assert [c.name for c in t.columns] == ["post_id", "title", "source_url", "crawled_at"]
+    t = TaskSpec.from_dict(LOTS).outputs[0].table
+    assert t.keys == ("lot_no",) and t.not_null() == ["lot_no", "found_at", "crawled_at"]
+    assert [c.name for c in t.columns] == ["lot_no", "label", "found_at", "crawled_at"]
 
 
 def test_column_defaults(spark):
@@ -177,16 +177,16 @@ def test_column_defaults(spark):
 
 
 def test_task_end_to_end(spark, tmp_path):
-    task = TaskSpec.from_dict(HELLO)
+    task = TaskSpec.from_dict(LOTS)
     spec = task.outputs[0].table
     target = ensure_table(spark, str(tmp_path / "t"), spec)
     assert target.count() == 0
-    result = run_task(spark, task, RUN, {"hello": target}, landed(spark))
-    rows = {r.post_id: r for r in result.outputs["hello"].table.collect()}
-    assert set(rows) == {1, 2} and rows[1].title == "b" and rows[1].source_url.endswith("/2") and rows[2].crawled_at == RUN
+    result = run_task(spark, task, RUN, {"lots": target}, landed(spark))
+    rows = {r.lot_no: r for r in result.outputs["lots"].table.collect()}
+    assert set(rows) == {1, 2} and rows[1].label == "b" and rows[1].found_at.endswith("/2") and rows[2].crawled_at == RUN
     assert tuple(result.totals.first()) == (2, 1, 0, 3)
     assert tuple(result.errors.first()) == (1, "timeout")
-    batch = result.outputs["hello"].rows
+    batch = result.outputs["lots"].rows
     first = upsert_table(spark, str(tmp_path / "t"), spec, batch, RUN, ["_doc", "_ordinal"])
     assert first == {"inserted": 2, "updated": 1, "total": 3}
     later = upsert_table(spark, str(tmp_path / "t"), spec, batch, "2026-08-04 00:00:00", ["_doc", "_ordinal"])
@@ -196,20 +196,20 @@ def test_task_end_to_end(spark, tmp_path):
 
 
 def test_batch_is_counted_while_written(spark, tmp_path):
-    spec = TaskSpec.from_dict(HELLO).outputs[0].table
-    batch = spark.createDataFrame([(1, "a", "u"), (1, "b", "u"), (2, "c", "u")], "post_id long, title string, source_url string")
-    assert upsert_table(spark, str(tmp_path / "t"), spec, batch, RUN, "title") == {"inserted": 2, "updated": 1, "total": 3}
-    assert upsert_table(spark, str(tmp_path / "t"), spec, batch, RUN, "title") == {"inserted": 0, "updated": 3, "total": 3}
+    spec = TaskSpec.from_dict(LOTS).outputs[0].table
+    batch = spark.createDataFrame([(1, "a", "u"), (1, "b", "u"), (2, "c", "u")], "lot_no long, label string, found_at string")
+    assert upsert_table(spark, str(tmp_path / "t"), spec, batch, RUN, "label") == {"inserted": 2, "updated": 1, "total": 3}
+    assert upsert_table(spark, str(tmp_path / "t"), spec, batch, RUN, "label") == {"inserted": 0, "updated": 3, "total": 3}
 
 
 def test_not_null_batch_changes_nothing(spark, tmp_path):
-    spec = TaskSpec.from_dict(HELLO).outputs[0].table
-    good = spark.createDataFrame([(1, "a", "u")], "post_id long, title string, source_url string")
-    bad = spark.createDataFrame([(2, "a", "u"), (3, "a", None)], "post_id long, title string, source_url string")
-    upsert_table(spark, str(tmp_path / "t"), spec, good, RUN, "title")
-    with pytest.raises(Exception, match="NOT NULL constraint failed: source_url"):
-        upsert_table(spark, str(tmp_path / "t"), spec, bad, RUN, "title")
-    assert [r.post_id for r in read_table(spark, str(tmp_path / "t")).collect()] == [1]
+    spec = TaskSpec.from_dict(LOTS).outputs[0].table
+    good = spark.createDataFrame([(1, "a", "u")], "lot_no long, label string, found_at string")
+    bad = spark.createDataFrame([(2, "a", "u"), (3, "a", None)], "lot_no long, label string, found_at string")
+    upsert_table(spark, str(tmp_path / "t"), spec, good, RUN, "label")
+    with pytest.raises(Exception, match="NOT NULL constraint failed: found_at"):
+        upsert_table(spark, str(tmp_path / "t"), spec, bad, RUN, "label")
+    assert [r.lot_no for r in read_table(spark, str(tmp_path / "t")).collect()] == [1]
 
 
 def test_partitioned_upsert_replaces_touched_partitions_only(spark, tmp_path):
@@ -250,11 +250,11 @@ def test_buckets_read_only_what_a_batch_touches(spark, tmp_path):
 def test_commits_are_safe(spark, tmp_path):
     from ingestkit.sources import tables as T
 
-    spec = TaskSpec.from_dict(HELLO).outputs[0].table
+    spec = TaskSpec.from_dict(LOTS).outputs[0].table
     path = str(tmp_path / "t")
-    batch = spark.createDataFrame([(1, "a", "u")], "post_id long, title string, source_url string")
+    batch = spark.createDataFrame([(1, "a", "u")], "lot_no long, label string, found_at string")
     for _ in range(5):
-        upsert_table(spark, path, spec, batch, RUN, "title")
+        upsert_table(spark, path, spec, batch, RUN, "label")
     assert len(list((tmp_path / "t").glob("v-*"))) == T.KEPT_VERSIONS
     # another writer was first
     base = T._commits(spark, path)[-1]
@@ -275,22 +275,22 @@ def test_commits_are_safe(spark, tmp_path):
 
 
 def test_excel_task_is_refused(spark):
-    task = TaskSpec.from_dict({**HELLO, "type": "excel", "file": {"path": "x.xlsx"}})
+    task = TaskSpec.from_dict({**LOTS, "type": "excel", "file": {"path": "x.xlsx"}})
     with pytest.raises(ValueError, match="normalize_sheet"):
-        run_task(spark, task, RUN, {"hello": spark.createDataFrame([], task.outputs[0].table.schema)})
+        run_task(spark, task, RUN, {"lots": spark.createDataFrame([], task.outputs[0].table.schema)})
 
 
 def test_first_context_of_a_repeated_address(spark):
-    task = TaskSpec.from_dict({**HELLO, "url": "https://x.example/same", "iterate": {"var_name": "region", "values": ["ZZ", "AA", "MM"]}})
+    task = TaskSpec.from_dict({**LOTS, "url": "https://x.example/same", "iterate": {"var_name": "region", "values": ["ZZ", "AA", "MM"]}})
     assert [r.region for r in requests(spark, task, RUN).collect()] == ["ZZ"]
 
 
 def test_quarantine(spark):
-    spec = OutputSpec.from_dict({**HELLO["outputs"][0], "parser": {"type": "json", "fields": [{"name": "post_id", "path": "id", "to_number": True}]}})
+    spec = OutputSpec.from_dict({**LOTS["outputs"][0], "parser": {"type": "json", "fields": [{"name": "lot_no", "path": "id", "to_number": True}]}})
     payloads = spark.createDataFrame([(1, "u", '[{"id": 1}, {"id": "x"}]')], "doc_id long, url string, body string")
     target = spark.createDataFrame([], spec.table.schema)
     out = run_output(payloads, spec, target, RUN, on_error="quarantine")
-    assert out.table.count() == 1 and [r._errors for r in out.quarantined.collect()] == [["post_id"]]
+    assert out.table.count() == 1 and [r._errors for r in out.quarantined.collect()] == [["lot_no"]]
     assert run_output(payloads, spec, target, RUN).table.count() == 2
 
 
@@ -310,10 +310,10 @@ def test_page_variables_reach_later_outputs(spark):
 
 @pytest.mark.parametrize("error,status", [(None, "success"), ("timeout", "partial")])
 def test_run_record(spark, tmp_path, error, status):
-    task = TaskSpec.from_dict(HELLO)
+    task = TaskSpec.from_dict(LOTS)
     source = landed(spark).withColumn("error", F.when(F.col("error").isNotNull(), F.lit(error)))
     target = spark.createDataFrame([], task.outputs[0].table.schema)
-    row = record_run(spark, str(tmp_path / "log"), "hello", lambda: run_task(spark, task, RUN, {"hello": target}, source),
+    row = record_run(spark, str(tmp_path / "log"), "lots", lambda: run_task(spark, task, RUN, {"lots": target}, source),
                      dt.datetime(2026, 8, 3), lambda r: r.totals.first().asDict())
     assert row["status"] == status and row["records_new"] == 2 and row["records_updated"] == 1
     assert spark.read.parquet(str(tmp_path / "log")).count() == 1
