@@ -42,13 +42,13 @@ def targets(by_source: DataFrame, cap: int = CAP) -> DataFrame:
     """``source, words`` → also ``target`` (double) and ``ordinal``. One row per source: the windows see that table only."""
     ordered = by_source.withColumn("ordinal", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
     weighed = ordered.withColumn("weight", (F.col("ordinal") - 1) % 3 + 1).withColumn("most", F.col("words") * cap)
-    everything = Window.partitionBy()
+    entire = Window.partitionBy()
     tightest = Window.orderBy(F.col("most") / F.col("weight"), "ordinal")
     before = tightest.rowsBetween(Window.unboundedPreceding, -1)
-    level = ((F.sum("words").over(everything) - F.coalesce(F.sum("most").over(before), F.lit(0)))
-             / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))))
+    level = ((F.sum("words").over(entire) - F.coalesce(F.sum("most").over(before), F.lit(0)))
+             / (F.sum("weight").over(entire) - F.coalesce(F.sum("weight").over(before), F.lit(0))))
     # as long as sources are capped the level rises, afterwards it falls: its maximum is the level of the uncapped
-    return (weighed.withColumn("level", level).withColumn("level", F.max("level").over(everything))
+    return (weighed.withColumn("level", level).withColumn("level", F.max("level").over(entire))
             .withColumn("target", F.least(F.col("most").cast("double"), F.col("level") * F.col("weight")))
             .select("source", "words", "ordinal", "target"))
 
