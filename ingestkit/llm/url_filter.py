@@ -42,6 +42,7 @@ def _path(url: Column) -> Column:
 
 def addressed(pages: DataFrame, rules=RULES) -> DataFrame:
     """Adds ``host``, ``path``, ``rule`` and ``ruled`` (the rule's verdict) to pages with a ``url``."""
+    url = F.when(F.col("url").contains("://"), F.col("url")).otherwise(F.lit("://"))  # else host and path are empty
     placed = pages.withColumn("host", _host(url)).withColumn("path", _path(url))
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for host, path, kind in sorted(rules, key=lambda r: len(r[0]) + len(r[1])):  # the last that fits is the longest
