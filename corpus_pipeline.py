@@ -16,6 +16,9 @@ from ingestkit.llm.common import written
 #: in them stay.
 LEAST_SCORE = 0.4
 
+#: Near duplicates share four fifths of their runs of five words; op1_ngram_join has a measure of its own.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: ``und`` and texts with less than ``LEAST_SCORE`` of their probability on one language go."""
@@ -25,7 +28,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: of every group the document with the smallest id stays, once. Rows without an id stay."""
-    classes = ngram_join.join(docs)
+    classes = ngram_join.join(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
     winners = written(classes.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_winner")).distinct(), "winners")
     kept = docs.join(winners, F.col("doc_id") == F.col("_winner"), "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where(F.col("doc_id").isNull()))

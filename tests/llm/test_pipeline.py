@@ -41,6 +41,25 @@ def test_one_of_each_group_stays(stages):
     assert Counter(r.doc_id for r in stages[2].collect() if r.doc_id is not None) == Counter({r.component_id for r in classes if r.component_id is not None and r.doc_id is not None})
 
 
+def test_near_copies_above_four_fifths_go(spark):
+    def jaccard(x, y):
+        a, b = ({tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)} for t in (x, y))
+        return len(a & b) / len(a | b)
+
+    rows, want = [], set()
+    for k, (size, more) in enumerate([(124, 30), (124, 29), (104, 26), (104, 25), (104, 24)]):  # 120 and 100 runs, and as many more
+        base = " ".join(f"w{k}x{n}" for n in range(size))
+        longer = base + "".join(f" more{k}x{n}" for n in range(more))
+        rows += [(2 * k, base, "en", "s", 1), (2 * k + 1, longer, "en", "s", 1)]
+        want |= {2 * k} if jaccard(base, longer) >= 0.8 else {2 * k, 2 * k + 1}
+    words = [f"v{n}" for n in range(480)]
+    rows += [(20, " ".join(words), "en", "s", 1), (21, " ".join("changed" + w if n % 47 == 20 else w for n, w in enumerate(words)), "en", "s", 1),
+             (22, " ".join(f"u{n}" for n in range(480)), "en", "s", 1), (23, " ".join(f"changedu{n}" if n % 40 == 20 else f"u{n}" for n in range(480)), "en", "s", 1)]
+    assert jaccard(rows[-4][1], rows[-3][1]) >= 0.8 > jaccard(rows[-2][1], rows[-1][1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    assert sorted(r.doc_id for r in P.drop_near_duplicates(spark, docs, "").collect()) == sorted(want | {20, 22, 23})
+
+
 def test_contaminated_go(spark, stages, sf_dir):
     judged = decontaminate.decontaminate_digest(stages[2], spark.read.parquet(f"{sf_dir}/benchmark.parquet")).collect()
     assert Counter(r.doc_id for r in stages[3].collect()) == Counter(r.doc_id for r in judged if not r.contaminated)
