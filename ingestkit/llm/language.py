@@ -5,9 +5,11 @@ whether it is in that language's lexicon. Weights of features and of transitions
 together by maximum likelihood; forward-backward gives every word its distribution over languages, so code-switched
 texts are labelled word by word. A text's language is the one with the greatest share of its words' probability.
 
-Training takes a sample of bounded size: at most ``DOCS`` labelled documents per language, the first by hash among those
-of at most ``MAX_CHARS`` characters, so at most ``LANGUAGES * DOCS * MAX_CHARS`` characters reach the driver. Documents carry one
-label, so sentences that switch are composed from spans of several languages; that is what transitions are learned from.
+Training takes a sample of bounded size from every language there is: at most ``DOCS`` labelled documents of each, the
+first by hash, and fewer of each where more than ``LANGUAGES`` languages share ``LANGUAGES * DOCS`` documents, but never none.
+Documents of more than ``MAX_CHARS`` characters come after the others and give a window of that size from their first letter.
+Documents carry one label, so sentences that switch are composed from spans of several languages; that is what transitions
+are learned from. Their number grows with the languages.
 Lexica are the words of the sample that belong to one language nine times out of ten.
 
 Prediction reads texts whole. Blocks of the documents of one batch are labelled side by side, one position at a time;
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ingestkit.llm.common import fields
 
-DOCS, MAX_CHARS, LANGUAGES, FEATURE_BITS, CACHE, BLOCK = 150, 20_000, 64, 16, 300_000, 128
+DOCS, MAX_CHARS, LANGUAGES, FEATURE_BITS, CACHE, BLOCK, CELLS = 150, 20_000, 64, 16, 300_000, 128, 1 << 24
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -175,7 +177,7 @@ def train(rows: list[tuple[str, str]], rounds: int = 60, sequences: int = 400, l
     random = np.random.Generator(np.random.PCG64(7))
     pools = [[w for w, lang in texts if w and lang == name] for name in languages]
     sentences = []
-    for k in range(sequences):
+    for k in range(max(sequences, 6 * len(languages))):  # every language begins some
         words, labels = [], []
         while len(words) < length:
             label = int(random.integers(len(languages))) if words else k % len(languages)
@@ -220,13 +222,13 @@ def train(rows: list[tuple[str, str]], rounds: int = 60, sequences: int = 400, l
 
 
 class Emissions:
-    """Scores of the distinct words met so far, forgotten when there are more than ``CACHE``."""
+    """Scores of the distinct words met so far, forgotten when there are more than ``CACHE`` (fewer beyond 16 languages)."""
 
     def __init__(self, tagger: Tagger) -> None:
         self.tagger, self.place, self.rows = tagger, {}, np.empty((0, len(tagger.languages)))
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        if len(self.place) > CACHE:
+        if len(self.place) * max(1.0, len(self.tagger.languages) / 16) > CACHE:
             self.place, self.rows = {}, self.rows[:0]
         known = self.place
         unseen = [w for w in dict.fromkeys(words) if w not in known]
@@ -250,12 +252,18 @@ def label(emissions: Emissions, texts: list[list[str]]) -> list[np.ndarray]:
 
 
 def training_rows(docs: DataFrame, docs_per_language: int = DOCS, max_chars: int = MAX_CHARS, languages: int = LANGUAGES) -> list[tuple[str, str]]:
-    """The bounded sample: the first documents of each language by hash that are not held out; languages by name."""
+    """The bounded sample: the first documents of each language by hash that are not held out, shorter ones before windows of
+    longer ones. ``languages`` is how many share the sample before each gives fewer documents."""
     usable = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-                        & F.col("text").rlike(r"\p{L}") & (F.length("text") <= max_chars))
-    picked = usable.withColumn("_h", F.xxhash64("doc_id", "text"))
-    ranked = picked.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))).where(F.col("_r") <= docs_per_language)
-    return [(r[0], r[1]) for r in ranked.orderBy("lang", "_r").limit(languages * docs_per_language).select("text", "lang").collect()]
+                        & F.col("text").rlike(r"\p{L}"))
+    share = languages * docs_per_language // max(1, usable.select("lang").distinct().count())
+    each = max(1, min(docs_per_language, share))
+    long = F.length("text") > max_chars
+    window = F.when(long, F.regexp_extract("text", rf"(?s)\p{{L}}.{{0,{max_chars - 1}}}", 0)).otherwise(F.col("text"))
+    picked = usable.select("doc_id", "lang", long.alias("_long"), F.xxhash64("doc_id", "text").alias("_h"), window.alias("text"))
+    order = Window.partitionBy("lang").orderBy("_long", "_h", "doc_id")
+    ranked = picked.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= each)
+    return [(r[0], r[1]) for r in ranked.orderBy("lang", "_r").select("text", "lang").collect()]
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", spans: bool = True,
@@ -267,13 +275,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = pickle.loads(shared.value)
-        emissions = Emissions(made)
+        emissions, cells = Emissions(made), len(made.languages) ** 2
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("_text"))
             begin = 0
             while begin < len(batch):
                 words, total, end = [], 0, begin
-                while end < len(batch) and total < batch_words:
+                while end < len(batch) and total < batch_words and (total / BLOCK + end - begin) * cells < CELLS:
                     words.append(words_of(texts[end].as_py()))
                     total += len(words[-1])
                     end += 1

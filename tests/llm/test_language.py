@@ -1,6 +1,7 @@
 """Language ID: exact inference, accuracy on held-out documents, switched texts, edge cases."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -72,3 +73,22 @@ def test_without_labels(spark):
     docs = spark.createDataFrame([(1, "some words", None, 1, "x"), (2, None, "en", 1, "x")], SCHEMA)
     assert {r.lang_pred for r in L.identify_digest(docs).collect()} == {"und"}
     assert L.identify_digest(docs.limit(0)).count() == 0
+
+
+def test_every_language_is_sampled(spark):
+    rows = [(k, f"wort{k} und mehr", f"l{k % 9}", 1, "x") for k in range(400)]
+    rows += [(k, "1 2 3 " + "lang " * 30, "long", 1, "x") for k in range(400, 410)] + [(k, "z" * 200, "l0", 1, "x") for k in range(410, 420)]
+    got = L.training_rows(spark.createDataFrame(rows, SCHEMA), docs_per_language=6, max_chars=50, languages=5)
+    assert Counter(lang for _, lang in got) == {lang: 3 for lang in [f"l{k}" for k in range(9)] + ["long"]}
+    assert all(text == ("lang " * 30)[:50] for text, lang in got if lang == "long") and not any("zz" in text for text, _ in got)
+
+
+def test_more_languages_than_the_sample_was_made_for(spark):
+    rng = np.random.default_rng(5)
+    words = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(30)] for _ in range(70)]
+    rows = [(10 * k + n, " ".join(rng.choice(words[k], 40)), f"l{k:02}", 1, "x") for k in range(70) for n in range(10)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert {lang for _, lang in L.training_rows(docs, docs_per_language=4)} == {f"l{k:02}" for k in range(70)}
+    tagger = L.train(L.training_rows(docs, docs_per_language=4), rounds=15)
+    right = [tagger.languages[int(p.mean(axis=0).argmax())] == r[2] for r, p in zip(rows, L.label(L.Emissions(tagger), [L.words_of(r[1]) for r in rows]))]
+    assert len(tagger.languages) == 70 and np.mean(right) >= 0.95
