@@ -8,7 +8,8 @@ over the runs, gives every block the number of its first document and the tokens
 span any number of blocks.
 
 ``write_tokens`` makes such files: every task writes the stream of its documents in blocks of ``BLOCK`` tokens, and apart from
-that a catalogue of the documents' ids in stream order, which the scan does not see. ``read_files`` reads raw files.
+that a catalogue of the documents' ids in stream order, which the scan does not see. ``read_files`` reads raw files
+of any size, each by many tasks.
 
 Cases: null and empty texts are documents of 0 tokens; tokens behind the last separator of a file are a last document
 that is not ``finished``; a file without separators is one such document; a separator's text inside a document is
@@ -18,7 +19,8 @@ ordinary text; repeated rows are documents of their own; an empty table gives no
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ingestkit.llm.common import fields, written
 
-TOKENIZER, SEPARATOR, WIDTH, BLOCK, RUN = "/opt/tokenizers/byte_bpe_50k.tiktoken", 50_256, 2, 1 << 16, 1_024
+TOKENIZER, SEPARATOR, WIDTH, BLOCK, RUN, TASKS = "/opt/tokenizers/byte_bpe_50k.tiktoken", 50_256, 2, 1 << 16, 1_024, 20_000
 
 #: Fixed value: the pattern that splits text before the merges of the rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -86,18 +88,53 @@ def write_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "doc
             both.where("kind = 'ids'").select("file", F.col("at").alias("first"), "ids"))
 
 
-def read_files(spark: SparkSession, path: str, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
-    """Raw token files below ``path`` as ``file, block, tokens``. Spark hands a file over whole, which bounds it to 2 GB."""
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _open_shared(path: str) -> BinaryIO:
+    return open(path.removeprefix("file:"), "rb")
+
+
+def read_files(spark: SparkSession, path: str, width: int = WIDTH, block: int = BLOCK, opened: Callable[[str], BinaryIO] | None = None) -> DataFrame:
+    """Raw token files below ``path`` as ``file, block, tokens``. Spark only lists them; tasks read ``RUN`` blocks each, one at a time.
+
+    ``opened`` opens a listed path for reading at any place; it runs in the tasks. Without it ``file:`` paths are opened in
+    the shared folder, and files of other stores are handed over whole by Spark, which refuses those above 2 GB.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    kind, size = "file string, block bigint, tokens binary", width * block
+
+    def row(name: str, k: int, raw: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int64()), pa.array([raw], pa.binary())], names=["file", "block", "tokens"])
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, length, run in zip(*(c.to_pylist() for c in batch.columns)):
+                with (opened or _open_shared)(name) as f:
+                    for k in range(run * RUN, min((run + 1) * RUN, -(-length // size))):
+                        f.seek(k * size)
+                        raw = f.read(min(size, length - k * size))
+                        if len(raw) < min(size, length - k * size):
+                            raise OSError(f"{name} ends before its listed length of {length} bytes")
+                        yield row(name, k, raw)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1)):
                 raw = memoryview(content.as_buffer())
-                for k in range(0, len(raw), width * block):
-                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()]), pa.array([k // (width * block)], pa.int64()),
-                                                      pa.array([bytes(raw[k:k + width * block])], pa.binary())], names=["file", "block", "tokens"])
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInArrow(step, "file string, block bigint, tokens binary")
+                for k in range(0, len(raw), size):
+                    yield row(name.as_py(), k // size, bytes(raw[k:k + size]))
+
+    def ranged(some: DataFrame) -> DataFrame:
+        last = F.floor((F.col("length") - 1) / F.lit(size * RUN)).cast("long")
+        runs = some.select("path", "length").where("length > 0").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+        tasks = min(runs.count(), TASKS)
+        return runs.repartition(max(1, tasks), "path", "run").mapInArrow(ranges, kind)
+
+    if opened:
+        return ranged(files)
+    local = F.col("path").startswith("file:")
+    others = files.where(~local)
+    if others.select("path").isEmpty():
+        return ranged(files)
+    return ranged(files.where(local)).unionByName(others.select("path", "content").mapInArrow(whole, kind))
 
 
 def summarise(tokens: bytes, separator: int, width: int) -> tuple[int, int, int, int, list[int]]:

@@ -22,6 +22,23 @@ def test_raw_files(spark, tmp_path, monkeypatch, block):
     assert sorted((r.file.rsplit("/", 1)[1], r.ordinal, r.n_tokens, r.finished) for r in got) == want
 
 
+def test_files_are_not_read_whole(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(T, "RUN", 4)
+    lengths = [700, 0, 5_000, 1]
+    flat = [t for n in lengths for t in [*[7] * n, T.SEPARATOR]] + [7] * 33
+    np.array(flat, "<u2").tofile(tmp_path / "a b%20é")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")  # a file that Spark refuses to hand over
+    try:
+        blocks = T.read_files(spark, f"file://{tmp_path}", block=64)
+        assert blocks.rdd.getNumPartitions() == -(-len(flat) // (64 * 4)) and "content" not in blocks._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r.ordinal, r.n_tokens, r.finished) for r in T.count(blocks).collect())
+        own = T.read_files(spark, f"file://{tmp_path}", block=64, opened=lambda p: open(p.removeprefix("file:"), "rb"))
+        assert sum(len(r.tokens) for r in own.collect()) == 2 * len(flat)
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert got == [(k, n, True) for k, n in enumerate(lengths)] + [(4, 33, False)]
+
+
 def test_documents(spark):
     rows = [(k, "word " * (k * 13 % 50) + "é漢", "x", 1) for k in range(60)] + [(100, None, "x", 1), (101, "", "x", 1), (102, "<|endoftext|> is text", "x", 1),
                                                                               (None, "no id", "x", 1), (5, "again", "x", 1), (5, "again", "x", 1), (103, "long " * 40_000, "x", 1)]
