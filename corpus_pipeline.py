@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ingestkit.llm import decontaminate, language, mixing, ngram_join, sharding
-from ingestkit.llm.common import written
+from ingestkit.llm.common import WORD, written
 
 #: A text is rejected that has no letter, or whose words no language has two fifths of: short texts with a key or a number
 #: in them stay.
@@ -27,11 +27,19 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of every group the document with the smallest id stays, once. Rows without an id stay."""
-    classes = ngram_join.join(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
-    winners = written(classes.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_winner")).distinct(), "winners")
-    kept = docs.join(winners, F.col("doc_id") == F.col("_winner"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    """N-gram Jaccard join: of every group one row stays, that with the smallest id if there is one. Rows are told apart by
+    their texts, so ids may repeat or be null; rows without words stay, once for an id and text."""
+    classes = ngram_join.join(docs, words=NEAR_WORDS, percent=NEAR_PERCENT).where("component IS NOT NULL")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "set_key")).alias("first")
+    winners = classes.groupBy("component").agg(first).select(F.col("first.doc_id").alias("_winner"), F.col("first.set_key").alias("_set"))
+    winners = written(winners, "winners")
+    words = F.coalesce("text", F.lit("")).rlike(WORD)
+    keyed = ngram_join.with_keys(docs.where(words), NEAR_WORDS)
+    same = F.col("doc_id").eqNullSafe(F.col("_winner")) & (F.col("_key") == F.col("_set"))
+    kept = keyed.join(winners, same, "left_semi").dropDuplicates(["doc_id", "_key"]).drop("_key")
+    wordless = docs.where(~words)
+    once = wordless.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(once).unionByName(wordless.where(F.col("doc_id").isNull()))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

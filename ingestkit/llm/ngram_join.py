@@ -179,9 +179,10 @@ def _compatible(n: Column, m: Column, percent: int) -> Column:
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bits: int = SKETCH_BITS, id_col: str = "doc_id",
          text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, n_links, set_key``.
+    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, n_links, set_key, component``.
 
-    ``n_links`` counts the links that were verified for the document's set, enough of them to make the component.
+    ``component`` is the key of one of the component's sets: unlike ``component_id`` it is there without ids and no two
+    components share it. ``n_links`` counts the links that were verified for the document's set, enough of them to make the component.
     """
     docs = fields(docs, doc_id=id_col, text=text_col)
     sketch = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs, words, bits))  # 2^bits counts, whatever the corpus
@@ -233,14 +234,29 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bits: int
     counted = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("n_links"))
     member_of = nodes.select("key", "doc_id").join(parts.withColumnRenamed("node", "key"), "key")
     smallest = member_of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = member_of.select("key", "component").join(smallest, "component").select("key", "component_id")
+    named = member_of.select("key", "component").join(smallest, "component").select("key", "component", "component_id")
     known = classes.select("key", F.col("doc_id").alias("least")).join(named, "key", "left").join(
         counted.withColumnRenamed("a", "key"), "key", "left").select(
-            F.col("key").alias("_key"), F.coalesce("component_id", "least").alias("_component"), "n_links")
+            F.col("key").alias("_key"), F.coalesce("component_id", "least").alias("_component"), F.coalesce("component", "key").alias("component"), "n_links")
     return rows.select("doc_id", "n", "key").join(known, F.col("key") == F.col("_key"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("_component")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("key").alias("set_key"))
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("key").alias("set_key"), "component")
+
+
+def with_keys(docs: DataFrame, words: int = WORDS, text_col: str = "text") -> DataFrame:
+    """``docs`` with the key of every row's set as ``_key``: what ``join`` calls ``set_key``."""
+    def step(batches):
+        for batch in batches:
+            for begin in range(0, len(batch), 512):  # whole texts pass: small pieces hold little memory
+                part = batch.slice(begin, 512)
+                keys = [_key(shingles(c.as_buffer().to_pybytes() if c.is_valid else None, words)) for c in part.column(1)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.int64())], names=["doc", "_text", "_key"])
+
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    source = docs.select(F.struct(*rest, F.lit(0).alias("_")).alias("doc"), F.col(f"`{text_col}`").alias("_text"))
+    keyed = source.mapInArrow(step, f"doc {source.schema['doc'].dataType.simpleString()}, _text string, _key bigint")
+    return keyed.select(*[(F.col("_text") if c == text_col else F.col("doc").getField(c)).alias(c) for c in docs.columns], "_key")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:

@@ -60,6 +60,19 @@ def test_near_copies_above_four_fifths_go(spark):
     assert sorted(r.doc_id for r in P.drop_near_duplicates(spark, docs, "").collect()) == sorted(want | {20, 22, 23})
 
 
+def test_ids_that_repeat_or_are_null(spark):
+    text = [" ".join(f"t{k}x{n}" for n in range(120)) for k in range(6)]
+    near = [t + " and one more" for t in text]
+    rows = [(5, text[0]), (5, text[1]), (5, text[1]), (6, near[0]), (4, near[2]), (5, text[2]), (None, text[3]), (None, near[3]), (None, text[3]), (None, text[4]),
+            (None, near[5]), (9, text[5]), (7, ""), (7, ""), (7, None), (None, ""), (5, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    got = [(r.doc_id, r.text) for r in P.drop_near_duplicates(spark, docs, "").collect()]
+    loose = [t for i, t in got if i is None and t in (text[3], near[3])]
+    assert len(loose) == 1
+    want = [(5, text[0]), (5, text[1]), (4, near[2]), (None, loose[0]), (None, text[4]), (9, text[5]), (7, ""), (7, None), (None, ""), (5, " ")]
+    assert Counter(got) == Counter(want)
+
+
 def test_contaminated_go(spark, stages, sf_dir):
     judged = decontaminate.decontaminate_digest(stages[2], spark.read.parquet(f"{sf_dir}/benchmark.parquet")).collect()
     assert Counter(r.doc_id for r in stages[3].collect()) == Counter(r.doc_id for r in judged if not r.contaminated)
