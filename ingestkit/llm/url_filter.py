@@ -8,7 +8,7 @@ more than ``threshold`` times its trust is blocked, any other is allowed.
 
 Links are the absolute addresses in the pages' anchors, counted per pair of hosts before anything is joined, so a hot
 host is one row per neighbour. Each walk repeats joins of hosts with host links in Spark, writes every round, and ends
-when scores move less than ``tolerance`` in all or after ``rounds`` rounds. Mass of a host without links returns to the
+when scores move less than ``tolerance`` in all and no further host was reached, or after ``rounds`` rounds if given. Mass of a host without links returns to the
 seeds.
 
 Cases: a null url, or one without ``://``, has empty host and path, fits no rule and is allowed, as nothing is known of
@@ -18,6 +18,8 @@ scores that tie allow; extra columns are left alone.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ from ingestkit.llm.common import fields, written
 #: (host, path, verdict): a rule fits the host and its subdomains where the path starts alike.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
          ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-DAMPING, ROUNDS, TOLERANCE, THRESHOLD = 0.85, 20, 1e-6, 1.0
+DAMPING, TOLERANCE, THRESHOLD = 0.85, 1e-6, 1.0
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?((?:https?:)?//[^"'\s>]+)"""
@@ -59,7 +61,7 @@ def host_links(pages: DataFrame) -> DataFrame:
             .where("src != '' AND dst != '' AND src != dst").groupBy("src", "dst").agg(F.count("*").alias("n")))
 
 
-def rank(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def rank(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """``host, seed`` (every host once) and ``src, dst, n`` → ``host, score``: a personalised PageRank.
 
     Scores sum to the sum of the seeds.
@@ -71,7 +73,8 @@ def rank(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: i
     shares = written(links.join(links.groupBy("src").agg(F.sum("n").alias("total")), "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")), "host-shares")
     now = written(now, "host-rank")
     sources = written(shares.select(F.col("src").alias("host")).distinct(), "host-sources")
-    for _ in range(rounds):
+    reached = 0
+    for _ in count() if rounds is None else range(rounds):  # a round leaves at most ``damping`` of what moved before
         moved = (now.join(shares, F.col("host") == F.col("src")).groupBy(F.col("dst").alias("host"))
                  .agg(F.sum(F.col("score") * F.col("share")).alias("got")))
         kept = now.join(sources, "host").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
@@ -79,10 +82,11 @@ def rank(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: i
         nxt = now.join(moved, "host", "left").select("host", "seed", F.col("score").alias("old"), (
             damping * F.coalesce("got", F.lit(0.0)) + back * F.col("seed")).alias("score"))
         nxt = written(nxt, "host-rank")
-        change = nxt.agg(F.coalesce(F.sum(F.abs(F.col("score") - F.col("old"))), F.lit(0.0))).first()[0]
+        change, scored = nxt.agg(F.coalesce(F.sum(F.abs(F.col("score") - F.col("old"))), F.lit(0.0)), F.count_if(F.col("score") > 0)).first()
         now = nxt.drop("old")
-        if change <= tolerance * every:
+        if change <= tolerance * every and scored == reached:
             break
+        reached = scored
     return now.select("host", "score")
 
 

@@ -73,3 +73,12 @@ def test_against_dense_walks(spark):
 
 def test_empty(spark):
     assert U.judge_digest(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_walks_are_not_ended_early(spark):
+    seeds = spark.createDataFrame([(f"h{k}", 1.0 if k == 0 else 0.0) for k in range(24)], "host string, seed double")
+    links = spark.createDataFrame([(f"h{k}", f"h{k + 1}", 1) for k in range(23)], "src string, dst string, n long")
+    got = {r.host: r.score for r in U.rank(seeds, links, tolerance=0.02).collect()}  # 0.85^20 is 0.039
+    assert all(got[f"h{k}"] > 0 for k in range(24)) and abs(sum(got.values()) - 1) < 1e-9
+    far = {r.host: r.score for r in U.rank(seeds, links, tolerance=0.5).collect()}  # met long before the end of the chain
+    assert far["h23"] > 0
