@@ -36,3 +36,14 @@ def unit(*parts: Column) -> Column:
 def fields(df: DataFrame, **renamed: str) -> DataFrame:
     """Only the named columns, under names of our own: extra columns of any name cannot clash."""
     return df.select(*[F.col(f"`{c}`").alias(name) for name, c in renamed.items()])
+
+
+def joined_by_key(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """``rows`` with the row of ``table`` that has their ``key`` (never null); ``weight`` is the number of rows it stands for.
+
+    Keys of more than a thousandth of all rows, so fewer than a thousand, are broadcast: no task gets all rows of a hot key.
+    """
+    hot = F.col(weight) * 1000 > F.lit(table.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0])
+    often = F.broadcast(table.where(hot))
+    rest = rows.join(often.select(key), key, "left_anti").join(table.where(~hot), key)
+    return rows.join(often, key).unionByName(rest)

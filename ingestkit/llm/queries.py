@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ingestkit.llm import ann, decontaminate, html_blocks, language, mixing, ngram_join, sharding, token_scan, toxicity, url_filter
+from ingestkit.llm import (ann, cross_tokens, decontaminate, html_blocks, language, mixing, ngram_join, sharding, simhash, spelling, token_scan,
+                           toxicity, url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +74,18 @@ def op9(spark, sf_dir):
 @query("op10_ann")
 def op10(spark, sf_dir):
     return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_token_alignment")
+def op11(spark, sf_dir):
+    return cross_tokens.align_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op12_spelling", spelling.VARIANTS_SQL)
+def op12(spark, sf_dir):
+    return spelling.variants_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op13_simhash")
+def op13(spark, sf_dir):
+    return simhash.join_digest(table(spark, sf_dir, "documents"))
