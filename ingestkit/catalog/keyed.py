@@ -12,6 +12,7 @@ from ingestkit.functions.cleaning import HOUR_MS, floor_to
 from ingestkit.operators.mutations import delete_where, truncate, update_where
 from ingestkit.operators.seen import change_against, content_change, content_hash, merge_seen, seen_log, url_hash
 from ingestkit.operators.ttl import ttl_dedup
+from ingestkit.operators.unique import upsert_unique
 from ingestkit.operators.upsert import not_null_violations, run_totals, upsert
 from ingestkit.session import shared_dir
 from ingestkit.sources.tables import delete_from_table, read_partitions, read_table, update_table, upsert_partitions, upsert_table
@@ -124,6 +125,64 @@ def run_total_query(spark, sf):
     return run_totals(first.unionByName(second))
 
 
+def _customers_twice_keyed(spark, sf):
+    return TableSpec.from_dict("customers", {
+        "columns": [{"name": "c_custkey", "type": "INTEGER UNIQUE"}, {"name": "c_name", "type": "TEXT"}, {"name": "c_acctbal", "type": "REAL"},
+                    {"name": "c_mktsegment", "type": "TEXT"}],
+        "indexes": [{"name": "n", "columns": ["c_name"], "unique": True}]})
+
+
+def two_key_delta(spark, sf):
+    """Rows that meet the table by either key, rename it, take what was freed, follow one another, or meet nothing."""
+    c = table(spark, sf, "customer")
+    key, name, bal = F.col("c_custkey").cast("bigint"), F.col("c_name"), F.col("c_acctbal").cast("double")
+
+    def part(rest, new_key, new_name, more, seq):
+        return c.where(F.pmod("c_custkey", F.lit(10)) == rest).select(
+            new_key.cast("bigint").alias("c_custkey"), new_name.cast("string").alias("c_name"), (bal + more).alias("c_acctbal"), F.lit(seq).cast("bigint").alias("seq"))
+
+    none, named = F.lit(None), lambda text: F.concat(F.lit(text), name)
+    parts = [part(0, key, name, 1, 1), part(1, key, named("new "), 2, 1), part(1, key + 1_000_000_000, name, 3, 2), part(2, key + 2_000_000_000, name, 4, 1),
+             part(3, none, name, 5, 1), part(3, key, named("third "), 6, 2), part(4, key, named("x "), 0, 1), part(4, key + 3_000_000_000, named("x "), 7, 2),
+             part(5, key, none, 8, 1), part(7, none, none, 0, 1), part(8, key + 4_000_000_000, named("n8 "), 0, 1), part(8, key + 4_000_000_000, named("n8 "), 9, 2)]
+    hot = c.where(F.pmod("c_custkey", F.lit(10)) == 9).select(F.lit(-1).cast("bigint").alias("c_custkey"), F.lit("hot").alias("c_name"), bal.alias("c_acctbal"), key.alias("seq"))
+    out = parts[0]
+    for more in [*parts[1:], hot]:
+        out = out.unionByName(more)
+    return out
+
+
+_TWO_KEYS_SQL = """
+    WITH c AS (SELECT c_custkey::BIGINT AS k, c_name AS n, c_acctbal::DOUBLE AS b, c_mktsegment AS s, c_custkey % 10 AS r FROM customer)
+    SELECT CASE r WHEN 2 THEN k + 2000000000 WHEN 3 THEN NULL WHEN 4 THEN k + 3000000000 ELSE k END AS c_custkey,
+           CASE r WHEN 1 THEN 'new ' || n WHEN 4 THEN 'x ' || n WHEN 5 THEN NULL ELSE n END AS c_name,
+           b + CASE r WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 3 THEN 5 WHEN 4 THEN 7 WHEN 5 THEN 8 ELSE 0 END AS c_acctbal, s AS c_mktsegment FROM c
+    UNION ALL SELECT k + 1000000000, n, b + 3, NULL FROM c WHERE r = 1
+    UNION ALL SELECT k, 'third ' || n, b + 6, NULL FROM c WHERE r = 3
+    UNION ALL SELECT NULL, NULL, b, NULL FROM c WHERE r = 7
+    UNION ALL SELECT k + 4000000000, 'n8 ' || n, b + 9, NULL FROM c WHERE r = 8
+    UNION ALL SELECT -1, 'hot', arg_max(b, k), NULL FROM c WHERE r = 9 HAVING count(*) > 0"""
+
+
+@query("upsert_two_keys", _TWO_KEYS_SQL)
+def upsert_two_keys(spark, sf):
+    """Either key names the row that is replaced; what the batch frees and writes counts for its later rows."""
+    spec = _customers_twice_keyed(spark, sf)
+    old = table(spark, sf, "customer").select(F.col("c_custkey").cast("bigint").alias("c_custkey"), "c_name", F.col("c_acctbal").cast("double").alias("c_acctbal"), "c_mktsegment")
+    return upsert_unique(old, two_key_delta(spark, sf), spec.unique, "seq").table
+
+
+@query("upsert_two_keys_stored", _TWO_KEYS_SQL)
+def upsert_two_keys_stored(spark, sf):
+    """The same into a written table: rows that get another key move to its partition."""
+    spec = _customers_twice_keyed(spark, sf)
+    path = f"{shared_dir(spark)}/customers-{uuid.uuid4().hex}"
+    old = table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    upsert_partitions(spark, path, spec, old, RUN_TS, order_by="c_name", buckets=8)
+    upsert_partitions(spark, path, spec, two_key_delta(spark, sf), RUN_TS, order_by="seq")
+    return read_partitions(spark, path, spec)
+
+
 @query("upsert_partitions", """
     SELECT strftime(ts, '%Y-%m-%d') AS day, event_id, CASE WHEN day(ts) <= 5 THEN value + 1 ELSE value END AS value FROM events""")
 def upsert_partition_query(spark, sf):
@@ -185,7 +244,7 @@ _STORED_SQL = """
 
 @query("update_delete_stored", _STORED_SQL)
 def update_delete_stored(spark, sf):
-    """Update and delete on a written table: each is a committed rewrite."""
+    """Update and delete on a written table: each rewrites the partitions that hold such rows."""
     path = f"{shared_dir(spark)}/customers-{uuid.uuid4().hex}"
     spec = TableSpec.from_dict("customers", {
         "columns": [{"name": "c_custkey", "type": "INTEGER"}, {"name": "c_name", "type": "TEXT"}, {"name": "c_mktsegment", "type": "TEXT"},
@@ -197,6 +256,30 @@ def update_delete_stored(spark, sf):
     return read_table(spark, path).select("c_custkey", "c_name", "c_mktsegment")
 
 
+@query("update_delete_partitions", """
+    SELECT strftime(ts, '%Y-%m-%d') AS day, event_id, CASE WHEN event_type = 'click' AND day(ts) = 9 THEN 'nine' ELSE event_type END AS event_type,
+           CASE WHEN day(ts) = 3 THEN -1.0 ELSE value END AS value
+    FROM events WHERE day(ts) <> 7""")
+def update_delete_partitions(spark, sf):
+    """A table partitioned by day: one day is changed, one is emptied, one renames a kind; all others keep their files."""
+    spec = TableSpec.from_dict("events", {
+        "columns": [{"name": "day", "type": "TEXT NOT NULL"}, {"name": "event_id", "type": "INTEGER"}, {"name": "event_type", "type": "TEXT"}, {"name": "value", "type": "REAL"},
+                    {"name": "tag", "type": "TEXT"}],
+        "indexes": [{"name": "uk", "columns": ["day", "event_id"], "unique": True}]})
+    path = f"{shared_dir(spark)}/days-{uuid.uuid4().hex}"
+    day = F.date_format("ts", "yyyy-MM-dd")
+    rows = table(spark, sf, "events").select(day.alias("day"), "event_id", "event_type", "value",
+                                             F.when((F.dayofmonth("ts") == 9) & (F.col("event_type") == "click"), "nine").alias("tag"))
+    upsert_partitions(spark, path, spec, rows, RUN_TS, ["day"], "event_id")
+    for d in [r[0] for r in rows.select("day").distinct().collect()]:  # the days of the table
+        if d.endswith("-03"):
+            update_table(spark, path, "day", d, {"value": -1.0})
+        elif d.endswith("-07"):
+            delete_from_table(spark, path, "day", d)
+    update_table(spark, path, "tag", "nine", {"event_type": "nine"})
+    return read_table(spark, path).drop("tag")
+
+
 @query("truncate_count", "SELECT count(*) AS deleted FROM lineitem")
 def truncate_count(spark, sf):
     return truncate(table(spark, sf, "lineitem"))[1]

@@ -53,21 +53,26 @@ def _status(previous: Column, current: Column) -> Column:
     return (F.when(previous.isNull(), "new").when(previous == current, "unchanged").otherwise("changed"))
 
 
-def content_change(df: DataFrame, key: str, order: str, hash_col: str, span: int) -> DataFrame:
-    """``status`` new / unchanged / changed against the row before it with the same key.
+def content_change(df: DataFrame, key: str, order: str, hash_col: str, span: int, tie: str | None = None) -> DataFrame:
+    """``status`` new / unchanged / changed against the row before it with the same key, one row for each of ``df``.
 
-    A hot key is cut by ``order`` (a number; cast a time to seconds) into spans of length
-    ``span``. Inside a span a window looks back; only the first row of a span needs the last hash
-    of the span before it, taken from a one-row-per-span aggregate.
+    A hot key is cut by ``order`` (a number; cast a time to seconds) into spans of length ``span``. Inside a span a window
+    looks back; only the first row of a span needs the last hash of the span before it, taken from a one-row-per-span
+    aggregate. ``tie`` orders rows of one key and order; without it the hash does, so the outcome is the same every time.
+    NULL keys are one key. Rows without an order come before all others of their key, in the order of their ties.
     """
-    placed = df.withColumn("_span", floor_to(F.col(order), span))
-    inside = Window.partitionBy(key, "_span").orderBy(order)
-    ends = placed.groupBy(key, "_span").agg(F.max_by(hash_col, F.struct(order)).alias("_last"))
-    across = Window.partitionBy(key).orderBy("_span")
-    before = ends.withColumn("_before", F.lag("_last").over(across)).drop("_last")
-    looked = placed.withColumn("_lag", F.lag(hash_col).over(inside)).join(before, [key, "_span"])
-    previous = F.coalesce(F.col("_lag"), F.col("_before"))
-    return looked.withColumn("status", _status(previous, F.col(hash_col))).select(*df.columns, "status")
+    placed = df.withColumns({"_group": F.coalesce(F.concat(F.lit("k"), F.col(f"`{key}`").cast("string")), F.lit("")),
+                             "_span": floor_to(F.col(f"`{order}`"), span)})
+    by = [F.col(f"`{order}`").asc_nulls_first(), F.col(f"`{tie or hash_col}`").asc_nulls_first()]
+    last = F.struct(F.col(f"`{order}`"), F.col(f"`{tie or hash_col}`"))  # in a struct NULL sorts lowest as well
+    inside = Window.partitionBy("_group", "_span").orderBy(*by)
+    ends = placed.groupBy("_group", "_span").agg(F.max_by(F.struct(F.col(f"`{hash_col}`").alias("h")), last).alias("_last"))
+    across = Window.partitionBy("_group").orderBy(F.col("_span").asc_nulls_first())
+    before = ends.select(F.col("_group").alias("_g"), F.col("_span").alias("_s"), F.lag("_last").over(across)["h"].alias("_before"))
+    looked = placed.withColumn("_lag", F.lag(F.struct(F.col(f"`{hash_col}`").alias("h"))).over(inside)).join(
+        before, (F.col("_group") == F.col("_g")) & F.col("_span").eqNullSafe(F.col("_s")))
+    previous = F.when(F.col("_lag").isNotNull(), F.col("_lag")["h"]).otherwise(F.col("_before"))
+    return looked.withColumn("status", _status(previous, F.col(f"`{hash_col}`"))).select(*[F.col(f"`{c}`") for c in df.columns], "status")
 
 
 def change_against(batch: DataFrame, seen: DataFrame, url: str, hash_col: str) -> DataFrame:

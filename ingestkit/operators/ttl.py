@@ -138,7 +138,7 @@ def _mark(batches: Iterator[pd.DataFrame], ttl: int) -> Iterator[pd.DataFrame]:
 
 def ttl_dedup(df: DataFrame, key: str | Column, ts: str | Column, seconds: int, tie: str | Column,
               span_windows: int | None = None) -> DataFrame:
-    """Rows of ``df`` that the greedy rule keeps. ``tie`` (unique) orders rows of one key and instant.
+    """Rows of ``df`` that the greedy rule keeps. ``tie`` (unique) orders rows of one key and instant, a NULL first.
 
     Of such rows only the first can be kept; they are reduced before anything else by a map-side
     aggregate, so copies of one request never travel. A row without a time is kept.
@@ -157,7 +157,9 @@ def ttl_dedup(df: DataFrame, key: str | Column, ts: str | Column, seconds: int,
         _TIE: tie,
     })
     slim = (
-        marked.where(F.col(_TIME).isNotNull()).groupBy(_KEY, _TIME).agg(F.min(_TIE).alias(_TIE))
+        # in a struct a NULL is the least; bare it would be left out of account
+        marked.where(F.col(_TIME).isNotNull()).groupBy(_KEY, _TIME).agg(F.min(F.struct(F.col(_TIE))).alias("_least"))
+        .select(_KEY, _TIME, F.col("_least")[_TIE].alias(_TIE))
         # never NULL here; said so, both uses below keep one and the same exchange
         .withColumn(_SPAN, F.coalesce(floor_to(F.col(_TIME), span), F.lit(0).cast("bigint")))
         .repartition(_KEY, _SPAN)
@@ -176,5 +178,7 @@ def ttl_dedup(df: DataFrame, key: str | Column, ts: str | Column, seconds: int,
         slim.join(starts, [_KEY, _SPAN]).sortWithinPartitions(_KEY, _SPAN, _TIME)
         .mapInPandas(lambda b: _mark(b, ttl), pairs)
     )
-    result = marked.join(kept, [_KEY, _TIME, _TIE], "left_semi").select(*df.columns)
+    kept = kept.select(F.col(_KEY).alias("_k"), F.col(_TIME).alias("_t"), F.col(_TIE).alias("_i"))
+    same = (F.col(_KEY) == F.col("_k")) & (F.col(_TIME) == F.col("_t")) & F.col(_TIE).eqNullSafe(F.col("_i"))
+    result = marked.join(kept, same, "left_semi").select(*df.columns)
     return result.unionByName(marked.where(F.col(_TIME).isNull()).select(*df.columns))

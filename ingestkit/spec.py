@@ -16,6 +16,7 @@ from ingestkit.functions.datetimes import run_time, strftime
 
 _SPARK_TYPES = {"bigint": LongType(), "double": DoubleType(), "string": StringType(), "timestamp": TimestampType()}
 _DEFAULT = re.compile(r"\bDEFAULT\s+(\((?:[^()]|\([^()]*\))*\)|'(?:[^']|'')*'|[^\s,]+)", re.IGNORECASE)
+_UNIQUE, _QUOTED = re.compile(r"\b(UNIQUE|PRIMARY\s+KEY)\b"), re.compile(r"'(?:[^']|'')*'")
 _NOW = re.compile(r"(datetime|date|time)\s*\(\s*'now'", re.IGNORECASE)
 _STRFTIME = re.compile(r"strftime\s*\(\s*'([^']*)'\s*,\s*'now'", re.IGNORECASE)
 _CLOCKS = {"datetime": "%Y-%m-%d %H:%M:%S", "date": "%Y-%m-%d", "time": "%H:%M:%S"}
@@ -32,6 +33,7 @@ class ColumnSpec:
     not_null: bool = False
     default: str | None = None
     auto_id: bool = False
+    unique: bool = False
 
     @classmethod
     def from_dict(cls, d: Mapping) -> ColumnSpec:
@@ -39,7 +41,8 @@ class ColumnSpec:
         upper = text.upper()
         found = _DEFAULT.search(text)
         return cls(d["name"], sql_type(d.get("type")), "NOT NULL" in upper,
-                   found.group(1) if found else None, "PRIMARY KEY" in upper and "AUTOINCREMENT" in upper)
+                   found.group(1) if found else None, "PRIMARY KEY" in upper and "AUTOINCREMENT" in upper,
+                   bool(_UNIQUE.search(_QUOTED.sub("", upper))))
 
     def default_column(self, run_ts) -> Column | None:
         """The default for inserted rows; time functions use the one run time."""
@@ -63,7 +66,8 @@ class ColumnSpec:
 class TableSpec:
     name: str
     columns: tuple[ColumnSpec, ...] = ()
-    keys: tuple[str, ...] = ()
+    keys: tuple[str, ...] = ()                  # the first unique key
+    unique: tuple[tuple[str, ...], ...] = ()    # all of them
 
     @classmethod
     def from_dict(cls, name: str, schema: Mapping) -> TableSpec:
@@ -71,13 +75,12 @@ class TableSpec:
         # the business key identifies rows, so there is no counter column
         columns = tuple(c for c in declared if not c.auto_id)
         unique = [tuple(i["columns"]) for i in schema.get("indexes") or () if i.get("unique")]
-        if len(unique) > 1:
-            raise SpecError(f"table {name}: more than one unique key")
-        keys = unique[0] if unique else ()
-        unknown = [k for k in keys if k not in {c.name for c in columns}]
+        unique += [(c.name,) for c in columns if c.unique]
+        unique = list({frozenset(k): k for k in reversed(unique)}.values())[::-1]
+        unknown = [c for k in unique for c in k if c not in {c.name for c in columns}]
         if unknown:
             raise SpecError(f"table {name}: key columns {unknown} are not declared")
-        return cls(name, columns, keys)
+        return cls(name, columns, unique[0] if unique else (), tuple(unique))
 
     @property
     def schema(self) -> StructType:

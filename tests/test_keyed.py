@@ -178,3 +178,21 @@ def test_late_rows_on_a_stream(spark, tmp_path):
         (rows_.selectExpr("k", "CAST(timestamp_seconds(s) AS timestamp_ntz) AS ts", "id").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in"))
         stream_ttl_dedup(read_landed(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema), "k", "ts", 300, "id", f"{tmp_path}/kept", f"{tmp_path}/cp")
     assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/kept").collect()) == [1, 2, 4, 6]
+
+
+def test_ttl_keeps_a_row_without_tie(spark):
+    rows_ = [("k", 0, None), ("k", 0, 5), ("k", 3, 6), ("k", 20, None), (None, 1, None)]
+    df = spark.createDataFrame(rows_, "k string, s long, i long").withColumn("ts", F.timestamp_seconds("s"))
+    got = [(r.k, r.s, r.i) for r in ttl_dedup(df, "k", "ts", 10, "i").collect()]
+    assert sorted(got, key=str) == sorted([("k", 0, None), ("k", 20, None), (None, 1, None)], key=str)
+
+
+@pytest.mark.parametrize("span", [2, 1000])
+def test_content_change_loses_no_row(spark, span):
+    """NULL keys are one key, rows without an order come first, ties are ordered, NULL hashes count as none."""
+    data = [("a", None, "x", 1), ("a", None, "x", 2), ("a", 1, "x", 3), ("a", 5, "y", 4), ("a", 5, "z", 5), ("a", 9, "z", 6), (None, 1, "q", 7), (None, 4, "q", 8),
+            ("b", 1, None, 9), ("b", 2, "x", 10), ("k", 1, "x", 11), ("", 1, "x", 12)]
+    df = spark.createDataFrame(data, "k string, o long, h string, i long")
+    got = {r.i: r.status for r in content_change(df, "k", "o", "h", span, tie="i").collect()}
+    assert got == {1: "new", 2: "unchanged", 3: "unchanged", 4: "changed", 5: "changed", 6: "unchanged", 7: "new", 8: "unchanged", 9: "new", 10: "new", 11: "new", 12: "new"}
+    assert content_change(df, "k", "o", "h", span).count() == len(data)
