@@ -13,8 +13,12 @@ Inside a shard the ``slot`` numbers have no gap: rows are numbered within cells
 the one before ends. Groups of equal texts are not kept together, as their ids differ: a hot text spreads over all
 shards, which law ``bytes`` needs.
 
-Cases: a null or empty text has size 8; a null id hashes like an empty one, so its text places it; repeated rows go to
-one shard and get different slots; an empty table gives no rows; extra columns are left alone.
+Equal rows have one key; many of them would make a range that no shard has room for. So the rows of a key that repeats and
+holds more than ``1 / HEAVY`` of a shard's mean load take ranges by the hash of their number in the written table, and the
+loads are summed again. There are at most ``HEAVY`` such keys per shard. Equal rows are interchangeable; no other row moves.
+
+Cases: a null or empty text has size 8; a null id hashes like an empty one, so its text places it; repeated rows get
+different slots, and many of them spread over the shards; an empty table gives no rows; extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ingestkit.llm.common import fields, written
 
-SHARDS, VIRTUAL_NODES, RANGES, CELLS, SLACK = 24, 128, 1 << 16, 128, 0.001
+SHARDS, VIRTUAL_NODES, RANGES, CELLS, SLACK, HEAVY = 24, 128, 1 << 16, 128, 0.001, 16
 
 
 def ring(shards: int, virtual_nodes: int = VIRTUAL_NODES) -> list[tuple[int, int]]:
@@ -59,6 +63,10 @@ def place(loads: list[tuple[int, int]], shards: int, virtual_nodes: int = VIRTUA
     return out
 
 
+def _loads(rows: DataFrame) -> list[tuple[int, int]]:
+    return [(r[0], r[1]) for r in rows.groupBy("_range").agg(F.sum("size")).collect()]  # at most RANGES rows
+
+
 def shard_rows(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text",
                virtual_nodes: int = VIRTUAL_NODES, slack: float = SLACK) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` for every row of ``docs``."""
@@ -70,14 +78,23 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", te
         F.crc32(text).cast("long").alias("text_crc32"),
         F.conv(F.substring(hashed, 1, 4), 16, 10).cast("int").alias("_range"),
         (F.conv(F.substring(hashed, 5, 4), 16, 10).cast("int") % CELLS).alias("_cell"),
-        F.conv(F.substring(hashed, 9, 15), 16, 10).cast("long").alias("_key")), "shard-keys")
-    loads = [(r[0], r[1]) for r in rows.groupBy("_range").agg(F.sum("size")).collect()]  # at most RANGES rows
+        F.conv(F.substring(hashed, 9, 15), 16, 10).cast("long").alias("_key"), F.monotonically_increasing_id().alias("_number")), "shard-keys")
+    loads = _loads(rows)
+    most = sum(b for _, b in loads) / shards / HEAVY
+    heavy = [p for p, b in loads if b > most]  # at most HEAVY a shard
+    if heavy:
+        keys = rows.where(F.col("_range").isin(heavy)).groupBy("_key").agg(F.count("*").alias("n"), F.sum("size").alias("b"))
+        repeated = [r[0] for r in keys.where((F.col("n") > 1) & (F.col("b") > most)).collect()]  # at most HEAVY a shard
+        if repeated:
+            own = F.pmod(F.xxhash64("_number"), F.lit(RANGES)).cast("int")
+            rows = rows.withColumn("_range", F.when(F.col("_key").isin(repeated), own).otherwise(F.col("_range")))
+            loads = _loads(rows)
     placed = spark.createDataFrame(list(place(loads, shards, virtual_nodes, slack).items()), "_at int, shard int")
     sharded = rows.join(F.broadcast(placed), F.col("_range") == F.col("_at"))  # at most RANGES rows
     cells = sharded.groupBy("shard", "_cell").agg(F.count("*").alias("n"))
     upto = Window.partitionBy("shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.select(F.col("shard").alias("_s"), F.col("_cell").alias("_c"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("shard", "_cell").orderBy("_key", "doc_id", "size")
+    inside = Window.partitionBy("shard", "_cell").orderBy("_key", "doc_id", "size", "_number")
     numbered = sharded.withColumn("_n", F.row_number().over(inside) - 1)
     return numbered.join(F.broadcast(starts), (F.col("shard") == F.col("_s")) & (F.col("_cell") == F.col("_c"))).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",

@@ -52,3 +52,48 @@ def test_overflow_goes_clockwise():
 
 def test_empty(spark):
     assert sharding.shard_rows(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_equal_rows_spread(spark):
+    """Thousands of copies of one row without an id fill no shard; rows that occur once stay where they were."""
+    once = [(i, f"text {i} " * (i % 20), "s", 1) for i in range(2_000)]
+    copies = [(None, "the same words again and again " * 6, "s", 1)] * 4_000
+    got = sharding.shard_rows(spark.createDataFrame(once + copies, SCHEMA)).collect()
+    held, slots = Counter(), defaultdict(list)
+    for r in got:
+        held[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert len(got) == 6_000 and len(held) == 24 and max(held.values()) <= 1.03 * min(held.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def plain(rows, shards):
+    """The ring by hand: every row's range, the virtual nodes clockwise of it, full shards passed by."""
+    import hashlib
+
+    def digest(i, t):
+        inner = "" if t is None else hashlib.md5(t.encode()).hexdigest()
+        return hashlib.md5(f"{'' if i is None else i}|{inner}".encode()).hexdigest()
+    nodes = sorted((int(hashlib.md5(f"shard {s} node {v}".encode()).hexdigest()[:4], 16), s) for s in range(shards) for v in range(sharding.VIRTUAL_NODES))
+    load = Counter()
+    for i, t in rows:
+        load[int(digest(i, t)[:4], 16)] += len((t or "").encode()) + 8
+    room = [(1 + sharding.SLACK) * sum(load.values()) / shards] * shards
+    shard_of = {}
+    for p in sorted(load, key=lambda p: (-load[p], p)):
+        clockwise = [s for q, s in nodes if q >= p] + [s for q, s in nodes if q < p]
+        shard = next((s for s in clockwise if room[s] >= load[p]), None)
+        if shard is None:
+            shard = max(range(shards), key=lambda s: (room[s], -s))
+        room[shard] -= load[p]
+        shard_of[p] = shard
+    return Counter((i, t, shard_of[int(digest(i, t)[:4], 16)]) for i, t in rows)
+
+
+def test_against_a_ring_by_hand(spark):
+    rows = [(i, f"{i} " * (i * 7 % 90)) for i in range(1_500)] + [(9_999, None), (None, "x"), (3, "again"), (3, "again")]
+    texts = {}
+    for i, t in rows:
+        texts.setdefault((i, len((t or "").encode()) + 8, None if t is None else zlib.crc32(t.encode())), t)
+    got = sharding.shard_rows(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, texts[r.doc_id, r.size, r.text_crc32], r.shard) for r in got) == plain(rows, 24)
