@@ -236,13 +236,13 @@ def variants_digest(docs: DataFrame) -> DataFrame:
 #: Near words share a form without one character (deleted from one, or from both at one place); CRC-32 is spelled out byte by byte.
 VARIANTS_SQL = r"""
 WITH RECURSIVE crc AS (
-  SELECT list_transform(range(256), i -> list_reduce(list_prepend(i, range(8)), (c, k) -> CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
 runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zA-Z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
 each AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL),
 hashed AS (
   SELECT run, n, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(concat(doc_id, ':', run), ''),
-    c -> CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [192 + (ord(c) >> 6), 128 + (ord(c) & 63)]::BIGINT[] END))),
-    (c, b) -> xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM each, crc),
+    lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [192 + (ord(c) >> 6), 128 + (ord(c) & 63)]::BIGINT[] END))),
+    lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM each, crc),
 cut AS (SELECT n, CASE WHEN h % 97 = 0 THEN concat(left(run, (h % length(run))::INT), substr(run, (h % length(run))::INT + 2)) ELSE run END AS word FROM hashed),
 words AS (SELECT word, sum(n)::BIGINT AS n FROM cut GROUP BY word HAVING length(word) >= 5 AND sum(n) >= 3),
 skipped AS (SELECT word, k, concat(left(word, k), '$', substr(word, k + 2)) AS hole, concat(left(word, k), substr(word, k + 2)) AS rest
@@ -255,5 +255,5 @@ near AS (SELECT x, count(*) AS n_near, arg_max({'w': y, 'n': n}, {'n': n, 'r': -
          FROM pairs JOIN (SELECT *, row_number() OVER (ORDER BY encode(word)) AS r FROM words) p ON p.word = y GROUP BY x),
 forms AS (SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN top.n >= 2 * n THEN top.w END AS form, CASE WHEN top.n >= 2 * n THEN top.n END AS form_n
           FROM words LEFT JOIN near ON x = word),
-ways(word, at, form) AS (SELECT word, word, form FROM forms UNION ALL SELECT ways.word, f.word, f.form FROM ways JOIN forms f ON f.word = ways.form)
-SELECT f.word, f.form, w.at AS root, f.n, f.n_near, f.form_n FROM forms f JOIN ways w ON w.word = f.word AND w.form IS NULL"""
+ways(word, last, form) AS (SELECT word, word, form FROM forms UNION ALL SELECT ways.word, f.word, f.form FROM ways JOIN forms f ON f.word = ways.form)
+SELECT f.word, f.form, w.last AS root, f.n, f.n_near, f.form_n FROM forms f JOIN ways w ON w.word = f.word AND w.form IS NULL"""
