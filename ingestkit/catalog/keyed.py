@@ -10,15 +10,16 @@ from ingestkit.catalog.base import RUN_TS, query, table
 from ingestkit.catalog.cleaning import typed_k
 from ingestkit.functions.cleaning import HOUR_MS, floor_to
 from ingestkit.operators.mutations import delete_where, truncate, update_where
-from ingestkit.operators.seen import change_against, content_change, content_hash, merge_seen, seen_log, url_hash
+from ingestkit.operators.seen import (change_against, change_against_saved, content_change, content_hash, merge_saved, merge_seen, save_seen,
+                                      seen_log, url_hash)
 from ingestkit.operators.ttl import ttl_dedup
 from ingestkit.operators.unique import upsert_unique
 from ingestkit.operators.upsert import not_null_violations, run_totals, upsert
 from ingestkit.session import shared_dir
 from ingestkit.sources.tables import delete_from_table, read_partitions, read_table, update_table, upsert_partitions, upsert_table
 from ingestkit.spec import TableSpec
-from ingestkit.streaming.landing import bucket_latest, read_landed, stream_upsert
-from ingestkit.streaming.ttl import stream_ttl_dedup
+from ingestkit.streaming.landing import bucket_latest, read_landed, stream_bucket_latest, stream_upsert
+from ingestkit.streaming.ttl import stream_ttl_dedup, stream_ttl_state
 
 # --------------------------------------------------------------------- upsert
 
@@ -338,6 +339,17 @@ def seen_log_merged(spark, sf):
     return _seen_text(merge_seen(*logs))
 
 
+@query("seen_log_bucketed", _SEEN)
+def seen_log_bucketed(spark, sf):
+    """The log of a first period lies in buckets; that of a second one is folded in without moving it."""
+    r = _requests(spark, sf)
+    cut = F.lit("2024-01-12").cast("timestamp_ntz")
+    names = [f"seen_{uuid.uuid4().hex}" for _ in range(2)]
+    save_seen(seen_log(r.where(F.col("ts") < cut), "url", "ts", "content", "event_id"), names[0], 16)
+    merge_saved(names[0], seen_log(r.where(F.col("ts") >= cut), "url", "ts", "content", "event_id"), names[1], 16)
+    return _seen_text(spark.table(names[1])).select("url_hash", "url", "first_seen", "last_seen", "hit_count", "content_hash")
+
+
 @query("content_hash", """
     SELECT c_custkey, sha256('{"c_custkey": ' || c_custkey || ', "c_mktsegment": ' || CASE WHEN c_custkey % 7 = 0 THEN 'null'
       ELSE '"' || c_mktsegment || '"' END || ', "c_name": "é\\"' || c_name || '", "c_nationkey": ' || c_nationkey || '}') AS content_hash
@@ -372,6 +384,16 @@ def content_change_seen(spark, sf):
     return change_against(pages, seen, "url", "h").select("page_id", "status")
 
 
+@query("content_change_bucketed", """
+    SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'new' WHEN page_id % 3 = 1 THEN 'unchanged' ELSE 'changed' END AS status FROM pages""")
+def content_change_bucketed(spark, sf):
+    """Against a log in buckets: only the batch is exchanged."""
+    pages = table(spark, sf, "pages").select("page_id", "url", F.sha2("html", 256).alias("h"))
+    third, name = F.pmod("page_id", F.lit(3)), f"seen_{uuid.uuid4().hex}"
+    save_seen(pages.where(third != 0).select(url_hash(F.col("url")).alias("url_hash"), F.when(third == 1, F.col("h")).otherwise("old").alias("content_hash")), name, 16)
+    return change_against_saved(pages, name, "url", "h").select("page_id", "status")
+
+
 # ----------------------------------------------------------------- incremental
 
 @query("bucket_latest", """
@@ -415,3 +437,36 @@ def stream_ttl_query(spark, sf):
         stream_ttl_dedup(read_landed(spark, f"{base}/landed", events.schema), "user_id", "ts", 18_000, "event_id",
                          f"{base}/kept", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/kept").select("event_id", "user_id", "event_type")
+
+
+@query("stream_ttl_state", _TTL_SQL)
+def stream_ttl_state_query(spark, sf):
+    """Events land in three periods; keys and the moments they are free again are state between the runs."""
+    base = f"{shared_dir(spark)}/ttl-{uuid.uuid4().hex}"
+    events = table(spark, sf, "events").select("event_id", "user_id", "event_type", "ts")
+    cuts = [F.lit(d).cast("timestamp_ntz") for d in ("2024-01-11", "2024-01-21")]
+    ts = F.col("ts")
+    for part in (ts < cuts[0], (ts >= cuts[0]) & (ts < cuts[1]), ts >= cuts[1]):
+        events.where(part).write.mode("append").parquet(f"{base}/landed")
+        stream_ttl_state(read_landed(spark, f"{base}/landed", events.schema), "user_id", "ts", 18_000, "event_id", f"{base}/kept", f"{base}/checkpoint")
+    return spark.read.schema(events.schema).parquet(f"{base}/kept").select("event_id", "user_id", "event_type")
+
+
+@query("stream_bucket_latest", """
+    WITH landed AS (SELECT *, event_id % 10 = 0 AND ts < '2024-01-05' AS too_late FROM events)
+    SELECT * FROM (SELECT user_id, (epoch_us(ts) // 1000) // 3600000 * 3600000 AS bucket, arg_max(value, (ts, event_id)) AS value FROM landed
+                   WHERE NOT too_late GROUP BY 1, 2)
+    WHERE bucket + 3600000 <= (SELECT max(epoch_us(ts)) // 1000 FROM events) - 86400000""")
+def stream_bucket_latest_query(spark, sf):
+    """Three landings. A tenth of a day comes one landing late and within the watermark of a day; a tenth of the first days
+    comes behind it and is dropped. Windows the watermark has not passed at the end are not written yet."""
+    base = f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}"
+    events = table(spark, sf, "events").select("event_id", "user_id", "value", "ts")
+    day = lambda d: F.lit(f"2024-01-{d}").cast("timestamp_ntz")
+    ts, tenth = F.col("ts"), F.pmod("event_id", F.lit(10)) == 0
+    held = tenth & (((ts >= day("10 01:00:00")) & (ts < day("11"))) | (ts < day("05")))
+    for part in ((ts < day("11")) & ~held, held | ((ts >= day("11")) & (ts < day("21"))), ts >= day("21")):
+        events.where(part).write.mode("append").parquet(f"{base}/landed")
+        stream_bucket_latest(read_landed(spark, f"{base}/landed", events.schema), ["user_id"], "ts", "1 hour", "value", ["ts", "event_id"], "1 day",
+                             f"{base}/table", f"{base}/checkpoint")
+    return spark.read.schema("user_id bigint, bucket bigint, value double").parquet(f"{base}/table")

@@ -11,7 +11,7 @@ from ingestkit.catalog.base import RUN_TS, query, table
 from ingestkit.catalog.cleaning import typed_k
 from ingestkit.catalog.ingest import order_pages, order_payloads
 from ingestkit.functions.predicates import Predicates
-from ingestkit.operators.query import count_where, page_count, positions, query_table
+from ingestkit.operators.query import count_where, filter_table, page_count, positions, query_table
 from ingestkit.plans import reports
 from ingestkit.plans.output import run_output
 from ingestkit.plans.task import run_task
@@ -386,3 +386,22 @@ def where_mixed(spark, sf):
              {"name": "c_nationkey", "where": {"op": "not_in", "value": ["x", 3, "4", 5]}},
              {"name": "c_custkey", "where": {"op": "!=", "value": "1"}}]
     return Predicates().keep(df, rules).select("c_custkey", "c_name")
+
+
+@query("where_in_long", """
+    SELECT o_orderkey, o_custkey FROM orders
+    WHERE o_orderkey IN (SELECT 3 * x FROM range(100000) r(x)) AND o_custkey NOT IN (SELECT 7 * x FROM range(100000) r(x))""")
+def where_in_long(spark, sf):
+    """Lists of 100,000 values are tables, and the tests joins."""
+    rules = [{"name": "o_orderkey", "where": {"op": "in", "value": [3 * k for k in range(100_000)]}},
+             {"name": "o_custkey", "where": {"op": "not_in", "value": [7 * k for k in range(100_000)]}}]
+    return Predicates().keep(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), rules)
+
+
+@query("q_where_not_in_long", """
+    SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT 2 * x FROM range(100000) r(x)) AND l_partkey IN (SELECT 3 * x FROM range(100000) r(x))
+    GROUP BY l_orderkey""")
+def q_where_not_in_long(spark, sf):
+    where = [{"col": "l_orderkey", "op": "NOT IN", "value": [2 * k for k in range(100_000)]}, {"col": "l_partkey", "op": "IN", "value": [str(3 * k) for k in range(100_000)]}]
+    rows = filter_table(table(spark, sf, "lineitem").select("l_orderkey", "l_partkey"), where)
+    return rows.groupBy("l_orderkey").agg(F.count("*").alias("n"))

@@ -10,6 +10,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ingestkit.operators.members import is_long, keep_members
+
 Predicate = Callable[[Column, Any], Column]
 
 
@@ -48,18 +50,24 @@ class Predicates:
         return fn(c, where.get("value")) if fn else F.lit(True)  # an unknown operator keeps the row
 
     def keep(self, df: DataFrame, fields: Sequence[Mapping]) -> DataFrame:
-        """One filter: the AND of every field's ``where``.
+        """One filter: the AND of every field's ``where``; a long list of values is a join of its own.
 
         Values of another kind than the column (text, number, truth) never equal it, and ordering by them drops the row;
         that is decided here, on the literals, so nothing is cast at run time.
         """
-        tests = []
+        tests, lists = [], []
         for field in fields:
             where = field.get("where")
             if where:
-                kind = df.schema[field["name"]].dataType.simpleString()
-                tests.append(self._by_kind(kind, F.col(f"`{field['name']}`"), where))
-        return df.filter(reduce(and_, tests)) if tests else df
+                kind, op = df.schema[field["name"]].dataType.simpleString(), where.get("op")
+                if op in ("in", "not_in") and self._ops[op] is _BUILT_IN[op] and is_long(where.get("value")):
+                    lists.append((field["name"], [v for v in where["value"] if _alike(kind, v)], op == "in"))
+                else:
+                    tests.append(self._by_kind(kind, F.col(f"`{field['name']}`"), where))
+        kept = df.filter(reduce(and_, tests)) if tests else df
+        for name, values, among in lists:
+            kept = keep_members(kept, name, values, among, null_equal=True)
+        return kept
 
     def _by_kind(self, kind: str, c: Column, where: Mapping) -> Column:
         op, value = where.get("op", "=="), where.get("value")

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
+from ingestkit.operators.members import is_long, keep_members
 from ingestkit.session import cut_lineage
 
 MAX_LIMIT = 9999
@@ -111,7 +112,7 @@ def where_condition(df: DataFrame, cond: Mapping) -> Column:
 
 
 def filter_table(df: DataFrame, where: str | Sequence[Mapping] | None) -> DataFrame:
-    """``[{"col": …, "op": …, "value": …}]``, all conditions joined by AND, in one filter."""
+    """``[{"col": …, "op": …, "value": …}]``, all conditions joined by AND, in one filter; a long list is a join of its own."""
     if not where:
         return df
     if isinstance(where, str):
@@ -121,7 +122,15 @@ def filter_table(df: DataFrame, where: str | Sequence[Mapping] | None) -> DataFr
             raise QueryError("invalid JSON in 'where'") from e
     if not isinstance(where, list):
         raise QueryError("'where' must be a list")
-    return df.where(reduce(and_, [where_condition(df, c) for c in where])) if where else df
+    long = [c for c in where if str(c.get("op", "")).upper() in ("IN", "NOT IN") and is_long(c.get("value")) and isinstance(c["value"], list)]
+    short = [where_condition(df, c) for c in where if c not in long] if long else [where_condition(df, c) for c in where]
+    kept = df.where(reduce(and_, short)) if short else df
+    for cond in long:
+        require_columns(df, cond.get("col", ""))
+        numeric = isinstance(df.schema[cond["col"]].dataType, NumericType)
+        values = [v for v in (_literal(df, cond["col"], x) for x in cond["value"]) if not (numeric and isinstance(v, str))]
+        kept = keep_members(kept, cond["col"], values, str(cond["op"]).upper() == "IN", null_equal=False)
+    return kept
 
 
 def parse_aggregates(df: DataFrame, text: str) -> list[tuple[str, Column]]:

@@ -10,6 +10,8 @@ from pyspark.sql.types import BooleanType, NumericType, StringType
 
 from ingestkit.functions.cleaning import floor_to
 
+SEEN_BUCKETS = 256
+
 
 def url_hash(url: Column) -> Column:
     return F.sha2(url, 256)
@@ -80,3 +82,39 @@ def change_against(batch: DataFrame, seen: DataFrame, url: str, hash_col: str) -
     known = seen.select(F.col("url_hash").alias("_h"), F.col("content_hash").alias("_known"))
     joined = batch.join(known, url_hash(F.col(url)) == F.col("_h"), "left")
     return joined.withColumn("status", _status(F.col("_known"), F.col(hash_col))).select(*batch.columns, "status")
+
+
+def save_seen(log: DataFrame, name: str, buckets: int = SEEN_BUCKETS) -> None:
+    """A seen-log as a table of the catalogue, bucketed and sorted by ``url_hash``.
+
+    Joins by ``url_hash`` read it as it lies. ``buckets`` should not be less than the session's shuffle partitions, or Spark
+    may prefer to shuffle both sides.
+    """
+    log.write.bucketBy(buckets, "url_hash").sortBy("url_hash").saveAsTable(name)
+
+
+def change_against_saved(batch: DataFrame, name: str, url: str, hash_col: str) -> DataFrame:
+    """``change_against`` a saved log: only the batch is exchanged."""
+    known = batch.sparkSession.table(name).select(F.col("url_hash").alias("_h"), F.col("content_hash").alias("_known"))
+    hashed = batch.withColumn("_url_hash", url_hash(F.col(f"`{url}`")))
+    joined = hashed.join(known.hint("merge"), F.col("_url_hash") == F.col("_h"), "left")
+    return joined.withColumn("status", _status(F.col("_known"), F.col(hash_col))).select(*[F.col(f"`{c}`") for c in batch.columns], "status")
+
+
+def merge_saved(name: str, new: DataFrame, into: str, buckets: int = SEEN_BUCKETS) -> None:
+    """Fold the log of a batch into the saved log ``name`` and save the outcome as ``into``, in the same buckets.
+
+    The batch is aggregated and exchanged, the saved log is read bucket by bucket and written bucket by bucket.
+    """
+    spark = new.sparkSession
+    old = spark.table(name)
+    columns = ("first_seen", "last_seen", "hit_count", "content_hash")
+    added = new.select("url_hash", F.col("url").alias("_url"), *[F.col(c).alias(f"_{c}") for c in columns])
+    both = old.join(added.hint("merge"), "url_hash", "full_outer")
+    later = F.coalesce(F.col("_last_seen") >= F.col("last_seen"), F.col("last_seen").isNull())
+    merged = both.select(
+        "url_hash", F.coalesce("url", "_url").alias("url"), F.least("first_seen", "_first_seen").alias("first_seen"),
+        F.greatest("last_seen", "_last_seen").alias("last_seen"),
+        (F.coalesce("hit_count", F.lit(0)) + F.coalesce("_hit_count", F.lit(0))).cast("bigint").alias("hit_count"),
+        F.when(later, F.coalesce("_content_hash", "content_hash")).otherwise(F.coalesce("content_hash", "_content_hash")).alias("content_hash"))
+    save_seen(merged, into, buckets)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,6 +58,20 @@ def shared_dir_ready(spark: SparkSession) -> None:
         sc.setCheckpointDir(shared_dir(spark))
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session setting for what runs inside; the session's own comes back afterwards."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def plan_size_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan of scans and projections; explodes and compression make it too low."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -50,3 +50,24 @@ def bucket_latest(df: DataFrame, keys: Sequence[str], bucket: Column, value: str
                   name: str = "bucket") -> DataFrame:
     """Newest value per key and time bucket: the batch form of floor + upsert on (key, bucket)."""
     return df.groupBy(*keys, bucket.alias(name)).agg(F.max_by(value, order).alias(value))
+
+
+def stream_bucket_latest(stream: DataFrame, keys: Sequence[str], ts: str, bucket: str, value: str, order: Sequence[str], delay: str,
+                         path: str, checkpoint: str):
+    """``bucket_latest`` on a stream: the newest value per key and window of length ``bucket``, added to ``path`` once.
+
+    A window is written when the watermark (the latest time less ``delay``) has passed its end, so its row never changes;
+    until then it is state, one candidate per key and window. Rows of windows that were passed before they came are dropped
+    by Spark. ``bucket`` in the result is the start of the window in milliseconds.
+    """
+    timed = stream.withColumn("_at", F.col(f"`{ts}`").cast("timestamp")).withWatermark("_at", delay)
+    newest = timed.groupBy(*[F.col(f"`{k}`") for k in keys], F.window("_at", bucket).alias("_window")).agg(
+        F.max_by(F.struct(F.col(f"`{value}`").alias("v")), F.struct(*[F.col(f"`{c}`") for c in order])).alias("_newest"))
+    rows = newest.select(*[F.col(f"`{k}`") for k in keys], F.unix_millis("_window.start").alias("bucket"), F.col("_newest.v").alias(value))
+    query = (
+        rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return query

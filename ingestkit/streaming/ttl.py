@@ -1,13 +1,22 @@
-"""Time-to-live dedup on a stream."""
+"""Time-to-live dedup on a stream: against written history, by keyed state, or loosely by a watermark."""
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ingestkit.operators.ttl import ttl_dedup
 
+# Executors need no copy of this package: its functions travel with the plan.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def stream_ttl_dedup(stream: DataFrame, key: str, ts: str, seconds: int, tie: str, path: str, checkpoint: str):
     """Exact greedy rule over micro-batches; kept rows land under ``path``, one folder per batch.
@@ -46,3 +55,52 @@ def stream_ttl_dedup(stream: DataFrame, key: str, ts: str, seconds: int, tie: st
 def stream_dedup_loose(stream: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
     """The built-in form: first row per key, forgotten once the watermark has passed it."""
     return stream.withWatermark(ts, f"{seconds} seconds").dropDuplicatesWithinWatermark([key])
+
+
+def _free_again(ttl_us: int, tie: str, columns: list[str]):
+    """State of a key: the moment from which it is free again. Once the watermark has passed it the key is forgotten."""
+    def step(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seen = pd.concat(list(rows))
+        seen.columns = [*columns, "_at", "_us", "_key"]  # names that begin with a line may not come through
+        seen = seen.sort_values(["_us", tie], na_position="first", kind="stable")
+        free, keep = state.get[0] if state.exists else None, []
+        for us in seen["_us"].tolist():
+            timed = us is not None and us == us
+            kept = not timed or free is None or us >= free  # a row without a time is kept
+            if kept and timed:
+                free = int(us) + ttl_us
+            keep.append(kept)
+        if free is not None:
+            if -(-free // 1000) > state.getCurrentWatermarkMs():
+                state.update((free,))
+                state.setTimeoutTimestamp(-(-free // 1000))
+            elif state.exists:
+                state.remove()
+        yield seen[keep][columns]
+    return step
+
+
+def stream_ttl_state(stream: DataFrame, key: str, ts: str, seconds: int, tie: str, path: str, checkpoint: str, delay: str = "0 seconds"):
+    """The greedy rule with the moment each key is free again as keyed state; kept rows are added to ``path``.
+
+    The state holds one number for every key kept within one TTL before the watermark (the latest time less ``delay``);
+    older keys are forgotten by timeouts, so nothing of the past is read again. Rows later than the watermark are dropped by
+    Spark; a late row within it is kept if its key is free by then. A key's rows of one micro-batch are ordered in one task:
+    for hot keys in large batches ``stream_ttl_dedup``, which cuts them into spans, is the right form.
+    """
+    names = [f.name for f in stream.schema.fields]
+    at = F.col(f"`{ts}`").cast("timestamp")
+    timed = stream.withColumn("_at", at).withColumn("_us", F.unix_micros("_at")).withWatermark("_at", delay)
+    keyed = timed.withColumn("_key", F.coalesce(F.concat(F.lit("k"), F.col(f"`{key}`").cast("string")), F.lit("")))
+    kept = keyed.groupBy("_key").applyInPandasWithState(_free_again(seconds * 1_000_000, tie, names), stream.schema, "us bigint", "append",
+                                                        GroupStateTimeout.EventTimeTimeout)
+    query = (
+        kept.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return query
