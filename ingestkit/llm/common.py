@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ingestkit.session import shared_dir
@@ -47,3 +49,30 @@ def joined_by_key(rows: DataFrame, table: DataFrame, key: str, weight: str) -> D
     often = F.broadcast(table.where(hot))
     rest = rows.join(often.select(key), key, "left_anti").join(table.where(~hot), key)
     return rows.join(often, key).unionByName(rest)
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int = 512) -> Iterator[None]:
+    """Batches of at most ``rows`` rows between Spark and Python for what runs inside: whole texts pass, and both sides hold a
+    batch or two of them. The session's own value is put back afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def others(df: DataFrame, column: str) -> Column:
+    """All columns but one in a struct, whatever their names; without any other it holds a constant, as it needs a member."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c != column]
+    return F.struct(*rest) if rest else F.struct(F.lit(0).alias("none"))
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, or a longer name if ``df`` has such a column (Spark's names are alike in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted

@@ -35,11 +35,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ingestkit.llm.common import fields, lookup, written
+from ingestkit.llm.common import arrow_rows, fields, lookup, others, written
 from ingestkit.llm.components import components
 from ingestkit.llm.shingles import mixed, shingles, signed
 
-WORDS, PERCENT, SKETCH_BITS = 4, 85, 20
+WORDS, PERCENT, SKETCH_BITS, PARTS = 4, 85, 20, 64
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
@@ -48,16 +48,16 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 
 def frequency_sketch(docs: DataFrame, words: int, bits: int) -> np.ndarray:
-    """How many documents hold a shingle of each of 2^bits hash ranges. Tasks add up their counts in a tree."""
+    """How many documents hold a shingle of each of 2^bits hash ranges. Tasks count all ranges; their counts are added up in
+    ``PARTS`` parts, which is also how the driver gets them."""
     shift = np.uint64(64 - bits)
+    kind = "part int, counts binary"
 
-    def packed(total: np.ndarray) -> bytes:
-        return zlib.compress(total.tobytes(), 1)
+    def rows(totals: dict[int, np.ndarray]) -> pa.RecordBatch:
+        packed = [zlib.compress(t.tobytes(), 1) for t in totals.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(packed, pa.binary())], names=["part", "counts"])
 
-    def unpacked(raw: bytes) -> np.ndarray:
-        return np.frombuffer(zlib.decompress(raw), np.int64)
-
-    def count(batches):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, waiting, n = np.zeros(1 << bits, np.int64), [], 0
         for _, texts in _texts(batches):
             for text in texts:
@@ -69,12 +69,21 @@ def frequency_sketch(docs: DataFrame, words: int, bits: int) -> np.ndarray:
                     waiting, n = [], 0
         if waiting:
             total += np.bincount(np.concatenate(waiting), minlength=1 << bits)
-        yield pa.RecordBatch.from_pydict({"counts": pa.array([packed(total)], pa.binary())})
+        yield rows(dict(enumerate(np.split(total, PARTS))))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                more = np.frombuffer(zlib.decompress(counts.as_buffer()), np.int64)
+                totals[part] = totals[part] + more if part in totals else more
+        yield rows(totals)
 
-    parts = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "counts binary").rdd
-    if not parts.getNumPartitions():
-        return np.zeros(1 << bits, np.int64)
-    return unpacked(parts.map(lambda r: bytes(r[0])).treeReduce(lambda x, y: packed(unpacked(x) + unpacked(y)), depth=3))
+    counted = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, kind).repartition("part").mapInArrow(add, kind)
+    out = np.zeros((PARTS, (1 << bits) // PARTS), np.int64)
+    for part, counts in counted.collect():  # 2^bits counts, whatever the corpus
+        out[part] = np.frombuffer(zlib.decompress(bytes(counts)), np.int64)
+    return out.ravel()
 
 
 def profiles(docs: DataFrame, words: int, percent: int, sketch, bits: int) -> DataFrame:
@@ -185,7 +194,15 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bits: int
     components share it. ``n_links`` counts the links that were verified for the document's set, enough of them to make the component.
     """
     docs = fields(docs, doc_id=id_col, text=text_col)
-    sketch = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs, words, bits))  # 2^bits counts, whatever the corpus
+    spark = docs.sparkSession
+    with arrow_rows(spark):
+        sketch = spark.sparkContext.broadcast(frequency_sketch(docs, words, bits))  # 2^bits counts, whatever the corpus
+        joined = _joined(docs, words, percent, sketch, bits)
+    sketch.destroy()  # all that used it is written
+    return joined
+
+
+def _joined(docs: DataFrame, words: int, percent: int, sketch, bits: int) -> DataFrame:
     rows = written(profiles(docs, words, percent, sketch, bits), "join-profiles")
     classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     first = rows.where("n > 0").select("key", F.col("doc_id").alias("_id"), "weight", "prefix").join(
@@ -244,19 +261,18 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bits: int
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("key").alias("set_key"), "component")
 
 
-def with_keys(docs: DataFrame, words: int = WORDS, text_col: str = "text") -> DataFrame:
-    """``docs`` with the key of every row's set as ``_key``: what ``join`` calls ``set_key``."""
+def with_keys(docs: DataFrame, words: int = WORDS, text_col: str = "text", name: str = "_key") -> DataFrame:
+    """``docs`` with the key of every row's set as a column ``name``: what ``join`` calls ``set_key``."""
     def step(batches):
         for batch in batches:
             for begin in range(0, len(batch), 512):  # whole texts pass: small pieces hold little memory
                 part = batch.slice(begin, 512)
                 keys = [_key(shingles(c.as_buffer().to_pybytes() if c.is_valid else None, words)) for c in part.column(1)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.int64())], names=["doc", "_text", "_key"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.int64())], names=["doc", "text", "key"])
 
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    source = docs.select(F.struct(*rest, F.lit(0).alias("_")).alias("doc"), F.col(f"`{text_col}`").alias("_text"))
-    keyed = source.mapInArrow(step, f"doc {source.schema['doc'].dataType.simpleString()}, _text string, _key bigint")
-    return keyed.select(*[(F.col("_text") if c == text_col else F.col("doc").getField(c)).alias(c) for c in docs.columns], "_key")
+    source = docs.select(others(docs, text_col).alias("doc"), F.col(f"`{text_col}`").alias("text"))
+    keyed = source.mapInArrow(step, f"doc {source.schema['doc'].dataType.simpleString()}, text string, key bigint")
+    return keyed.select(*[(F.col("text") if c == text_col else F.col("doc").getField(c)).alias(c) for c in docs.columns], F.col("key").alias(name))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
