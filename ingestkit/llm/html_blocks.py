@@ -3,7 +3,9 @@
 A page is cut into blocks at block-level tags; a block has text, words and the share of its words inside links. The
 features of a block are its own word count and link density, those of the block before and after it, whether it is a
 heading, and its zone: -1 inside an element that says it is no article (navigation, aside, footer, form, or a class, id
-or role such as ``ad``, ``comments``, ``cookie``), 1 inside one that says it is (``article``, ``main``, ``post`` …), else 0.
+or role such as ``ad``, ``comments``, ``cookie``), 1 inside one that says it is (``article``, ``main``, ``post`` …), -0.5
+below a word that may say either (``top``, ``social``, ``legal`` …), else 0. An ``article`` or ``main`` is article text
+whatever such a weak word stands on it or above it.
 
 The tree is grown (Gini impurity, whole numbers of samples per leaf) from ``SAMPLES``, a few pages in which the blocks
 to keep carry the attribute ``data-keep``. Adding a page there is how the extractor is taught.
@@ -32,15 +34,18 @@ from ingestkit.llm.common import fields
 _BLOCKS = frozenset("""address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption
 figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary table
 tbody td tfoot th thead tr ul""".split())
-_RAW = frozenset("head iframe math noembed noframes noscript object script select style svg template textarea title".split())
+_RAW = frozenset("head iframe noembed noframes noscript object script select style svg template textarea title".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _OUTSIDE = frozenset("aside button dialog footer form menu nav search".split())
 _INSIDE = frozenset("article main".split())
-_OUTSIDE_WORDS = frozenset("""ad ads adv advert advertisement adverts alert banner bar breadcrumb breadcrumbs byline comment commentlist comments consent
-contentinfo cookie cookies copyright discussion disqus donate footer form gdpr header legal links login masthead menu meta modal nav navbar navigation
-newsletter notice notices notification pager pagination popup privacy promo promoted promotion recommended related replies reply respond search share
-sharing shop sidebar sidenav signup skip social sponsor sponsored subscribe subscription tags teaser toc toolbar top tracking widget widgets
+_OUTSIDE_WORDS = frozenset("""ad ads adv advert advertisement adverts breadcrumb breadcrumbs comment commentlist comments consent
+contentinfo cookie cookies disqus donate footer form gdpr login masthead menu modal nav navbar navigation newsletter notification pager
+pagination popup privacy promo promoted promotion recommended related replies reply respond sidebar sidenav signup skip sponsor sponsored
+subscribe subscription teaser toc toolbar tracking widget widgets
+""".split())
+_WEAK_WORDS = frozenset("""alert banner bar byline copyright discussion header legal links meta notice notices search share sharing shop social tag tags
+top
 """.split())
 _INSIDE_WORDS = frozenset("article content entry main maincontent post story text body".split())
 _LAYOUT_WORDS = frozenset("col columns container grid has inner layout no outer page row site with without wrap wrapper".split())
@@ -56,30 +61,35 @@ class Block:
     text: str
     words: int
     linked: int
-    zone: int
+    zone: float
     heading: bool
     keep: bool
 
 
-def _zone(name: str, attributes: str, zone: int) -> int:
-    """Zone inside an element: once outside, nothing leads back in; a layout class says nothing."""
-    if zone < 0:
+def _zone(name: str, attributes: str, zone: float) -> float:
+    """Zone inside an element. Out of -1 nothing leads back in, out of -0.5 an article does; a layout class says nothing."""
+    if zone == -1:
         return zone
     if name in _OUTSIDE:
         return -1
-    parts: set[str] = set()
+    outside = inside = weak = partly = False
     if attributes and name not in ("html", "body"):
         for found in _HINTS.findall(attributes):
             for value in " ".join(found).split():
                 pieces = {p.lower() for p in _PARTS.findall(value)}
-                parts |= set() if pieces & _LAYOUT_WORDS else pieces
-    inside = name in _INSIDE or bool(parts & _INSIDE_WORDS)
-    named = name in _INSIDE and bool(parts & _INSIDE_WORDS)  # an article that says so, whatever its state
-    if parts & _OUTSIDE_WORDS and not named and not (zone > 0 and parts & {"header", "top"}):
-        return -1
-    if name == "header" and zone == 0 and not inside:
+                if pieces & _LAYOUT_WORDS:
+                    continue
+                outside |= bool(pieces & _OUTSIDE_WORDS)
+                weak |= bool(pieces & _WEAK_WORDS) and not (zone > 0 and pieces & {"header", "top"})
+                inside |= bool(pieces) and pieces <= _INSIDE_WORDS  # a whole class: post, not post-meta
+                partly |= bool(pieces & _INSIDE_WORDS)
+    if outside and not (name in _INSIDE and partly):  # an article that says so is one, whatever its state
         return -1
-    return 1 if inside else zone
+    if name in _INSIDE or (inside and zone >= 0):
+        return 1
+    if weak or (name == "header" and zone == 0 and not partly):
+        return -0.5 if weak else -1
+    return 1 if partly and zone >= 0 else zone
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -87,7 +97,7 @@ def blocks(page: str | None) -> list[Block]:
     out: list[Block] = []
     text: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, int, bool]] = []  # open block elements: name, zone, data-keep
+    stack: list[tuple[str, float, bool]] = []  # open block elements: name, zone, data-keep
     zone, keep, heading, in_link = 0, False, False, False
 
     def close() -> None:
@@ -226,6 +236,8 @@ SAMPLES = (
     f'<body><p data-keep>{_LONG}</p><div class="ad"><p>{_MIDDLE}</p><p>{_LONG}</p></div><p data-keep>{_LONG}</p><div class="related"><p>{_LONG} {_LONG}</p></div><p data-keep>{_MIDDLE} {_LONG}</p></body>',
     f'<body><nav><p>{_MIDDLE}</p><p>{_LONG}</p></nav><h1 data-keep>A title</h1><p data-keep>{_LONG}</p><form><p>{_LONG}</p><p>{_MIDDLE} {_MIDDLE}</p></form></body>',
     f"<body><p>Home</p><p>News</p><p data-keep>{_LONG}</p><p data-keep>{_LONG} {_MIDDLE}</p><p><a href='/a'>Next story about boats and other things to read today</a></p><p><a href='/b'>More</a></p></body>",
+    f'<body><div id="top"><p>{_MIDDLE}</p><article data-keep><p>{_LONG}</p></article></div><div class="legal"><p>{_LONG} {_LONG}</p><p>{_LONG}</p></div></body>',
+    f'<body><article data-keep><p>{_LONG}</p></article><div class="social share"><p>{_LONG}</p><p>{_MIDDLE}</p><p>{_LONG}</p></div></body>',
     f"<body><div>Menu</div><div><a href='/q'>Log in</a></div><div data-keep>{_LONG} {_MIDDLE}</div><div>Contact</div></body>",
 )
 

@@ -29,6 +29,18 @@ def test_samples_are_learned():
     ("<article><p>a < b and c</p><p>5 <6</p></article>", "a < b and c 5 <6"),
     ('<article><p>one</p><div class="cookie-banner">We use cookies</div><div class="adBox">Buy</div><p>two</p></article>', "one two"),
     ("<head><title>no</title></head><main><p>yes</p></main>", "yes"),
+    # weak words on an article or above it
+    ('<div id="top"><nav>Menu</nav><article><p>kept text</p></article></div>', "kept text"),
+    ('<body><main class="search"><h1>Found</h1><p>kept</p></main></body>', "Found kept"),
+    ('<div class="post tag-social"><p>kept</p></div><footer>f</footer>', "kept"),
+    ('<div class="social-story"><article><p>kept</p></article><p>Follow us</p></div>', "kept"),
+    ('<div class="legal"><main><p>the law of the sea</p></main><p>Imprint</p></div>', "the law of the sea"),
+    ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p></article>", "Let x=2 hold."),
+    ('<div class="shop"><div class="banner"><article class="story"><p>deep</p></article></div></div>', "deep"),
+    ('<article><p>a</p><div class="post-meta"><p>By Ann, 3 May</p></div><div class="share"><p>Share this</p></div><p>b</p></article>', "a b"),
+    ('<aside><article><p>teaser</p></article></aside><article><p>a</p></article>', "a"),
+    ('<div class="comments top"><article><p>a reader</p></article></div><main><p>a</p></main>', "a"),
+    ('<article class="comment"><p>a reader</p></article><article><p>a</p></article>', "a"),
 ])
 def test_pages(page, want):
     assert H.main_text(TREE, page) == want
