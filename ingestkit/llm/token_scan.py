@@ -7,9 +7,11 @@ number, the tokens before the first and after the last, and the lengths between.
 over the runs, gives every block the number of its first document and the tokens that reach into it, so a document may
 span any number of blocks.
 
-``write_tokens`` makes such files: every task writes the stream of its documents in blocks of ``BLOCK`` tokens, and apart from
-that a catalogue of the documents' ids in stream order, which the scan does not see. ``read_files`` reads raw files
-of any size, each by many tasks.
+``write_files`` makes such files: every task writes the stream of its documents into a raw file of the shared folder, and apart
+from that a catalogue of the documents' ids in stream order, which the scan does not see. ``read_files`` reads raw files of
+any size, each by many tasks. Where the shared folder is no file system of the tasks, ``write_tokens`` writes the same
+stream as rows of blocks. A file's name holds the attempt that wrote it, and only the catalogue of attempts that succeeded
+is read: what a lost executor has left behind counts for nothing.
 
 Cases: null and empty texts are documents of 0 tokens; tokens behind the last separator of a file are a last document
 that is not ``finished``; a file without separators is one such document; a separator's text inside a document is
@@ -19,6 +21,8 @@ ordinary text; repeated rows are documents of their own; an empty table gives no
 from __future__ import annotations
 
 import base64
+import os
+import uuid
 from collections.abc import Callable, Iterator
 from typing import BinaryIO
 
@@ -29,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ingestkit.llm.common import fields, written
+from ingestkit.session import shared_dir
 
 TOKENIZER, SEPARATOR, WIDTH, BLOCK, RUN, TASKS = "/opt/tokenizers/byte_bpe_50k.tiktoken", 50_256, 2, 1 << 16, 1_024, 20_000
 
@@ -88,6 +93,39 @@ def write_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "doc
             both.where("kind = 'ids'").select("file", F.col("at").alias("first"), "ids"))
 
 
+def local_folder(spark: SparkSession, path: str) -> str | None:
+    """``path`` as tasks open it, if it lies in a file system they mount (else None)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.makeQualified(p).toUri().getPath() if system.getUri().getScheme() == "file" else None
+
+
+def write_files(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text",
+                separator: int = SEPARATOR, width: int = WIDTH) -> DataFrame:
+    """Raw token files in ``folder``; returns the catalogue ``file, first, ids``, written."""
+    with open(tokenizer, "rb") as f:
+        ranks = docs.sparkSession.sparkContext.broadcast(f.read())
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, context, done = encoder(ranks.value), TaskContext.get(), 0
+        name = f"{context.partitionId():08d}-{context.taskAttemptId()}"
+        out = None
+        for batch in batches:
+            out = out or open(f"{folder}/{name}", "wb")
+            for cell in batch.column(1):
+                out.write(np.array([*encode.encode_ordinary(cell.as_py() or ""), separator], _TYPES[width]).tobytes())
+            lists = pa.ListArray.from_arrays(pa.array([0, len(batch)], pa.int32()), batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([done], pa.int64()), lists], names=["file", "first", "ids"])
+            done += len(batch)
+        if out:
+            out.close()  # before the task ends, and with it before its rows count
+
+    os.makedirs(folder, exist_ok=True)
+    named = fields(docs, doc_id=id_col, text=text_col)
+    kind = named.schema["doc_id"].dataType.simpleString()
+    return written(named.mapInArrow(step, f"file string, first bigint, ids array<{kind}>"), "token-catalogue")
+
+
 def _open_shared(path: str) -> BinaryIO:
     return open(path.removeprefix("file:"), "rb")
 
@@ -183,6 +221,13 @@ def count(blocks: DataFrame, separator: int = SEPARATOR, width: int = WIDTH) ->
 
 def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """``doc_id, n_tokens`` of every document, counted in the flat files its tokens are written to."""
-    blocks, catalogue = write_tokens(docs, tokenizer)
+    spark = docs.sparkSession
+    folder = local_folder(spark, f"{shared_dir(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}")
+    if folder:
+        catalogue = write_files(docs, folder, tokenizer)
+        counted = count(read_files(spark, f"file:{folder}")).withColumn("file", F.regexp_extract("file", "[^/]+$", 0))
+    else:
+        blocks, catalogue = write_tokens(docs, tokenizer)
+        counted = count(blocks)
     named = catalogue.select("file", "first", F.posexplode("ids").alias("_k", "doc_id")).select("file", (F.col("first") + F.col("_k")).alias("ordinal"), "doc_id")
-    return named.join(count(blocks), ["file", "ordinal"]).select("doc_id", "n_tokens")
+    return named.join(counted, ["file", "ordinal"]).select("doc_id", "n_tokens")

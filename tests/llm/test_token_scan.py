@@ -39,7 +39,13 @@ def test_files_are_not_read_whole(spark, tmp_path, monkeypatch):
     assert got == [(k, n, True) for k, n in enumerate(lengths)] + [(4, 33, False)]
 
 
-def test_documents(spark):
+@pytest.mark.parametrize("raw", [True, False])
+def test_documents(spark, monkeypatch, raw):
+    """Counted in raw files where tasks can open the shared folder, else in rows of blocks."""
+    if raw:
+        monkeypatch.setattr(T, "write_tokens", None)
+    else:
+        monkeypatch.setattr(T, "local_folder", lambda *_: None)
     rows = [(k, "word " * (k * 13 % 50) + "é漢", "x", 1) for k in range(60)] + [(100, None, "x", 1), (101, "", "x", 1), (102, "<|endoftext|> is text", "x", 1),
                                                                               (None, "no id", "x", 1), (5, "again", "x", 1), (5, "again", "x", 1), (103, "long " * 40_000, "x", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, tokens string, n_tokens int").repartition(3)
@@ -48,3 +54,13 @@ def test_documents(spark):
     got = sorted(((r.doc_id, r.n_tokens) for r in T.token_counts(docs).collect()), key=key)
     assert got == sorted(((i, len(encode(t or ""))) for i, t, _, _ in rows), key=key)
     assert T.token_counts(docs.limit(0)).count() == 0
+
+
+def test_files_of_failed_attempts_count_for_nothing(spark, tmp_path):
+    docs = spark.createDataFrame([(k, "word " * k) for k in range(9)], "doc_id long, text string").repartition(2)
+    folder = T.local_folder(spark, f"file://{tmp_path}/made")
+    catalogue = T.write_files(docs, folder)
+    (tmp_path / "made" / "00000000-999").write_bytes(np.arange(7, dtype="<u2").tobytes())
+    blocks = T.count(T.read_files(spark, f"file:{folder}")).selectExpr("regexp_extract(file, '[^/]+$', 0) AS file", "ordinal", "n_tokens")
+    named = catalogue.selectExpr("file", "first", "posexplode(ids) AS (k, doc_id)").selectExpr("file", "first + k AS ordinal", "doc_id")
+    assert sorted(r.doc_id for r in named.join(blocks, ["file", "ordinal"]).collect()) == list(range(9))
