@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ingestkit.llm.common import WORD, lookup, unit, written
 
-SHARDS, BLOCKS_PER_SHARD, CAP = 16, 64, 3
+SHARDS, BLOCKS_PER_SHARD, CAP, SHARD_BYTES = 16, 64, 3, 1 << 29
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
@@ -189,9 +189,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return joined.select("doc", "size", F.col("words").alias("source_words"), "target", draws.alias("draws"))
 
 
-def mixed_rows(docs: DataFrame, shards: int = SHARDS, **options) -> DataFrame:
-    """The mix itself: the columns of ``docs``, one row per draw, dealt out by shard and shuffled inside it."""
-    drawn = mix(docs, shards=shards, **options).select("doc", F.explode("draws").alias("_d"))
+def mixed_rows(docs: DataFrame, shards: int | None = None, text_col: str = "text", **options) -> DataFrame:
+    """The mix itself: the columns of ``docs``, one row per draw, dealt out by shard and shuffled inside it.
+
+    A task sorts and writes a shard, so without a number of ``shards`` there is one for every ``SHARD_BYTES`` of text.
+    """
+    if shards is None:
+        total = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
+        shards = max(SHARDS, -(-total // SHARD_BYTES))
+    drawn = mix(docs, text_col=text_col, shards=shards, **options).select("doc", F.explode("draws").alias("_d"))
     return drawn.repartition(shards, F.col("_d.shard")).sortWithinPartitions("_d.shard", "_d.place").select("doc.*")
 
 

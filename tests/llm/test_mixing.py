@@ -116,3 +116,13 @@ def test_empty_and_wordless_tables(spark):
 def test_no_python_in_the_plan(docs):
     plan = mixing.mixing_digest(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_shards_follow_the_text(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"some words of text {k}", "a" if k % 3 else "b") for k in range(300)], "doc_id long, text string, source string")
+    plain = mixing.mixed_rows(docs)
+    monkeypatch.setattr(mixing, "SHARD_BYTES", 200)
+    many = mixing.mixed_rows(docs)
+    n = lambda df: int(re.search(r"hashpartitioning\(_d#\d+\.shard, (\d+)\)", df._jdf.queryExecution().executedPlan().toString()).group(1))
+    assert n(plain) == mixing.SHARDS and n(many) >= 25
+    assert sorted(map(str, plain.collect())) == sorted(map(str, many.collect()))
