@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,7 +149,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = ROWS, max_char
         "_r", F.row_number().over(Window.partitionBy("toxic").orderBy("_h", "doc_id"))).where(F.col("_r") <= rows).select("doc_id", "toxic")
     chosen = F.broadcast(picked.distinct())  # at most 2 * ROWS rows
     texts = docs.where(F.length("text") <= max_chars).select(F.col("doc_id").alias("_id"), "text")
-    found = texts.join(chosen, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic").limit(4 * rows)
+    found = texts.join(chosen, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
+    # where documents repeat, the first of an order that does not depend on where they lie
+    found = found.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "toxic").limit(4 * rows)
     return [(r[1], int(r[2])) for r in sorted(found.collect(), key=lambda r: (str(r[0]), r[1], r[2]))]
 
 
@@ -161,7 +164,7 @@ def fitted(sample: list[tuple[str, int]]) -> Model:
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, grade`` (the highest that is at least as likely as not), ``severity`` (expected grade), ``p_toxic``, ``toxic``."""
     docs = fields(docs, doc_id=id_col, text=text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(fitted(training_rows(docs, labels))))  # SELECTED features at most
+    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(fitted(training_rows(docs, labels))))  # SELECTED features at most
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, cache = pickle.loads(shared.value), {}
