@@ -30,6 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,7 +132,7 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "ve
     if not picked:
         return spark.createDataFrame([], schema)
     made = fit(np.array(picked), k, lists)
-    shared = spark.sparkContext.broadcast(pickle.dumps(made))  # a bounded number of centroids and one rotation
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(made))  # a bounded number of centroids and one rotation
 
     def assign(n: int):
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

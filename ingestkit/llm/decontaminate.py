@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ingestkit.llm.common import fields, written
+from ingestkit.llm.common import fields, others, written
 
 WINDOW, SHARE, BLOCK_BYTES = 13, 20, 8 << 20
 
@@ -139,8 +139,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
                   item_text_col: str = "text", share: int = SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row of ``docs``: ``doc`` (the row as a struct), ``n_words``, ``n_hit``, ``words`` (hit spans of words),
     ``chars`` (the same as character offsets in the original text), ``items``, ``contaminated``."""
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    rows = docs.select(F.struct(*rest, F.lit(0).alias("_")).alias("_rest"), F.col(f"`{text_col}`").cast("binary").alias("_text"),
+    rows = docs.select(others(docs, text_col).alias("_rest"), F.col(f"`{text_col}`").cast("binary").alias("_text"),
                        F.lit(0).cast("long").alias("n_words"), F.array().cast(_SPANS_SQL).alias("words"),
                        F.array().cast(_SPANS_SQL).alias("chars"), F.array().cast("array<string>").alias("items"))
     for k, block in enumerate(_item_blocks(fields(benchmark, item_id=item_col, text=item_text_col), block_bytes)):

@@ -30,10 +30,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ingestkit.llm.common import fields
+from ingestkit.llm.common import fields, others
 
 DOCS, MAX_CHARS, LANGUAGES, FEATURE_BITS, CACHE, BLOCK, CELLS = 150, 20_000, 64, 16, 300_000, 128, 1 << 24
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -271,7 +272,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """Per row of ``docs``: ``doc`` (the row as a struct), ``lang_pred``, ``score``, ``languages`` (words per label, a map) and,
     if asked for, ``spans``: runs of words of one label with their first and last word number."""
     tagger = train(training_rows(fields(docs, doc_id=id_col, text=text_col, lang=lang_col)))
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(tagger))  # 2^FEATURE_BITS weights per language, a bounded lexicon
+    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(tagger))  # 2^FEATURE_BITS weights per language, a bounded lexicon
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = pickle.loads(shared.value)
@@ -288,8 +289,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                 yield _answers(made, batch.slice(begin, end - begin), words, label(emissions, words), spans)
                 begin = end
 
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    source = docs.select(F.struct(*rest, F.lit(0).alias("_")).alias("_rest"), F.col(f"`{text_col}`").alias("_text"))
+    source = docs.select(others(docs, text_col).alias("_rest"), F.col(f"`{text_col}`").alias("_text"))
     schema = (f"_rest {source.schema['_rest'].dataType.simpleString()}, _text string, lang_pred string, score double, "
               "languages map<string,bigint>, spans array<struct<label:string,first:bigint,last:bigint>>")
     doc = F.struct(*[(F.col("_text") if c == text_col else F.col("_rest").getField(c)).alias(c) for c in docs.columns])
