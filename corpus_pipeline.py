@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ingestkit.llm import decontaminate, language, mixing, ngram_join, sharding
-from ingestkit.llm.common import WORD, written
+from ingestkit.llm.common import WORD, arrow_rows, free_name, written
 
 #: A text is rejected that has no letter, or whose words no language has two fifths of: short texts with a key or a number
 #: in them stay.
@@ -31,12 +31,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     their texts, so ids may repeat or be null; rows without words stay, once for an id and text."""
     classes = ngram_join.join(docs, words=NEAR_WORDS, percent=NEAR_PERCENT).where("component IS NOT NULL")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "set_key")).alias("first")
-    winners = classes.groupBy("component").agg(first).select(F.col("first.doc_id").alias("_winner"), F.col("first.set_key").alias("_set"))
+    key, winner, chosen = (free_name(docs, c) for c in ("_key", "_winner", "_set"))
+    winners = classes.groupBy("component").agg(first).select(F.col("first.doc_id").alias(winner), F.col("first.set_key").alias(chosen))
     winners = written(winners, "winners")
     words = F.coalesce("text", F.lit("")).rlike(WORD)
-    keyed = ngram_join.with_keys(docs.where(words), NEAR_WORDS)
-    same = F.col("doc_id").eqNullSafe(F.col("_winner")) & (F.col("_key") == F.col("_set"))
-    kept = keyed.join(winners, same, "left_semi").dropDuplicates(["doc_id", "_key"]).drop("_key")
+    keyed = ngram_join.with_keys(docs.where(words), NEAR_WORDS, name=key)
+    same = F.col("doc_id").eqNullSafe(F.col(winner)) & (F.col(key) == F.col(chosen))
+    kept = keyed.join(winners, same, "left_semi").dropDuplicates(["doc_id", key]).drop(key)
     wordless = docs.where(~words)
     once = wordless.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "text"])
     return kept.unionByName(once).unionByName(wordless.where(F.col("doc_id").isNull()))
@@ -73,5 +74,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with arrow_rows(spark):
+            docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
