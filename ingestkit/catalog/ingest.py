@@ -8,18 +8,20 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ingestkit.catalog.base import query, table
+from ingestkit.catalog.base import ORACLES, query, table
 from ingestkit.functions.cleaning import WHITESPACE, Cleaner
 from ingestkit.functions.templates import render
 from ingestkit.operators.fields import map_fields
 from ingestkit.operators.grid import expand_grid
-from ingestkit.operators.html_rows import html_rows, page_vars
+from ingestkit.operators.html_rows import html_field, html_rows, page_vars
 from ingestkit.operators.json_rows import ORDINAL, ROW, json_field, json_rows
 from ingestkit.operators.row_filters import filter_rows, first_row, skip_head, tail
+from ingestkit.operators.variant_rows import variant_field, variant_rows
+from ingestkit.operators.xml_rows import xml_rows
 from ingestkit.plans.output import Toolkit, extract_rows
-from ingestkit.session import shared_dir
+from ingestkit.session import setting, shared_dir
 from ingestkit.sources.database import sql_source
-from ingestkit.sources.files import normalize_sheet, payload_frame, read_csv
+from ingestkit.sources.files import normalize_sheet, payload_frame, read_csv, read_payload_files
 from ingestkit.spec import OutputSpec
 
 # -------------------------------------------------------------------- sources
@@ -383,10 +385,59 @@ def multi_output(spark, sf):
     FROM events WHERE event_id % 4 <> 2""")
 def json_kinds(spark, sf):
     """Keys that differ in case, an object for a list, a text that holds JSON (no rows), a list of other things."""
+    fields = [{"name": "a", "path": "id"}, {"name": "b", "path": "ID"}]
+    return json_rows(kind_payloads(spark, sf), {"root_path": "data", "fields": fields}).select("event_id", *[json_field(f).alias(f["name"]) for f in fields])
+
+
+def kind_payloads(spark, sf):
     e = table(spark, sf, "events")
     kind, both = F.pmod("event_id", F.lit(4)), F.to_json(F.array(F.struct(F.col("event_id").alias("id"), F.col("user_id").alias("ID"))))
     data = (F.when(kind == 0, both).when(kind == 1, F.to_json(F.struct(F.col("user_id").alias("id"))))
             .when(kind == 2, F.concat(F.lit('"'), F.replace(both, F.lit('"'), F.lit('\\"')), F.lit('"'))).otherwise(F.lit("[5]")))
-    payloads = e.select("event_id", F.concat(F.lit('{"data": '), data, F.lit("}")).alias("body"))
+    return e.select("event_id", F.concat(F.lit('{"data": '), data, F.lit("}")).alias("body"))
+
+
+@query("json_variant", _ORDER_ROWS)
+def json_variant(spark, sf):
+    """``json_rows`` by Variant: one parse, then typed reads."""
+    fields = [{"name": "k", "path": "k"}, {"name": "p", "path": "p"}, {"name": "last_id", "path": "c.ids.-1"}]
+    rows = variant_rows(order_payloads(spark, sf), {"root_path": "data.items", "fields": fields})
+    return rows.select("doc_id", F.col(ORDINAL).alias("ordinal"), *[variant_field(f).alias(f["name"]) for f in fields])
+
+
+@query("json_variant_kinds", ORACLES["json_kinds"])
+def json_variant_kinds(spark, sf):
     fields = [{"name": "a", "path": "id"}, {"name": "b", "path": "ID"}]
-    return json_rows(payloads, {"root_path": "data", "fields": fields}).select("event_id", *[json_field(f).alias(f["name"]) for f in fields])
+    return variant_rows(kind_payloads(spark, sf), {"root_path": "data", "fields": fields}).select("event_id", *[variant_field(f).alias(f["name"]) for f in fields])
+
+
+@query("ext_rows_udtf", """
+    SELECT c_nationkey AS doc_id, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1)::INTEGER AS ordinal, c_custkey AS id, c_name AS name,
+           CASE WHEN c_custkey % 3 = 0 THEN 'a < b' END AS remark FROM customer""")
+def ext_rows_udtf(spark, sf):
+    """XML payloads, read by a Python table function whose columns follow the fields asked for."""
+    kit = Toolkit()
+    kit.register_table_function("xml", xml_rows)
+    remark = F.when(F.pmod("c_custkey", F.lit(3)) == 0, F.lit("<remark>a &lt; b</remark>")).otherwise(F.lit(""))
+    row = F.concat(F.lit('<row id="'), F.col("c_custkey").cast("string"), F.lit('"><name>'), F.col("c_name"), F.lit("</name>"), remark, F.lit("</row>"))
+    bodies = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", row.alias("x")))).alias("rows"))
+    payloads = bodies.select("doc_id", F.concat(F.lit("<rows>"), F.array_join(F.transform("rows", lambda r: r["x"]), ""), F.lit("</rows>")).alias("body"))
+    out = OutputSpec.from_dict({"target_table": "t", "parser": {"type": "xml", "arguments": ["row"], "fields": [
+        {"name": "id", "source": "id"}, {"name": "name", "source": "name"}, {"name": "remark", "source": "remark"}]}})
+    raw, _ = extract_rows(payloads, out, kit)
+    return raw.select(F.col("_doc").alias("doc_id"), F.col(ORDINAL).alias("ordinal"), F.col("id").cast("bigint").alias("id"), "name", "remark")
+
+
+@query("src_payload_html", """
+    SELECT c_custkey AS k, '漢字 ' || c_name AS name FROM customer""")
+def src_payload_html(spark, sf):
+    """Pages land as files in another charset; they are read as bytes, decoded and taken apart by selectors."""
+    path = f"{shared_dir(spark)}/html-{uuid.uuid4().hex}"
+    line = F.concat(F.lit("<tr><td class=k>"), F.col("c_custkey").cast("string"), F.lit("</td><td class=n>漢字 "), F.col("c_name"), F.lit("</td></tr>"))
+    rows = table(spark, sf, "customer").select(line.alias("line"), F.pmod("c_custkey", F.lit(4)).alias("page"))
+    with setting(spark, "spark.sql.legacy.javaCharsets", "true"):
+        rows.repartition(4, "page").write.partitionBy("page").option("encoding", "big5-hkscs").option("sep", "\x01").option("quote", "\x00").csv(path)
+    pages = read_payload_files(spark, f"{path}/*", "big5-hkscs").select("url", F.concat(F.lit("<table>"), "body", F.lit("</table>")).alias("body"))
+    fields = [{"name": "k", "selector": "td.k"}, {"name": "name", "selector": "td.n"}]
+    found = html_rows(pages.withColumn("doc_id", F.lit(0)), {"type": "html", "row_selector": "tr", "fields": fields}, "body")
+    return found.select(html_field(fields[0]).cast("bigint").alias("k"), html_field(fields[1]).alias("name"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import DataFrame
@@ -14,7 +15,7 @@ from ingestkit.functions.predicates import Predicates
 from ingestkit.operators.query import count_where, filter_table, page_count, positions, query_table
 from ingestkit.plans import reports
 from ingestkit.plans.output import run_output
-from ingestkit.plans.task import run_task
+from ingestkit.plans.task import RUN_SCHEMA, record_run, run_task
 from ingestkit.session import shared_dir
 from ingestkit.spec import OutputSpec, TaskSpec
 
@@ -377,6 +378,55 @@ def job_csv_grid(spark, sf):
     return run_task(spark, task, RUN_TS, {"customers": target}).outputs["customers"].table
 
 
+def _csv_files_task(base):
+    return TaskSpec.from_dict({
+        "name": "customer files", "type": "csv", "iterate": {"var_name": "region", "values": ["0", "1", "9", "3"]}, "file": {"path": base + "/r={region}", "multiline": False},
+        "target_table": "customers", "table_schema": _GRID_TABLE, "parser": {"type": "records", "fields": _GRID_FIELDS}})
+
+
+def _land_csv_files(spark, sf):
+    base = f"{shared_dir(spark)}/grid-files-{uuid.uuid4().hex}"
+    fifth = F.pmod("c_custkey", F.lit(5)).alias("r")
+    table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), fifth).write.partitionBy("r").csv(base, header=True)
+    return base
+
+
+@query("job_csv_files", """
+    SELECT c_custkey AS k, c_name AS name, (c_custkey % 5)::VARCHAR AS region FROM customer WHERE c_custkey % 5 IN (0, 1, 3)""")
+def job_csv_files(spark, sf):
+    """Paths rendered per value of the grid are one scan; the value whose files are absent is an error of its own."""
+    task = _csv_files_task(_land_csv_files(spark, sf))
+    target = spark.createDataFrame([], task.outputs[0].table.schema)
+    return run_task(spark, task, RUN_TS, {"customers": target}).outputs["customers"].table
+
+
+@query("rep_run_log", """
+    SELECT 'customer files' AS task_name, 'partial' AS status, count(*) AS records_new, 0 AS records_updated, 0 AS records_skipped, true AS has_error
+    FROM customer WHERE c_custkey % 5 IN (0, 1, 3)
+    UNION ALL SELECT 'customers again', 'success', count(*) FILTER (c_custkey % 2 = 1), count(*) FILTER (c_custkey % 2 = 0), 0, false FROM customer
+    UNION ALL SELECT 'no files', 'failed', 0, 0, 0, true""")
+def rep_run_log(spark, sf):
+    """Three runs, one of them with an absent file and one without any, and the log read back."""
+    log, run_ts = f"{shared_dir(spark)}/run-log-{uuid.uuid4().hex}", dt.datetime(2024, 1, 31)
+    base = _land_csv_files(spark, sf)
+    task, absent = _csv_files_task(base), _csv_files_task(base + "-none")
+    again = TaskSpec.from_dict({"name": "customers again", "type": "db", "db": {"query": "SELECT c_custkey AS k, c_name AS name, 'x' AS region FROM customer"},
+                                "target_table": "customers", "table_schema": _GRID_TABLE,
+                                "parser": {"type": "records", "fields": [*_GRID_FIELDS[:2], {"name": "region", "source": "region"}]}})
+    empty = spark.createDataFrame([], task.outputs[0].table.schema)
+    customer = table(spark, sf, "customer")
+    half = customer.where("c_custkey % 2 = 0").selectExpr("c_custkey AS k", "c_name AS name", "'x' AS region")
+    totals = lambda result: result.totals.first().asDict()
+    record_run(spark, log, "customer files", lambda: run_task(spark, task, RUN_TS, {"customers": empty}), run_ts, totals)
+    record_run(spark, log, "customers again", lambda: run_task(spark, again, RUN_TS, {"customers": half}, views={"customer": customer}), run_ts, totals)
+    try:
+        record_run(spark, log, "no files", lambda: run_task(spark, absent, RUN_TS, {"customers": empty}), run_ts, totals)
+    except FileNotFoundError:
+        pass  # recorded, and raised for the caller
+    runs = spark.read.schema(RUN_SCHEMA).parquet(log)
+    return runs.select("task_name", "status", "records_new", "records_updated", "records_skipped", F.col("error_msg").isNotNull().alias("has_error"))
+
+
 @query("where_mixed", """
     SELECT c_custkey, c_name FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey NOT IN (3, 5)""")
 def where_mixed(spark, sf):

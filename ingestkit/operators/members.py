@@ -20,6 +20,8 @@ def is_long(values: Any) -> bool:
 
 
 def _kind(values: Sequence):
+    if not values:
+        return None
     if all(isinstance(v, bool) for v in values):
         return BooleanType()
     if all(isinstance(v, int) and -(1 << 63) <= v < 1 << 63 for v in values):
@@ -47,7 +49,8 @@ def keep_members(df: DataFrame, column: str, values: Sequence, among: bool, null
     if kind is None:  # times, structures and mixed lists are compared as Spark reads the literals
         hit = F.coalesce(cell.isin(plain), F.lit(False)) | (cell.isNull() if has_null else F.lit(False))
         return df.where(hit if among else ~hit & (F.lit(True) if null_equal else cell.isNotNull()))
-    listed = df.sparkSession.createDataFrame([(v,) for v in plain], StructType([StructField(_VALUE, kind)]))
+    typed = {LongType: int, DoubleType: float}.get(type(kind), lambda v: v)
+    listed = df.sparkSession.createDataFrame([(typed(v),) for v in plain], StructType([StructField(_VALUE, kind)]))
     if has_null:
         listed = listed.unionByName(df.sparkSession.range(1).select(F.lit(None).cast(kind).alias(_VALUE)))
     if len(plain) <= BROADCAST:

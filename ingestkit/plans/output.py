@@ -37,6 +37,13 @@ class Toolkit:
     def register_rows(self, kind: str, fn: RowExtractor) -> None:
         self.row_extractors[kind] = fn
 
+    def register_table_function(self, kind: str, function) -> None:
+        """A Python table function ``(body, names of the fields, …)`` as row extractor. It yields ``_ordinal`` and a struct
+        ``_row``; an object of it may keep state over the payloads of a partition."""
+        self.row_extractors[kind] = lambda df, cfg, body: df.lateralJoin(function(
+            F.col(body).outer(), F.lit(",".join(f.get("source") or f.get("path") or f["name"] for f in cfg.get("fields", ()) if "value" not in f)),
+            *[F.lit(v) for v in cfg.get("arguments", ())])).drop(body)
+
     def register_filter(self, name: str, fn: RowFilter) -> None:
         self.filters.append((name, fn))
 

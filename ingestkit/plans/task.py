@@ -16,7 +16,7 @@ from ingestkit.operators.grid import contexts
 from ingestkit.operators.upsert import run_totals
 from ingestkit.plans.output import OutputResult, Toolkit, run_outputs
 from ingestkit.sources.database import read_jdbc, sql_source
-from ingestkit.sources.files import acceptable, read_csv
+from ingestkit.sources.files import acceptable, read_csv, read_csv_grid
 from ingestkit.spec import TaskSpec
 
 RUN_SCHEMA = ("task_name string, run_time timestamp, status string, records_new bigint, records_updated bigint, "
@@ -57,24 +57,27 @@ def run_task(spark: SparkSession, task: TaskSpec, run_ts, targets: Mapping[str,
     if task.type in ("api", "web"):
         if landed is None:
             raise ValueError("api and web tasks read landed payloads")
-        fetched = attach(requests(spark, task, run_ts), landed)
+        fetched, failures = attach(requests(spark, task, run_ts), landed), []
     else:
-        fetched = _tabular(spark, task, run_ts, views)
-    if "error" in fetched.columns:
+        fetched, failures = _tabular(spark, task, run_ts, views)
+    if "error" in fetched.columns and task.type in ("api", "web"):
         errors = fetched.agg(F.count("error").alias("failed"), F.max_by("error", F.when(F.col("error").isNotNull(), F.col(doc))).alias("error"))
         fetched = fetched.where(F.col("error").isNull()).drop("error")
     else:
-        errors = spark.range(1).select(F.lit(0).cast("bigint").alias("failed"), F.lit(None).cast("string").alias("error"))
+        errors = spark.range(1).select(F.lit(len(failures)).cast("bigint").alias("failed"),
+                                       F.lit(failures[-1] if failures else None).cast("string").alias("error"))
     outputs = run_outputs(acceptable(fetched), task.outputs, targets, run_ts, kit, doc=doc, **options)
     totals = run_totals(reduce(DataFrame.unionByName, [r.metrics for r in outputs.values()]))
     return TaskResult(outputs, totals, errors)
 
 
-def _tabular(spark: SparkSession, task: TaskSpec, run_ts, views: Mapping[str, DataFrame] | None) -> DataFrame:
-    """Rows of a file or a query, once per context of the grid, with the context's variables as columns.
+def _tabular(spark: SparkSession, task: TaskSpec, run_ts, views: Mapping[str, DataFrame] | None) -> tuple[DataFrame, list[str]]:
+    """Rows of a file or a query, once per context of the grid, with the context's variables as columns, and the errors of
+    contexts that cannot be read while others can.
 
-    A query or path without variables is read once and meets the grid in a join; one with variables is rendered for each
-    context. The grid is what the task description lists, so it is small and known before anything is read.
+    A query or path without variables is read once and meets the grid in a join. One with variables is rendered for each
+    context: files are one scan for all contexts, queries one each. The grid is what the task description lists, so it is
+    small and known before anything is read. If no context can be read the task fails.
     """
     if task.type not in ("csv", "db"):
         raise ValueError(f"a task of type {task.type} cannot be read here; sheets are given as frames to normalize_sheet"
@@ -90,14 +93,25 @@ def _tabular(spark: SparkSession, task: TaskSpec, run_ts, views: Mapping[str, Da
 
     if not has_variables(text):
         rows = read(task.source)
-        return rows.crossJoin(F.broadcast(grid.select(*[c for c in grid.columns if c not in rows.columns])))  # the task's own list
+        return rows.crossJoin(F.broadcast(grid.select(*[c for c in grid.columns if c not in rows.columns]))), []  # the task's own list
     rendered = grid.withColumn("_text", render(text, run_ts, {c: F.col(f"`{c}`") for c in grid.columns}))
-    parts = []
-    for context in rendered.collect():
-        values = context.asDict()
-        rows = read({**task.source, place: values.pop("_text")})
+    listed = [(values.pop("_text"), values) for values in (r.asDict() for r in rendered.collect())]
+    if task.type == "csv":
+        rows, failures = read_csv_grid(spark, task.source, listed)
+        if rows is None:
+            raise FileNotFoundError("; ".join(failures) or "every file is empty")
+        return rows, failures
+    parts, failures = [], []
+    for text, values in listed:
+        try:
+            rows = read({**task.source, place: text})
+        except Exception as e:  # one query that cannot be planned leaves the others alone
+            failures.append(str(e).splitlines()[0])
+            continue
         parts.append(rows.withColumns({k: F.lit(v) for k, v in values.items() if k not in rows.columns}))
-    return reduce(DataFrame.unionByName, parts)
+    if not parts:
+        raise ValueError("; ".join(failures))
+    return reduce(DataFrame.unionByName, parts), failures
 
 
 def record_run(spark: SparkSession, log_path: str, task_name: str,
