@@ -95,7 +95,7 @@ def test_run(spark, sf_dir):
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(QUERIES) <= set(entry.queries())
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14)) and set(QUERIES) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

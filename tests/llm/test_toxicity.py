@@ -1,5 +1,7 @@
 """Ordinal toxicity: likelihood, order of thresholds, held-out accuracy, edge cases."""
 
+import math
+import re
 import zlib
 from collections import Counter
 
@@ -62,3 +64,72 @@ def test_one_grade_or_none(small):
     docs, labels = small
     for some in (labels.where("toxic = 1"), labels.where("toxic = 0"), labels.limit(0)):
         assert {r.severity < 1e-9 for r in T.score(docs, some).collect()} == {True}
+
+
+def plain_fit(texts, grades, names, rounds, decay=1e-5):
+    """The same climb with slopes by differences of the likelihood, one text and one parameter at a time."""
+    import math
+
+    def marks(word):
+        return {word + "$"} | {word[:n] for n in (4, 5, 6) if len(word) >= n}
+
+    values = [{n: math.log1p(sum(c for w, c in t.items() if n in marks(w))) for n in names} for t in texts]
+    top = max(grades)
+
+    def likelihood(p):
+        w, first, gaps = p[:len(names)], p[len(names)], p[len(names) + 1:]
+        cuts = [first]
+        for g in gaps:
+            cuts.append(cuts[-1] + math.exp(g))
+        total = 0.0
+        for v, grade in zip(values, grades):
+            x = sum(a * v[n] for a, n in zip(w, names))
+            below = [0.0] + [1 / (1 + math.exp(x - t)) for t in cuts] + [1.0]
+            total += math.log(below[grade + 1] - below[grade])
+        return total / len(texts) - decay / 2 * sum(a * a for a in w)
+
+    p, seen = [0.0] * (len(names) + top), [1e-8] * (len(names) + top)
+    for _ in range(rounds):
+        slopes = []
+        for k in range(len(p)):
+            up, down = list(p), list(p)
+            up[k] += 1e-5
+            down[k] -= 1e-5
+            slopes.append((likelihood(up) - likelihood(down)) / 2e-5)
+        for k, s in enumerate(slopes):
+            seen[k] += s * s
+            p[k] += 0.3 * s / math.sqrt(seen[k])
+    cuts = [p[len(names)]]
+    for g in p[len(names) + 1:]:
+        cuts.append(cuts[-1] + math.exp(g))
+    return p[:len(names)], cuts
+
+
+def test_fit_and_score_by_hand(spark):
+    rng = np.random.default_rng(8)
+    words, names = ["calm", "rudely", "vile", "word"], ["calm$", "rudel", "vile$"]
+    texts = [Counter({w: int(n) for w, n in zip(words, rng.integers(0, 4, 4)) if n}) for _ in range(50)]
+    grades = [int((2 * np.log1p(t["rudely"]) + 4 * np.log1p(t["vile"]) + rng.logistic() > np.array([2.0, 5.0])).sum()) for t in texts]
+    model = T.train(texts, np.array(grades), names, rounds=25)
+    weights, cuts = plain_fit(texts, grades, names, 25)
+    assert np.allclose(model.weights, weights, atol=1e-4) and np.allclose(model.thresholds, cuts, atol=1e-4)
+
+    common = ["river", "town", "market", "field", "house", "stone", "light"]
+    rows = []
+    for k in range(120):
+        own = list(rng.choice(common, 12)) + (list(rng.choice(["grub", "grubby", "grubbing"], 4)) if k % 3 == 0 else [])
+        rows.append((k, " ".join(own[j] for j in rng.permutation(len(own)))))
+    rows += [(500, None), (501, ""), (3, rows[3][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(120)], "doc_id long, toxic int")
+    made = T.fitted(T.training_rows(docs, labels))
+    want = []
+    for i, text in rows:
+        x = 0.0
+        for name, slot in made.names.items():
+            n = sum(1 for w in re.findall("[^\\W\\d_]+", (text or "").lower()) if name == w + "$" or (len(name) in (4, 5, 6) and w.startswith(name)))
+            x += made.weights[slot] * math.log1p(n)
+        over = [1 / (1 + math.exp(t - x)) for t in made.thresholds]
+        want.append((i, sum(p >= 0.5 for p in over), round(sum(over), 9), over[0] >= 0.5))
+    got = [(r.doc_id, r.grade, round(r.severity, 9), r.toxic) for r in T.score(docs, labels).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and {r[3] for r in got} == {True, False}
