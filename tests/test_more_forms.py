@@ -147,6 +147,27 @@ def test_ttl_by_state_over_restarts(spark, tmp_path):
     assert sorted(r.i for r in got) == sorted([*want, 10_000]) and {r._odd for r in got} == {7}
 
 
+@pytest.mark.parametrize("buckets", [1, 8])
+def test_ttl_state_is_dealt_into_buckets(spark, tmp_path, buckets):
+    """Many keys share a row of state: rows of state and calls into Python do not grow with the keys."""
+    rnd, ttl, big = random.Random(buckets), 40, 1 << 60
+    rows = sorted(((s, rnd.choice([None, *range(60)]), big + 2 * i + 1) for i, s in enumerate(rnd.choices(range(1, 600), k=900))), key=lambda r: (r[0], r[2]))
+    free, want = {}, []
+    for s, k, i in rows:
+        if s >= free.get(k, -1):
+            want.append((k, s, i, i if i % 3 else None))
+            free[k] = s + ttl
+    schema, states = "k long, s long, ts timestamp, i long, w long", []
+    for n in range(3):
+        part = spark.createDataFrame([(k, s, i, i if i % 3 else None) for s, k, i in rows if s // 200 == n], "k long, s long, i long, w long")
+        part.select("k", "s", F.timestamp_seconds("s").alias("ts"), "i", "w").write.mode("append").parquet(str(tmp_path / "in"))
+        query = stream_ttl_state(read_landed(spark, str(tmp_path / "in"), schema), "k", "ts", ttl, "i", str(tmp_path / "out"), str(tmp_path / "cp"), buckets=buckets)
+        states += [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    got = spark.read.schema(schema).parquet(str(tmp_path / "out")).collect()
+    assert sorted(((r.k, r.s, r.i, r.w) for r in got), key=str) == sorted(want, key=str)
+    assert 0 < max(states) <= buckets
+
+
 def test_windows_are_written_once_the_watermark_has_passed(spark, tmp_path):
     schema = "k string, ts timestamp, v long, o long"
 
