@@ -29,15 +29,14 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: of every group one row stays, that with the smallest id if there is one. Rows are told apart by
     their texts, so ids may repeat or be null; rows without words stay, once for an id and text."""
-    classes = ngram_join.join(docs, words=NEAR_WORDS, percent=NEAR_PERCENT).where("component IS NOT NULL")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "set_key")).alias("first")
-    key, winner, chosen = (free_name(docs, c) for c in ("_key", "_winner", "_set"))
-    winners = classes.groupBy("component").agg(first).select(F.col("first.doc_id").alias(winner), F.col("first.set_key").alias(chosen))
-    winners = written(winners, "winners")
+    row = free_name(docs, "_row")
+    named = F.concat(F.coalesce(F.sha2(F.col("doc_id").cast("string"), 256), F.lit("")), F.sha2("text", 256))
+    rows = docs.withColumn(row, F.unhex(F.sha2(named, 256)))  # of id and text: whole texts meet the winners in one exchange
+    classes = ngram_join.join(rows, words=NEAR_WORDS, percent=NEAR_PERCENT, own_col=row).where("component IS NOT NULL")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "set_key", "own")).alias("first")
+    winners = written(classes.groupBy("component").agg(first).select(F.col("first.own").alias(row)), "winners")
     words = F.coalesce("text", F.lit("")).rlike(WORD)
-    keyed = ngram_join.with_keys(docs.where(words), NEAR_WORDS, name=key)
-    same = F.col("doc_id").eqNullSafe(F.col(winner)) & (F.col(key) == F.col(chosen))
-    kept = keyed.join(winners, same, "left_semi").dropDuplicates(["doc_id", key]).drop(key)
+    kept = rows.where(words).join(winners, row, "left_semi").dropDuplicates([row]).drop(row)
     wordless = docs.where(~words)
     once = wordless.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "text"])
     return kept.unionByName(once).unionByName(wordless.where(F.col("doc_id").isNull()))

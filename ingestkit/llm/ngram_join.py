@@ -49,8 +49,8 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 def frequency_sketch(docs: DataFrame, words: int, bits: int) -> np.ndarray:
     """How many documents hold a shingle of each of 2^bits hash ranges. Tasks count all ranges; their counts are added up in
-    ``PARTS`` parts, which is also how the driver gets them."""
-    shift = np.uint64(64 - bits)
+    ``PARTS`` parts at most, which is also how the driver gets them."""
+    shift, parts = np.uint64(64 - bits), min(PARTS, 1 << bits)
     kind = "part int, counts binary"
 
     def rows(totals: dict[int, np.ndarray]) -> pa.RecordBatch:
@@ -69,7 +69,7 @@ def frequency_sketch(docs: DataFrame, words: int, bits: int) -> np.ndarray:
                     waiting, n = [], 0
         if waiting:
             total += np.bincount(np.concatenate(waiting), minlength=1 << bits)
-        yield rows(dict(enumerate(np.split(total, PARTS))))
+        yield rows(dict(enumerate(np.split(total, parts))))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
@@ -80,14 +80,16 @@ def frequency_sketch(docs: DataFrame, words: int, bits: int) -> np.ndarray:
         yield rows(totals)
 
     counted = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, kind).repartition("part").mapInArrow(add, kind)
-    out = np.zeros((PARTS, (1 << bits) // PARTS), np.int64)
+    out = np.zeros((parts, (1 << bits) // parts), np.int64)
     for part, counts in counted.collect():  # 2^bits counts, whatever the corpus
         out[part] = np.frombuffer(zlib.decompress(bytes(counts)), np.int64)
     return out.ravel()
 
 
 def profiles(docs: DataFrame, words: int, percent: int, sketch, bits: int) -> DataFrame:
-    """Per row: ``doc_id, n`` (set size), ``key`` (of the set), ``weight`` (mean log frequency), ``prefix``."""
+    """Per row: ``doc_id, n`` (set size), ``key`` (of the set), ``weight`` (mean log frequency), ``prefix``; ``own`` if there is one."""
+    own = [f for f in docs.schema.fields if f.name == "own"]
+
     shift = np.uint64(64 - bits)
 
     def profile(batches):
@@ -109,11 +111,12 @@ def profiles(docs: DataFrame, words: int, percent: int, sketch, bits: int) -> Da
                 prefixes.append(signed(found[least]))
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column(batch.schema.get_field_index("doc_id")), "n": pa.array(n, pa.int64()), "key": pa.array(keys, pa.int64()),
-                "weight": pa.array(weights, pa.float64()), "prefix": pa.array(prefixes, pa.list_(pa.int64()))})
+                "weight": pa.array(weights, pa.float64()), "prefix": pa.array(prefixes, pa.list_(pa.int64())),
+                **{f.name: batch.column(batch.schema.get_field_index(f.name)) for f in own}})
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(
-        profile, f"doc_id {id_type}, n bigint, key bigint, weight double, prefix array<bigint>")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text"), *[f.name for f in own]).mapInArrow(
+        profile, f"doc_id {id_type}, n bigint, key bigint, weight double, prefix array<bigint>" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in own))
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -187,13 +190,14 @@ def _compatible(n: Column, m: Column, percent: int) -> Column:
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bits: int = SKETCH_BITS, id_col: str = "doc_id",
-         text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, n_links, set_key, component``.
+         text_col: str = "text", own_col: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, n_links, set_key, component``; with ``own_col`` also that
+    column, as ``own``.
 
     ``component`` is the key of one of the component's sets: unlike ``component_id`` it is there without ids and no two
     components share it. ``n_links`` counts the links that were verified for the document's set, enough of them to make the component.
     """
-    docs = fields(docs, doc_id=id_col, text=text_col)
+    docs = fields(docs, doc_id=id_col, text=text_col, **({"own": own_col} if own_col else {}))
     spark = docs.sparkSession
     with arrow_rows(spark):
         sketch = spark.sparkContext.broadcast(frequency_sketch(docs, words, bits))  # 2^bits counts, whatever the corpus
@@ -255,10 +259,11 @@ def _joined(docs: DataFrame, words: int, percent: int, sketch, bits: int) -> Dat
     known = classes.select("key", F.col("doc_id").alias("least")).join(named, "key", "left").join(
         counted.withColumnRenamed("a", "key"), "key", "left").select(
             F.col("key").alias("_key"), F.coalesce("component_id", "least").alias("_component"), F.coalesce("component", "key").alias("component"), "n_links")
-    return rows.select("doc_id", "n", "key").join(known, F.col("key") == F.col("_key"), "left").select(
+    own = [c for c in rows.columns if c == "own"]
+    return rows.select("doc_id", "n", "key", *own).join(known, F.col("key") == F.col("_key"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("_component")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("key").alias("set_key"), "component")
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("key").alias("set_key"), "component", *own)
 
 
 def with_keys(docs: DataFrame, words: int = WORDS, text_col: str = "text", name: str = "_key") -> DataFrame:
