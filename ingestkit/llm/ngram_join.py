@@ -64,7 +64,7 @@ def frequency_sketch(docs: DataFrame, words: int, bits: int) -> np.ndarray:
                 ids = shingles(text, words) >> shift
                 waiting.append(ids.astype(np.int64))
                 n += len(ids)
-                if n > 1 << bits:
+                if 4 * n > 1 << bits:
                     total += np.bincount(np.concatenate(waiting), minlength=1 << bits)
                     waiting, n = [], 0
         if waiting:

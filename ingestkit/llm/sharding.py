@@ -26,6 +26,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,7 +90,9 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", te
             own = F.pmod(F.xxhash64("_number"), F.lit(RANGES)).cast("int")
             rows = rows.withColumn("_range", F.when(F.col("_key").isin(repeated), own).otherwise(F.col("_range")))
             loads = _loads(rows)
-    placed = spark.createDataFrame(list(place(loads, shards, virtual_nodes, slack).items()), "_at int, shard int")
+    where = place(loads, shards, virtual_nodes, slack)
+    # from Arrow; from a list of rows it would be made by Python workers, which stay with the executors
+    placed = spark.createDataFrame(pa.table({"_at": pa.array(list(where), pa.int32()), "shard": pa.array(list(where.values()), pa.int32())}))
     sharded = rows.join(F.broadcast(placed), F.col("_range") == F.col("_at"))  # at most RANGES rows
     cells = sharded.groupBy("shard", "_cell").agg(F.count("*").alias("n"))
     upto = Window.partitionBy("shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)

@@ -9,6 +9,7 @@ import corpus_pipeline as P
 from ingestkit.llm import decontaminate, language, mixing, ngram_join
 from ingestkit.llm.common import written
 from ingestkit.llm.queries import ORACLES, QUERIES
+from tests.conftest import plan_of
 from tests.oracle import compare, connect
 
 
@@ -73,6 +74,16 @@ def test_ids_that_repeat_or_are_null(spark):
     assert Counter(got) == Counter(want)
 
 
+def test_whole_texts_meet_the_winners_without_python(spark):
+    """Equal rows and rows that differ in other columns, or in texts of one set: one stays, whatever the text's length."""
+    text = " ".join(f"t{n}" for n in range(60))
+    rows = [(3, text, "en", "a", 1), (3, text, "en", "a", 1), (3, text, "en", "b", 1), (3, text.upper(), "en", "a", 1), (4, text, "en", "a", 1), (5, "one two", None, None, None)]
+    kept = P.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, _row string, n_chars int"), "")
+    assert "MapInArrow" not in plan_of(kept) and kept.columns == ["doc_id", "text", "lang", "_row", "n_chars"]
+    got = kept.collect()
+    assert sorted(r.doc_id for r in got) == [3, 5] and {r.text.lower() for r in got} == {text, "one two"}
+
+
 def test_contaminated_go(spark, stages, sf_dir):
     judged = decontaminate.decontaminate_digest(stages[2], spark.read.parquet(f"{sf_dir}/benchmark.parquet")).collect()
     assert Counter(r.doc_id for r in stages[3].collect()) == Counter(r.doc_id for r in judged if not r.contaminated)

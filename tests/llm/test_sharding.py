@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 from ingestkit.llm import sharding
+from tests.conftest import plan_of
 
 SCHEMA = "doc_id long, text string, shard string, slot int"
 
@@ -97,3 +98,9 @@ def test_against_a_ring_by_hand(spark):
         texts.setdefault((i, len((t or "").encode()) + 8, None if t is None else zlib.crc32(t.encode())), t)
     got = sharding.shard_rows(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter((r.doc_id, texts[r.doc_id, r.size, r.text_crc32], r.shard) for r in got) == plain(rows, 24)
+
+
+def test_no_python_in_the_plan(spark):
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(50)], "doc_id long, text string")
+    plan = plan_of(sharding.shard_rows(docs))
+    assert "ExistingRDD" not in plan and "ArrowEvalPython" not in plan and "LocalTableScan" in plan
