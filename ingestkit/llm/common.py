@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ingestkit.session import shared_dir
+from ingestkit.session import setting, shared_dir
 
 #: A lookup table is broadcast only after its rows were counted and found to be at most this many.
 BROADCAST_ROWS = 50_000
@@ -51,17 +55,39 @@ def joined_by_key(rows: DataFrame, table: DataFrame, key: str, weight: str) -> D
     return rows.join(often, key).unionByName(rest)
 
 
+_ARROW_ROWS, _SCAN_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int = 512) -> Iterator[None]:
     """Batches of at most ``rows`` rows between Spark and Python for what runs inside: whole texts pass, and both sides hold a
-    batch or two of them. The session's own value is put back afterwards."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
-    try:
+    batch or two of them. The session's own value, or none, is put back afterwards."""
+    before = int(spark.conf.get(_ARROW_ROWS))
+    with setting(spark, _ARROW_ROWS, str(min(rows, before) if before > 0 else rows)):
         yield
-    finally:
-        spark.conf.set(name, before)
+
+
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Batches of ``rows`` rows in scans and between Spark and Python, unless the session has values of its own. It stays so, as
+    a frame of whole texts may be run by whoever gets it: with thousands of rows a task fills arrays of tens of megabytes."""
+    for name in (_ARROW_ROWS, _SCAN_ROWS):
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, str(rows))
+
+
+def lean(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``step`` for ``mapInArrow``; at its end the worker gives the system back what it has freed. Workers are kept from task to
+    task, so that what one has held at most would stand beside the executor's heap in all later stages."""
+    @wraps(step)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from step(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return run
 
 
 def others(df: DataFrame, column: str) -> Column:

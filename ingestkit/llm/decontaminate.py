@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ingestkit.llm.common import fields, others, written
+from ingestkit.llm.common import fields, lean, others, written
 
 WINDOW, SHARE, BLOCK_BYTES = 13, 20, 8 << 20
 
@@ -113,6 +113,7 @@ def _scanned(rows: DataFrame, block: list[tuple[str, bytes | None]], window: int
     """One scan with the automaton of one block; what earlier scans found stays in the row."""
     shared = rows.sparkSession.sparkContext.broadcast(pickle.dumps(automaton(block, window)))
 
+    @lean
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = pickle.loads(shared.value)
         for batch in batches:

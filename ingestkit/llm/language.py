@@ -34,7 +34,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ingestkit.llm.common import fields, others
+from ingestkit.llm.common import fields, lean, others
 
 DOCS, MAX_CHARS, LANGUAGES, FEATURE_BITS, CACHE, BLOCK, CELLS = 150, 20_000, 64, 16, 300_000, 128, 1 << 24
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -274,6 +274,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     tagger = train(training_rows(fields(docs, doc_id=id_col, text=text_col, lang=lang_col)))
     shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(tagger))  # 2^FEATURE_BITS weights per language, a bounded lexicon
 
+    @lean
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = pickle.loads(shared.value)
         emissions, cells = Emissions(made), len(made.languages) ** 2

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ingestkit.llm.common import arrow_rows, fields, lookup, others, written
+from ingestkit.llm.common import arrow_rows, fields, lean, lookup, others, written
 from ingestkit.llm.components import components
 from ingestkit.llm.shingles import mixed, shingles, signed
 
@@ -57,6 +57,7 @@ def frequency_sketch(docs: DataFrame, words: int, bits: int) -> np.ndarray:
         packed = [zlib.compress(t.tobytes(), 1) for t in totals.values()]
         return pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(packed, pa.binary())], names=["part", "counts"])
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, waiting, n = np.zeros(1 << bits, np.int64), [], 0
         for _, texts in _texts(batches):
@@ -71,6 +72,7 @@ def frequency_sketch(docs: DataFrame, words: int, bits: int) -> np.ndarray:
             total += np.bincount(np.concatenate(waiting), minlength=1 << bits)
         yield rows(dict(enumerate(np.split(total, parts))))
 
+    @lean
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -92,6 +94,7 @@ def profiles(docs: DataFrame, words: int, percent: int, sketch, bits: int) -> Da
 
     shift = np.uint64(64 - bits)
 
+    @lean
     def profile(batches):
         for batch, texts in _texts(batches):
             n, keys, weights, prefixes = [], [], [], []
@@ -140,6 +143,7 @@ def plausible(pairs: DataFrame, nodes: DataFrame, sketch, bits: int, percent: in
     """The pairs whose prefixes leave enough to share."""
     shift = np.uint64(64 - bits)
 
+    @lean
     def check(batches):
         for batch in batches:
             a, b, nx, x, ny, y = (batch.column(k) for k in range(6))
@@ -156,6 +160,7 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, perc
     wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     wanted = written(wanted.join(nodes.select("key", "doc_id"), "key").select("key", F.col("doc_id").alias("_id")), "join-wanted")
 
+    @lean
     def sets(batches):
         for batch, texts in _texts(batches):
             out = [shingles(t, words) for t in texts]
@@ -167,6 +172,7 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, perc
     # an id may stand for several texts: the one whose set has the key is meant
     held = written(chosen.mapInArrow(sets, "key bigint, set binary, own bigint").where("key = own").dropDuplicates(["key"]).select("key", "set"), "join-sets")
 
+    @lean
     def check(batches):
         for batch in batches:
             a, b, x, y = (batch.column(k) for k in range(4))
@@ -268,6 +274,7 @@ def _joined(docs: DataFrame, words: int, percent: int, sketch, bits: int) -> Dat
 
 def with_keys(docs: DataFrame, words: int = WORDS, text_col: str = "text", name: str = "_key") -> DataFrame:
     """``docs`` with the key of every row's set as a column ``name``: what ``join`` calls ``set_key``."""
+    @lean
     def step(batches):
         for batch in batches:
             for begin in range(0, len(batch), 512):  # whole texts pass: small pieces hold little memory

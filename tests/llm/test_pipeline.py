@@ -1,5 +1,6 @@
 """The pipeline: columns, effects of every stage, clean documents stay."""
 
+import re
 from collections import Counter
 
 import pytest
@@ -7,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline as P
 from ingestkit.llm import decontaminate, language, mixing, ngram_join
-from ingestkit.llm.common import written
+from ingestkit.llm.common import arrow_rows, lean, written
 from ingestkit.llm.queries import ORACLES, QUERIES
 from tests.conftest import plan_of
 from tests.oracle import compare, connect
@@ -112,3 +113,43 @@ def test_one_query_per_operator():
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_against_sql(spark, sf_dir, name):
     assert compare(spark, connect(sf_dir), QUERIES[name], ORACLES[name], sf_dir) is None
+
+
+@pytest.mark.parametrize("stage", [s for _, s in P.STAGES])
+def test_texts_move_in_small_batches_when_a_stage_is_run_later(spark, sf_dir, stage):
+    sizes = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"]
+    before = [spark.conf.get(s, None) for s in sizes]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    try:
+        for own, wanted in (([None, None], ["512", "512"]), (["300", "2000"], ["300", "2000"])):
+            for name, value in zip(sizes, own):
+                spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+            stage(spark, docs, sf_dir)
+            assert [spark.conf.get(s) for s in sizes] == wanted
+        spark.conf.unset(sizes[0])
+        with arrow_rows(spark):
+            assert spark.conf.get(sizes[0]) == "512"
+        assert spark.conf.get(sizes[0], None) is None
+    finally:
+        for name, value in zip(sizes, before):
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_a_kept_worker_gives_back_what_a_step_has_freed():
+    def held():
+        return int(re.search(r"\nAnonymous:\s+(\d+)", open("/proc/self/smaps_rollup").read())[1])
+
+    seen = []
+
+    def step(batches):
+        for batch in batches:
+            many = [bytes(1000) for _ in range(100_000)]
+            pins = many[::2000]  # so that the end of the heap stays in use
+            del many
+            seen.append(held())
+            yield batch
+        pinned.extend(pins)
+
+    pinned: list[bytes] = []
+    assert list(lean(step)(iter([1, 2]))) == [1, 2] and len(pinned) == 50
+    assert held() < seen[-1] - 50_000
